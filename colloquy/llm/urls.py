@@ -24,7 +24,7 @@ PATTERNS = tuple(
 
 def host_rule(rule: str, verdict: str) -> Rule:
     host, slash, path = rule.partition("/")
-    return rule, verdict, r"^[\s\S]*?://(?:[^/?#]*\.)?" + re.escape(host) + re.escape(slash + path), 1_000_000 + len(rule)
+    return rule, verdict, r"^://(?:[^/?#]*\.)?" + re.escape(host) + re.escape(slash + path), 1_000_000 + len(rule)
 
 
 def default_rules() -> list[Rule]:
