@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import mixing, repeats, secrets, sharding, urls
+from colloquy.llm import mixing, neardup, repeats, secrets, sharding, urls
 from colloquy.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.85)
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
@@ -53,7 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_sharding, op7_url_filter, op9_repeats, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op5_sharding, op7_url_filter, op8_neardup, op9_repeats, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
