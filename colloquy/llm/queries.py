@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import mixing, neardup, repeats, secrets, sharding, urls
+from colloquy.llm import decontaminate, mixing, neardup, prefixforest, repeats, secrets, sharding, urls
 from colloquy.llm.common import table
 
 
@@ -16,11 +16,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs).drop("text")
 
 
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return prefixforest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -57,8 +67,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_sharding, op7_url_filter, op8_neardup, op9_repeats, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op3_decontamination, op5_sharding, op6_prefix_forest, op7_url_filter, op8_neardup, op9_repeats, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": urls.oracle()}
+    return {"op3_decontamination": decontaminate.oracle(), "op7_url_filter": urls.oracle()}
