@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, mixing, neardup, prefixforest, repeats, secrets, sharding, urls
-from colloquy.llm.common import table
+from colloquy.llm import decontaminate, langid, mixing, neardup, prefixforest, repeats, secrets, sharding, toxicity, urls
+from colloquy.llm.common import crc_mod, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.drop("lang"), model).drop("text")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    model = toxicity.train(docs, labels)
+    return toxicity.score_texts(docs.withColumn("held_out", crc_mod("doc_id", 4) == 2), model).drop("text")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs).drop("text")
@@ -66,8 +79,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_decontamination, op5_sharding, op6_prefix_forest, op7_url_filter, op8_neardup, op9_repeats, op10_secrets)}
+    own = (op1_mixing, op2_language, op3_decontamination, op4_toxicity, op5_sharding, op6_prefix_forest, op7_url_filter, op8_neardup, op9_repeats, op10_secrets, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
