@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,19 +87,17 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([part, key & 0x7FFF]), weight / norm[part], owner
 
 
-def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
+def kernel(words: list[str], table: np.ndarray, step: int = 1024) -> np.ndarray:
     """Kernel of each word with the columns of table (triples x columns), the largest of a word's parts."""
-    at, weight, owner = triples(words)
-    part = np.zeros((len(owner), table.shape[1]), np.float64)
-    for a in range(0, at.shape[1], 1 << 18):
-        b = a + (1 << 18)
-        p = at[0, a:b]
-        if not len(p):
-            continue
-        edges = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        part[p[edges]] += np.add.reduceat(table[at[1, a:b]] * weight[a:b, None], edges, axis=0)
     out = np.full((len(words), table.shape[1]), -np.inf)
-    np.maximum.at(out, owner, part)
+    for w in range(0, len(words), step):
+        at, weight, owner = triples(words[w : w + step])
+        part = np.zeros((len(owner), table.shape[1]))
+        for a in range(0, at.shape[1], 1 << 14):
+            p = at[0, a : a + (1 << 14)]
+            edges = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+            part[p[edges]] += np.add.reduceat(table[at[1, a : a + (1 << 14)]] * weight[a : a + (1 << 14), None], edges, axis=0)
+        np.maximum.at(out, owner + w, part)
     return out
 
 
@@ -173,7 +172,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 128, rounds: int =
         words: set[str] = set()
         for sentence in _SENTENCE.split(t):
             words |= words_of(sentence)
-        bags.append(sorted({p for p in map(plain, words) if len(p) >= 3}))
+        bags.append(sorted({sys.intern(p) for p in map(plain, words) if len(p) >= 3}))
     order = np.random.default_rng(1).permutation(len(texts))
     held = set(order[: len(order) // 5].tolist())
     held = held if len({toxic[i] for i in held}) == 2 else set()
@@ -228,7 +227,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 128, rounds: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, seed: int = 9) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 9) -> Model:
     """Fit on about `sample` of the labelled rows (a seeded draw): docs(doc_id, text), labels(doc_id, toxic)."""
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = labels.count()
