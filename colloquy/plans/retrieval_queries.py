@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from colloquy.operators import retrieval as R
@@ -14,30 +16,37 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if sql:  # else the engine of the SQL may join the parts in a poor order
+            SQL[f.__name__] = re.sub(r"(?m)((?:^|WITH |, )[a-z]+) AS \(", r"\1 AS MATERIALIZED (", sql)
         return f
 
     return add
 
 
 STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
-TOKS = "list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda t: NOT list_contains([" + STOP + "], t))"
-LTOKS = "list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda t: length(t) >= 2 AND regexp_matches(t, '[а-яёa-z]'))"
-BM25 = f"""d AS (SELECT doc_id, {TOKS} AS toks FROM documents),
-p AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d) GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
+PATTERN = "regexp_extract_all(lower(text), '[а-яёa-z0-9]+')"
+TERMS = f"dt AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({PATTERN}) AS term FROM documents) WHERE term NOT IN ({STOP}))"
+BM25 = f"""{TERMS},
+dl AS (SELECT doc_id, count(*) AS dl FROM dt GROUP BY doc_id),
+p AS (SELECT doc_id, term, dl, count(*) AS tf FROM dt JOIN dl USING (doc_id) GROUP BY ALL),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM dt) / (SELECT count(*) FROM documents) AS avgdl),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest({TOKS}) AS term FROM benchmark),
+qt AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({PATTERN}) AS term FROM benchmark) WHERE term NOT IN ({STOP})),
 sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM p JOIN df USING (term) JOIN qt USING (term), st GROUP BY query_id, doc_id),
 bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10)"""
+
+
+def spelled(key: str, src: str) -> str:
+    return f"(SELECT {key}, term FROM (SELECT {key}, unnest({PATTERN}) AS term FROM {src}) WHERE length(term) >= 2 AND regexp_matches(term, '[а-яёa-z]'))"
+
+
 VOCAB = f"""v AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS idx, df, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf
-  FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({LTOKS}) AS term FROM documents) GROUP BY term ORDER BY encode(term) LIMIT 1536))"""
+  FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM {spelled('doc_id', 'documents')}) GROUP BY term ORDER BY encode(term) LIMIT 1536))"""
 
 
 def vec(name: str, key: str, src: str) -> str:
-    return f"""{name}r AS (SELECT {key}, term, dl, count(*) AS tf FROM (SELECT {key}, len({LTOKS}) AS dl, unnest({LTOKS}) AS term FROM {src}) GROUP BY ALL),
+    return f"""{name}r AS (SELECT {key}, term, sum(count(*)) OVER (PARTITION BY {key}) AS dl, count(*) AS tf FROM {spelled(key, src)} GROUP BY {key}, term),
 {name}w AS (SELECT {key}, idx, tf / dl * idf AS w FROM {name}r JOIN v USING (term)),
 {name} AS (SELECT {key}, idx, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM {name}w)"""
 
@@ -69,7 +78,7 @@ def both(spark, d):
     return bm25_ranking(spark, d).withColumn("channel", F.lit("sparse")).unionByName(cosine_ranking(spark, d).withColumn("channel", F.lit("dense")))
 
 
-@query(f"SELECT count(*) AS documents, sum(len(toks))::BIGINT AS tokens, round(avg(len(toks)), 4) AS avgdl, (SELECT count(DISTINCT t) FROM (SELECT unnest({TOKS}) AS t FROM documents)) AS unique_terms FROM (SELECT {TOKS} AS toks FROM documents)")
+@query(f"WITH {TERMS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS tokens, round(count(*) / (SELECT count(*) FROM documents), 4) AS avgdl, count(DISTINCT term) AS unique_terms FROM dt")
 def bm25_index_stats(spark, d):
     return R.bm25_stats(docs(spark, d))
 
@@ -101,8 +110,8 @@ def centres(spark, d):
     return means.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("query"))
 
 
-@query("""WITH c AS (SELECT label AS query_id, list(x ORDER BY at) AS query FROM (SELECT label, at, avg(x) AS x FROM
-  (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS at FROM embeddings) GROUP BY label, at) GROUP BY label),
+@query("""WITH c AS (SELECT label AS query_id, list(x ORDER BY pos) AS query FROM (SELECT label, pos, avg(x) AS x FROM
+  (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], query), 6) AS score FROM embeddings, c)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def vector_topk(spark, d):
@@ -158,7 +167,7 @@ def hybrid_cut(spark, d):
     return R.top_k(R.rrf(both(spark, d), "doc_id"), "query_id", "doc_id", 10).drop("rank")
 
 
-ENT = "SELECT DISTINCT {k}, unnest(list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda t: length(t) >= 12)) AS entity FROM {t}".format
+ENT = "SELECT DISTINCT {k}, entity FROM (SELECT *, unnest(regexp_extract_all(lower(text), '[а-яёa-z0-9]{{12,}}')) AS entity FROM {t})".format
 BOOST = f"""{HYBRID}, qe AS ({ENT(k="item_id AS query_id", t="benchmark")}), de AS ({ENT(k="doc_id", t="documents")}),
 gn AS (SELECT query_id, doc_id, sum(0.1 * CASE WHEN length(entity) >= 14 THEN 1.5 ELSE 1 END) AS gain FROM qe JOIN de USING (entity) GROUP BY ALL),
 bo AS (SELECT query_id, doc_id, round(score + coalesce(gain, 0), 6) AS score FROM cut LEFT JOIN gn USING (query_id, doc_id))"""
