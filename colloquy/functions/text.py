@@ -142,7 +142,7 @@ def snils_valid(text: Column) -> Column:
 
 def luhn_valid(text: Column) -> Column:
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\D", "")
-    return (F.length(bare) > 0) & F.luhn_check(bare)
+    return (F.length(bare) > 0) & F.call_function("luhn_check", bare)
 
 
 def longest_line_run(text: Column) -> Column:
