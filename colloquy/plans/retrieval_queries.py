@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from colloquy.operators import graph
 from colloquy.operators import retrieval as R
 from colloquy.plans.search_queries import table
 
@@ -246,3 +247,18 @@ KNN = """kn AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, w AS weight FR
 @query(f"WITH {KNN} SELECT DISTINCT * FROM kn")
 def knn_graph(spark, d):
     return R.knn_graph(table(spark, d, "embeddings"), "vec_id")
+
+
+@query(f"""WITH RECURSIVE {KNN}, ed AS (SELECT src, dst FROM kn UNION SELECT dst, src FROM kn),
+re AS (SELECT DISTINCT src AS node, src AS top FROM ed UNION SELECT ed.dst, re.top FROM re JOIN ed ON re.node = ed.src)
+SELECT node AS vec_id, min(top) AS topic FROM re GROUP BY node""")
+def topic_components(spark, d):
+    edges = R.knn_graph(table(spark, d, "embeddings"), "vec_id")
+    return graph.groups(edges).select(F.col("node").alias("vec_id"), "topic")
+
+
+@query(f"""WITH tm AS (SELECT DISTINCT doc_id, term FROM {spelled('doc_id', 'documents')}), c AS (SELECT source AS topic, term, count(*) AS docs FROM tm JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT topic, term, docs, row_number() OVER (PARTITION BY topic ORDER BY docs DESC, encode(term))::INT AS rank FROM c QUALIFY rank <= 3""")
+def topic_labels(spark, d):
+    topics = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.col("source").alias("topic"))
+    return graph.topic_labels(docs(spark, d), "doc_id", topics)
