@@ -51,20 +51,29 @@ def phrase_row(cond_id: str, phrase: str, distance: int = 2, channel: str = "ANY
     return cond_id, phrase, words, [(w, m) for w, m in need], len(words), distance, channel or "ANY", exact, rarest
 
 
-def match_span(form: Column, need: Column, n: Column, distance: Column) -> Column:
-    """struct(first, last) of token positions of the leftmost window that holds the phrase, else null.
+def _at(form: Column, first: Column, n: Column, distance: Column, word: Column) -> Column:
+    """Positions of a word in the window of n + distance tokens that starts at `first`."""
+    return F.filter(F.sequence(first, F.least(first + n + distance, F.size(form)) - 1), lambda j: F.get(form, j) == word)
+
+
+def first_window(form: Column, need: Column, n: Column, distance: Column, rarest: Column) -> Column:
+    """An array of the leftmost window's start, or an empty one.
 
     A window is n + distance tokens from a start 0 .. len - n. It holds the phrase if every word is
-    there as often as needed. The span runs from the first to the last of the earliest of those.
+    there as often as needed. Only windows around the rarest word are tried, so a long text costs as
+    much as that word is frequent in it.
     """
-    at = lambda i, w: F.filter(F.sequence(i, F.least(i + n + distance, F.size(form)) - 1), lambda j: F.get(form, j) == w)
-    fits = lambda i: F.forall(need, lambda k: F.size(at(i, k["word"])) >= k["m"])
-    # A window can only start usefully where some word of the phrase is, or at 0.
-    starts = F.filter(F.sequence(F.lit(0), F.size(form) - n), fits)
-    first = F.get(starts, F.lit(0))
-    ends = F.transform(need, lambda k: F.struct(F.get(at(first, k["word"]), F.lit(0)).alias("a"), F.get(at(first, k["word"]), k["m"] - 1).alias("b")))
-    span = F.struct(F.array_min(F.transform(ends, lambda e: e["a"])).alias("first"), F.array_max(F.transform(ends, lambda e: e["b"])).alias("last"))
-    return F.when((n > 0) & (F.size(form) >= n) & first.isNotNull(), span)
+    fits = lambda i: F.forall(need, lambda k: F.size(_at(form, i, n, distance, k["word"])) >= k["m"])
+    places = F.filter(F.sequence(F.lit(0), F.size(form) - 1), lambda j: F.get(form, j) == rarest)
+    near = F.transform(places, lambda p: F.sequence(F.greatest(p - n - distance + 1, F.lit(0)), F.least(p, F.size(form) - n)))
+    starts = F.filter(F.array_distinct(F.flatten(near)), fits)
+    return F.when((n > 0) & (F.size(form) >= n), F.slice(F.array_sort(starts), 1, 1))
+
+
+def span_of(form: Column, need: Column, n: Column, distance: Column, first: Column) -> Column:
+    """struct(first, last) of token positions: from the first to the last of the earliest words that fit."""
+    ends = F.transform(need, lambda k: F.struct(F.get(_at(form, first, n, distance, k["word"]), F.lit(0)).alias("a"), F.get(_at(form, first, n, distance, k["word"]), k["m"] - 1).alias("b")))
+    return F.struct(F.array_min(F.transform(ends, lambda e: e["a"])).alias("first"), F.array_max(F.transform(ends, lambda e: e["b"])).alias("last"))
 
 
 def match_phrases(turns: DataFrame, conditions: list[tuple], lemmas: DataFrame | None = None) -> DataFrame:
@@ -84,7 +93,10 @@ def match_phrases(turns: DataFrame, conditions: list[tuple], lemmas: DataFrame |
     speaker = F.when(F.col("channel") == "CLIENT", CHANNELS["CLIENT"]).when(F.col("channel") == "OPERATOR", CHANNELS["OPERATOR"])
     joined = joined.where(speaker.isNull() | (F.col("speaker") == speaker))
     form = F.when(F.col("exact"), F.col("toks")).otherwise(F.col("keys"))
-    hit = joined.withColumn("form", form).where(F.size("form") >= F.col("n")).withColumn("span", match_span(F.col("form"), F.col("need"), F.col("n"), F.col("distance"))).where("span is not null")
+    c = [F.col(x) for x in ("form", "need", "n", "distance")]
+    # A generator, so that the test is evaluated once and not again for a filter.
+    hit = joined.withColumn("form", form).where(F.size("form") >= F.col("n")).withColumn("first", F.explode(first_window(*c, F.col("rarest"))))
+    hit = hit.withColumn("span", span_of(*c, F.col("first"))).drop("first")
     hit = hit.withColumn("starts", X.token_starts(F.col("text")))
     a, b = F.get("starts", F.col("span.first")), F.get("starts", F.col("span.last")) + F.length(F.get("toks", F.col("span.last")))
     hit = hit.withColumn("matched_start", a).withColumn("matched_end", b)
