@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators import chunker, corpus, dictops, pii, search
+from colloquy.operators import attributes, chunker, corpus, dictops, pii, reports, search
 from colloquy.operators.dictionary import Condition, Node
+from colloquy.operators.matcher import match_phrases, phrase_row
 from colloquy.plans.search_queries import IN, TURNS, hits, table, turns
 
 Q: dict = {}
@@ -324,3 +325,40 @@ def session_window_events(spark, d):
 SELECT user_id, event_type, min(event_id) AS first, count(*) AS length FROM r GROUP BY user_id, event_type, k HAVING count(*) >= 2""")
 def event_runs(spark, d):
     return corpus.runs(table(spark, d, "events"), "user_id", "event_id", "event_type").where("length >= 2")
+
+
+@query("SELECT event_id FROM events WHERE (event_type = 'click' OR event_type = 'view') AND NOT (value < 20 AND user_id > 50)")
+def attribute_expression(spark, d):
+    test = attributes.compile_expression("(event_type=click ИЛИ event_type=view) И НЕ (value<20 И user_id>50)", attributes.comparison({"event_type", "value", "user_id"}))
+    return table(spark, d, "events").where(test).select("event_id")
+
+
+@query(f"WITH {TURNS}, {hits('h', 'and')}, {hits('n', 'was by', 8)} SELECT dialogue_id, turn_index FROM h WHERE NOT {IN('n')}")
+def without_suppression(spark, d):
+    t = turns(spark, d)
+    got = match_phrases(t, [phrase_row("h", "and", 2, "ANY", True), phrase_row("n", "was by", 8, "ANY", True)])
+    return reports.without(t, got.where("cond_id = 'h'"), got.where("cond_id = 'n'")).select("dialogue_id", "turn_index")
+
+
+@query(f"""WITH {TURNS}, {hits('h', 'the of', 3)}, m AS (SELECT dialogue_id, count(*) AS matches FROM h GROUP BY dialogue_id)
+SELECT dialogue_id, count(*) AS turns, coalesce(any_value(matches), 0) AS matches, CASE WHEN any_value(matches) > 0 THEN 1 ELSE 0 END AS phrases FROM turns LEFT JOIN m USING (dialogue_id) GROUP BY dialogue_id""")
+def report_summary(spark, d):
+    t = turns(spark, d)
+    return reports.workbook(t, search.search(t, [Node("n", [Condition("the of", 3, exact=True)])])[0])["summary"]
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS line FROM conversations")
+def report_lines(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", reports.cut(F.col("text"), 200).alias("line"))
+
+
+@query("""SELECT user_id, list_slice(list_concat(list_sort(list(DISTINCT event_type)), list_transform(range(0, 6), lambda i: 'none')), 1, 6)::VARCHAR AS kinds FROM events GROUP BY user_id""")
+def list_padding(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("k"))
+    return e.select("user_id", F.concat(F.lit("["), F.array_join(reports.padded(F.col("k"), 6, "none"), ", "), F.lit("]")).alias("kinds"))
+
+
+@query("SELECT speaker_kind, n_range, count(*) AS turns FROM (SELECT role AS speaker_kind, (length(text) // 500)::INT AS n_range FROM conversations) GROUP BY CUBE (speaker_kind, n_range)")
+def turn_length_cube(spark, d):
+    c = table(spark, d, "conversations").select(F.col("role").alias("speaker_kind"), F.floor(F.length("text") / 500).cast("int").alias("n_range"))
+    return c.cube("speaker_kind", "n_range").agg(F.count(F.lit(1)).alias("turns"))

@@ -215,3 +215,22 @@ def test_tables_and_providers(spark, tmp_path):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "yy")], "id int, p string")
     got = corpus.provider_map(rows, "p", "answer", lambda ps: [p.upper() for p in ps]).orderBy("id").collect()
     assert [r["answer"] for r in got] == ["X", "X", "YY"]
+
+
+def test_attribute_expressions_and_reports(spark):
+    from colloquy.operators import attributes, reports
+
+    df = spark.createDataFrame([(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)], "a int, b int, c int")
+    leaf = attributes.comparison({"a", "b", "c"})
+    got = lambda text: {tuple(r) for r in df.where(attributes.compile_expression(text, leaf)).collect()}
+    rows = list(itertools.product((0, 1), repeat=3))
+    assert got("(a=1 OR b=1) AND c=1") == {r for r in rows if (r[0] or r[1]) and r[2]}
+    assert got("a=1 OR b=1 AND NOT (c=1 AND a=0)") == {r for r in rows if r[0] or (r[1] and not (r[2] and not r[0]))}
+    assert got("") == set(rows) and got('a=1 "b=1"') == {r for r in rows if r[0] and r[1]}
+    with pytest.raises(ValueError):
+        attributes.compile_expression("x=1", leaf)
+    merged = reports.jaccard_merge([("x", {"a", "b"}, {1}), ("y", {"c"}, {2, 3, 4}), ("z", {"a", "b", "d"}, {5})])
+    assert [(m[0], m[2]) for m in merged] == [("y", {2, 3, 4}), ("x", {1, 5})]
+    rows = [("ADD", " p ", "2"), ("odd", "x", "1"), ("split", "q", "z"), ("add", None, "1")]
+    items = spark.createDataFrame([(rows,)], "i array<struct<kind:string,phrase:string,distance:string>>")
+    assert [tuple(x) for x in items.select(reports.recommendations(F.col("i")).alias("r")).first()["r"]] == [("add", "p", 2), ("split", "q", None)]
