@@ -73,7 +73,7 @@ def text_bytes(array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole rows with about limit bytes each; a longer row stands alone."""
     n, a = len(offsets) - 1, 0
     while a < n:
@@ -93,7 +93,7 @@ _IPOW = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _IPOW
     if len(_POW) < n:
-        size = max(n, 3 << 20)
+        size = max(n, 1 << 20)
         for name, base in (("_POW", _BASE), ("_IPOW", _INV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -12,6 +12,7 @@ import heapq
 import re
 import sys
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -237,12 +238,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 9)
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def score_texts(docs: DataFrame, model: Model, cut: float = 0.3, most_known: int = 400_000) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, cut: float = 0.3, most_known: int = 100_000) -> DataFrame:
     """Add score (0 to 1), predicted (score >= cut) and worst_word to docs(text); only the text is looked at.
 
     Texts that are null, empty or without words of three letters get the score of the least toxic.
     Whole texts are read, of any length. A task scores a word once and remembers up to most_known
-    words, then starts anew. Added columns replace those of the same name.
+    words, then forgets the older half. Added columns replace those of the same name.
     """
     added = ["score", "predicted", "worst_word"]
     docs = docs.drop(*added)
@@ -257,10 +258,10 @@ def score_texts(docs: DataFrame, model: Model, cut: float = 0.3, most_known: int
         for batch in batches:
             texts = batch.column(at)
             scores, worst = [], []
-            for a in range(0, batch.num_rows, 256):
-                bags = [words_of(t) if t else set() for t in texts.slice(a, 256).to_pylist()]
+            for a in range(0, batch.num_rows, 64):
+                bags = [words_of(t) if t else set() for t in texts.slice(a, 64).to_pylist()]
                 if len(known) > most_known:
-                    known = {}
+                    known = dict(islice(known.items(), len(known) // 2, None))
                 new = list({w for bag in bags for w in bag if w not in known})
                 letters = [plain(w) for w in new]
                 distinct = sorted({p for p in letters if len(p) >= 3})
