@@ -25,7 +25,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer splits than there are cores are dealt out, as work on them is bound by the CPU."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "conversations") and df.rdd.getNumPartitions() < cores else df
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
