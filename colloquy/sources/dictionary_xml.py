@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.dictionary import Condition, Limit, Node, Token, conditions_of, flatten
 
+#: Tags of the file format (fixed values).
 REQUEST, REMAINDER = "SpeechLabRequest", "SpeechLabRemainderRequest"
 MOST_DEEP = 20
 
