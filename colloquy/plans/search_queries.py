@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import search, timegap
+from colloquy.operators import search
 from colloquy.operators.dictionary import Condition, Limit, Node
 from colloquy.operators.matcher import match_phrases, phrase_row
 from colloquy.sources import turns as T
@@ -240,6 +240,3 @@ def dialogue_text(spark, sf_dir):
 SELECT speaker, parity, count(*) AS matches FROM m GROUP BY ROLLUP (speaker, parity)""")
 def rollup_channel_level(spark, sf_dir):
     return one(spark, sf_dir, "the of", 3).withColumn("parity", F.col("turn_index") % 2).rollup("speaker", "parity").agg(F.count(F.lit(1)).alias("matches"))
-
-
-del timegap
