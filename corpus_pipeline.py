@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from colloquy.llm.common import broadcast_if, materialise, table
 #: A document goes if its toxicity is at least this: surer than the 0.3 at which it is flagged.
 REJECT = 0.5
 
+#: The mix repeats no document more often, and makes its words whole documents in groups of about so many words.
+CAP, GROUP_WORDS = 3, 1 << 17
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, trained on the labelled ones, rejects."""
@@ -31,18 +38,51 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def whole_copies(sizes: np.ndarray, taken: np.ndarray, own: np.ndarray, cap: int = CAP) -> np.ndarray:
+    """How often each of a group's documents is repeated so that their words sum up to those taken.
+
+    From the longest on, a document's words are rounded up or down by its own number in [0, 1),
+    and what is rounded off is carried to the next one. A choice that the shorter ones could no
+    longer balance is not made, so what is left in the end is about half of the shortest.
+    """
+    out, left, rest, carry = np.zeros(len(sizes), np.int64), float(taken.sum()), int(sizes.sum()), 0.0
+    for i in np.lexsort((own, -sizes)):
+        size = int(sizes[i])
+        if not size:
+            break
+        rest -= size
+        carry += taken[i]
+        low, high = max(0, math.ceil((left - cap * rest) / size)), min(cap, max(0, math.floor(left / size)))
+        if low <= high:
+            times = min(max(math.floor(carry / size + own[i]), low), high)
+        else:  # one side or the other is missed: the nearer one
+            times = min(low, cap) if low * size - left < left - high * size - cap * rest else high
+        out[i] = times
+        left -= times * size
+        carry -= times * size
+    return out
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents as the mix takes their words.
+    """Repeat or leave out documents so that each source has the words that the mix takes of it.
 
-    A document that the mix takes r times its size comes floor(r) times, and once more where the
-    rest of r exceeds a seeded number of its own, so each source keeps its words in expectation.
+    A source's documents are dealt to groups of about GROUP_WORDS words; each keeps its words.
     """
-    mixed = mixing.mix_sources(docs)
-    ratio = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = (F.floor(ratio) + (ratio - F.floor(ratio) > own).cast("int")).cast("int")
-    times = F.when(times > 0, F.sequence(F.lit(1), times))
-    return mixed.select(*docs.columns, F.explode(times).alias("_copy")).drop("_copy")
+    columns = docs.columns
+    key = F.xxhash64("doc_id", "text", F.lit(23))
+    groups = F.greatest(F.lit(1), F.floor(F.col("source_size") / GROUP_WORDS))
+    mixed = (
+        mixing.mix_sources(docs, cap=CAP)
+        .where("size > 0")
+        .select(*columns, "size", "taken", F.pmod(key, groups).alias("_group"), (F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("_own"))
+    )
+
+    def repeat(rows: pa.Table) -> pa.Table:
+        sizes, taken, own = (rows[c].to_numpy() for c in ("size", "taken", "_own"))
+        times = whole_copies(sizes, taken, own)
+        return rows.select(columns).take(pa.array(np.repeat(np.arange(len(times)), times)))
+
+    return mixed.groupBy("source", "_group").applyInArrow(repeat, docs.schema)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
