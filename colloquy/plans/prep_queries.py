@@ -101,6 +101,11 @@ def pii_mask_all(spark, d):
     return pii.mask(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "masked", F.size("detections").alias("detections"))
 
 
+@query()
+def pii_counts_all(spark, d):
+    return pii.counts(pii.mask(table(spark, d, "documents").select("doc_id", "text")))
+
+
 @query()
 def chunk_sentences(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("dialogue_id"), F.lit(0).alias("turn_index"), F.col("source").alias("speaker"), "text")
