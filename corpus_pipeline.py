@@ -12,17 +12,14 @@ from pyspark.sql import functions as F
 from colloquy.llm import decontaminate, mixing, neardup, sharding, toxicity
 from colloquy.llm.common import broadcast_if, materialise, table
 
-#: A document goes if its toxicity is at least this: surer than the 0.3 at which it is flagged.
-REJECT = 0.5
-
 #: The mix repeats no document more often, and makes its words whole documents in groups of about so many words.
 CAP, GROUP_WORDS = 3, 1 << 17
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier, trained on the labelled ones, rejects."""
+    """Drop the documents that the classifier, trained on the labelled ones, predicts to be toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_texts(docs, model, cut=REJECT)
+    scored = toxicity.score_texts(docs, model)
     return scored.where("predicted = 0").select(*docs.columns)
 
 
