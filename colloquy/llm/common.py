@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,12 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share: the checkpoint folder, or where none is set one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_colloquy"
 
 
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -43,9 +38,9 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
-def broadcast_if(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Ask for a broadcast only where the counted rows are within the limit; a shuffle join beyond."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_if(df: DataFrame, size: int, limit: int = 1 << 25) -> DataFrame:
+    """Ask for a broadcast only where the measured bytes are within the limit; a shuffle join beyond."""
+    return F.broadcast(df) if size <= limit else df
 
 
 def crc_mod(c: str, n: int) -> Column:

@@ -3,10 +3,11 @@ import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from colloquy.llm import secrets
 from colloquy.llm.queries import op7_url_filter, op10_secrets, oracle_sql
-from colloquy.llm.urls import judge_urls, literal_tokens
+from colloquy.llm.urls import SCHEMA, judge_urls, literal_tokens
 
 BASE = {
     "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
@@ -80,5 +81,44 @@ def test_urls_empty_clashing_and_loose(spark):
     df = spark.createDataFrame([(1, "http://a.io/zz9", "x", "y")], "page_id long, url string, host string, token string")
     r = judge_urls(df, rules=[("any", "block", "zz[0-9]", 1)]).first()
     assert r["verdict"] == "block" and r["token"] == "y" and r["host"] == "a.io"
-    assert literal_tokens(("any", "block", "zz[0-9]", 1)) == []
     assert judge_urls(df.limit(0)).count() == 0
+    assert judge_urls(df, rules=[]).first()["verdict"] == "allow"
+    long = spark.createDataFrame([(1, "http://a.io/" + "x/" * 200_000 + "casino"), (1, "http://a.io/" + "x/" * 200_000 + "casino")], "page_id long, url string")
+    assert [r["verdict"] for r in judge_urls(long).collect()] == ["block", "block"]
+
+
+def test_only_tokens_of_every_match_are_filed(spark):
+    edge = lambda body: rf"(?:^|[^0-9a-z]){body}(?:[^0-9a-z]|$)"
+    cases = {
+        edge("free(-bets-now)?"): set(), edge("free(?:-bets-now)?"): set(), edge("free-bets"): {"free", "bets"}, edge("payday-loans?"): {"payday"}, "zz[0-9]": set(), "/ads/": {"ads"}, "/ads/x": {"ads"},
+        "/(a|b)/c/": {"c"}, "/a/|/b/": set(), r"/a\.b/": {"a", "b"}, "/a{0,1}/b/": {"b"}, "(?i)/a/": set(), "/a(?=b)/": set(), r"\bfoo\b": {"foo"}, "/ab+/c-d/": {"c", "d"}, r"/a\d/b/": {"b"}, "/((x)?y)*/z/": {"z"}, "^/a/": {"a"},
+    }
+    df = spark.createDataFrame([("r", p, 1) for p in cases], "rule string, pattern string, rank int")
+    got = {r["pattern"]: set(r["t"]) for r in df.select("pattern", literal_tokens(F.col("rule"), F.col("pattern"), F.col("rank")).alias("t")).collect()}
+    for p, most in cases.items():
+        assert got[p] <= most, (p, got[p])
+    assert got[edge("free-bets")] and got["/ads/"] == {"ads"} and got[r"\bfoo\b"] == {"foo"}
+    r = judge_urls(spark.createDataFrame([("http://a.com/free/x",)], "url string"), [("r", "block", edge("free(-bets-now)?"), 1)]).first()
+    assert r["verdict"] == "block"
+
+
+def test_random_patterns_against_every_rule(spark):
+    rng = random.Random(8)
+    words = ["free", "bets", "ad", "x1", "a", "news", "b"]
+
+    def part():
+        w = rng.choice(words)
+        return rng.choice([w, w + "?", f"({w})?", f"(?:{w}|{rng.choice(words)})", w + "-", "-" + w, "/" + w + "/", w + "{0,2}", f"[{w}]", f"[^{w}]*", ".", r"\b" + w + r"\b", r"\d", r"\.", w + "+", f"((-{w})?/)*"])
+
+    rules = []
+    while len(rules) < 120:
+        p = "".join(part() for _ in range(rng.randrange(1, 5)))
+        rules.append((f"r{len(rules)}", rng.choice(["block", "allow"]), p, len(rules)))
+    urls = ["http://h.io/" + "".join(rng.choice([*words, "/", "-", "/", ".", "_", "?", "7"]) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame(rules, SCHEMA)
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(df, table, default="none").collect()}
+    for i, u in enumerate(urls):
+        canon = u[u.index("://") :].lower()
+        fits = [(rank, v) for _, v, p, rank in rules if re.search(p, canon, re.ASCII)]
+        assert got[i] == (max(fits)[1] if fits else "none"), (u, got[i])
