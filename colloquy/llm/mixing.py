@@ -54,6 +54,23 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return got
 
 
+def capped_seats(blocks: list[int], seats: int, cap: int) -> list[int]:
+    """Seats of each cell by its blocks; none has more than cap times them, and what is over goes to the others."""
+    got, free = [0] * len(blocks), list(range(len(blocks)))
+    while free and seats > 0:
+        part = sainte_lague([float(blocks[i]) for i in free], seats)
+        full = [i for i, q in zip(free, part, strict=True) if q >= cap * blocks[i]]
+        if not full:
+            for i, q in zip(free, part, strict=True):
+                got[i] = q
+            break
+        for i in full:
+            got[i] = cap * blocks[i]
+            seats -= got[i]
+        free = [i for i in free if not got[i]]
+    return got
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -73,8 +90,9 @@ def mix_sources(
 
     The driver holds one row per source, a task one source's cells (at most max_shards) or one
     cell's documents. Null or empty texts have size 0 and taken 0; repeated rows each take part;
-    an empty table gives an empty result; other columns stay as they are, but one named like an
-    added column is replaced.
+    an empty table gives an empty result; texts of any length count whole; ties in the drawing order
+    go by doc_id, then size; other columns stay as they are, but one named like an added column is
+    replaced.
     """
     added = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*added)
@@ -103,13 +121,12 @@ def mix_sources(
     quotas = sainte_lague(votes, round(sum(votes)))
     rows = [(s, int(n), float(t), int(q)) for s, n, t, q in zip(names, sizes, targets, quotas, strict=True)]
     schema = T.StructType([T.StructField("source", docs.schema["source"].dataType)] + [T.StructField(n, t) for n, t in (("source_size", T.LongType()), ("target", T.DoubleType()), ("source_quota", T.LongType()))])
-    per_source = broadcast_if(spark.createDataFrame(rows, schema), len(rows), 100_000)
+    per_source = broadcast_if(spark.createDataFrame(rows, schema), 256 * len(rows))
 
     def apportion(pdf):
         pdf = pdf.sort_values("shard")
         blocks = [int(b) for b in pdf["blocks"]]
-        quota = sainte_lague([float(b) for b in blocks], int(pdf["source_quota"].iloc[0]))
-        pdf["quota"] = [min(q, cap * b) for q, b in zip(quota, blocks, strict=True)]
+        pdf["quota"] = capped_seats(blocks, int(pdf["source_quota"].iloc[0]), cap)
         return pdf[["source", "shard", "blocks", "quota"]]
 
     same = F.col("c.source").eqNullSafe(F.col("s.source"))

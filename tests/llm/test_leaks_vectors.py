@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from colloquy.llm.decontaminate import find_leaks, without_leaks
 from colloquy.llm.prefixforest import nearest
@@ -13,8 +14,8 @@ def test_leaks_against_sql(spark, tmp_path):
     rng = random.Random(4)
     vocabulary = ["w%d" % i for i in range(40)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, text(rng.randrange(3, 60)), "x") for i in range(40)] + [(50, None, "x"), (51, "", "x"), (52, "a a a a a a a", "x")]
-    docs = [(i, text(rng.randrange(0, 300)), "d") for i in range(80)] + [(90, None, "d"), (91, "", "d"), (92, "A A A A A A", "d")]
+    items = [(i, text(rng.randrange(3, 60)), "x") for i in range(40)] + [(50, None, "x"), (51, "", "x"), (52, "a a a a a a a", "x"), (53, "Paris", "x"), (54, "deux mots", "x"), (55, "w1 w2 w3 w4", "x"), (56, "A\ta", "x")]
+    docs = [(i, text(rng.randrange(0, 300)), "d") for i in range(80)] + [(90, None, "d"), (91, "", "d"), (92, "A A A A A A", "d"), (93, "in paris", "d"), (94, "mots deux", "d"), (95, "deux  MOTS", "d"), (96, "x " * 2_000 + "w1 W2 w3\nw4", "d")]
     for i in range(60):
         w = rng.choice(items[:40])[1].split()
         for _ in range(rng.randrange(3)):
@@ -28,13 +29,21 @@ def test_leaks_against_sql(spark, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     want = sorted(con.execute(oracle_sql()["op3_decontamination"]).fetchall())
     got = sorted(tuple(r) for r in op3_decontamination(spark, str(tmp_path)).collect())
-    assert got == want and len(got) > 20
+    assert got == want and len(got) > 20 and {(93, 53), (95, 54), (96, 55), (92, 56)} <= {g[:2] for g in got} and not any(g[0] == 94 for g in got)
     d, b = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "benchmark.parquet"))
     left = sorted(r["doc_id"] for r in without_leaks(d, b).collect())
     assert left == sorted(x[0] for x in docs if x[0] not in {g[0] for g in got})
+    clash = d.withColumnRenamed("item", "leak_id").withColumn("rid", F.lit(1)).withColumn("words", F.lit("w"))
+    assert without_leaks(clash, b).count() == len(left)
     assert find_leaks(d.limit(0), b).count() == 0 and find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_in_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, "x " * 300_000 + ("a b c d e f g" if i else "a b c d") + " y" * 1000) for i in range(2)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert [tuple(r) for r in find_leaks(docs, items).collect()] == [(1, 1, 3, 3, 1.0)]
+
+
 def exact(x, ids, k):
     out = {}
     for q in [i for i in ids if i % 20 == 0]:

@@ -88,3 +88,34 @@ def test_shards_small(spark):
     assert shard_documents(docs(spark, [])).count() == 0
     check_shards(shard_documents(docs(spark, [(1, None, None, None, None)])).collect(), 16)
     check_shards(shard_documents(docs(spark, [(1, None, "a" * 100000, None, None)] * 3)).collect(), 16)
+
+
+def test_slots_follow_the_key_at_every_size(spark):
+    rows = [(i, "s", f"text {i % 62}" if i % 4 else "hot", "own", 1) for i in range(1200)]
+    orders = []
+    for per_slice in (5, 10, 100, 10_000):
+        out = shard_documents(docs(spark, rows), shards=4, rows_per_slice=per_slice).collect()
+        check_shards(out, 4)
+        by_slot = [(r["shard"], r["slot"], r["doc_id"], r["text"]) for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
+        orders.append(by_slot)
+        for shard in range(4):
+            texts = [t for s, _, _, t in by_slot if s == shard]
+            assert sum(a != b for a, b in zip(texts, texts[1:])) + 1 == len(set(texts)), per_slice
+    assert all(o == orders[0] for o in orders)
+
+
+def test_splitters_against_sorted_bytes(spark):
+    """No shard is farther from its share than the tolerance and one document: the splitters of a full sort."""
+    rows = [(i, "s", "t" * (i * 7919 % 301) + str(i), "own", 1) for i in range(4000)]
+    for shards, tolerance in ((16, 0.002), (7, 0.01), (3, 0.0)):
+        sizes = check_shards(shard_documents(docs(spark, rows), shards=shards, tolerance=tolerance).collect(), shards)
+        total, run = sum(sizes), 0
+        for i, n in enumerate(sizes[:-1]):
+            run += n
+            assert abs(run - total * (i + 1) / shards) <= tolerance * total / shards + 306
+
+
+def test_shards_of_long_texts(spark):
+    rows = [(i, "s", "é" * 500_000 if i < 3 else "b" * i, "own", 1) for i in range(40)]
+    sizes = check_shards(shard_documents(docs(spark, rows), shards=4).collect(), 4)
+    assert sum(sizes) == 3 * 1_000_001 + sum(i + 1 for i in range(3, 40))
