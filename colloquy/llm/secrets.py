@@ -1,12 +1,16 @@
-"""Secret scan: one minimal automaton of all rules, run over the bytes of many texts at once."""
+"""Secret scan: all rules in minimal automata, run over the bytes of many texts at once.
+
+One automaton reads texts backwards, always open to a new match, and so tells in one pass over the
+bytes where a match of which rule starts. From each start that is not inside a match another one,
+of all rules too, follows the bytes to the last state that accepts. Spans come from these transition
+arrays alone; lengths that would multiply the states are counted beside them.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import deque
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,155 +22,197 @@ _VALUE = "A-Za-z0-9+/_.=-"
 
 @dataclass(frozen=True)
 class Rule:
-    """scan: what the automaton looks for, implied by every kept match (counts of its lengths would
-    multiply the states, so `least` holds those). exact: the kept spans."""
+    """The leftmost longest matches of `pattern`, which do not overlap; a match with fewer than `least`
+    characters after the longest match of `head` at its start (without one: in all) is dropped.
+
+    Patterns know ASCII literals, \\xNN, classes, groups, |, ?, *, +, {m}, {m,} and {m,n}.
+    """
 
     kind: str
-    scan: str
-    exact: str
-    group: int = 0
+    pattern: str
+    head: str = ""
     least: int = 0
     ignore_case: bool = False
 
 
+_ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+
 #: Base kinds first, then those that this scan adds.
 RULES = (
-    Rule("assign", rf"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[{_VALUE}]""", rf"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([{_VALUE}]+)""", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]{4}", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]{12}", r"[0-9a-f]+", 0, 24),
-    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]+", 0, 24),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9]", r"xox[abprs]-[A-Za-z0-9-]+", 0, 17),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]+\.eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}"),
+    Rule("assign", rf"{_ASSIGN}[{_VALUE}]+", _ASSIGN, 6, True),
+    Rule("access", r"AKIA[A-Z0-9]{4,}", "", 20),
+    Rule("hex", r"[0-9a-f]{12,}", "", 24),
+    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]+", "", 24),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", "", 17),
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+", "", 23),
 )
 
 
-# ---------------------------------------------------------------- regex -> NFA -> minimal DFA
+# ---------------------------------------------------------------- regex -> tree -> NFA -> minimal DFA
+
+
+def parse(pattern: str, fold: bool = False) -> tuple:
+    """("set", bytes), ("seq", parts), ("alt", parts) or ("rep", part, low, high or None)."""
+    at = 0
+
+    def byte() -> int:
+        nonlocal at
+        c = pattern[at]
+        at += 1
+        if c == "\\":
+            c = pattern[at]
+            at += 1
+            if c == "x":
+                at += 2
+                return int(pattern[at - 2 : at], 16)
+            if c.isalnum():
+                raise ValueError(f"unknown escape in {pattern}")
+        if ord(c) > 127:
+            raise ValueError(f"not ASCII: {pattern}")
+        return ord(c)
+
+    def one() -> tuple:
+        nonlocal at
+        if pattern[at] == "(":
+            at += 1
+            if pattern.startswith("?:", at):
+                at += 2
+            out = alternatives()
+            at += 1
+            return out
+        if pattern[at] in "?*+{.^$":
+            raise ValueError(f"not in the subset: {pattern}")
+        if pattern[at] != "[":
+            found = {byte()}
+        else:
+            at += 1
+            found = set()
+            if pattern[at] == "^":
+                raise ValueError(f"not in the subset: {pattern}")
+            while pattern[at] != "]":
+                a = b = byte()
+                if pattern[at] == "-" and pattern[at + 1] != "]":
+                    at += 1
+                    b = byte()
+                found |= set(range(a, b + 1))
+            at += 1
+        if fold:
+            found |= {c ^ 32 for c in found if chr(c).isalpha()}
+        return ("set", frozenset(found))
+
+    def sequence() -> tuple:
+        nonlocal at
+        parts = []
+        while at < len(pattern) and pattern[at] not in "|)":
+            part = one()
+            if at < len(pattern) and pattern[at] in "?*+":
+                part = ("rep", part, *{"?": (0, 1), "*": (0, None), "+": (1, None)}[pattern[at]])
+                at += 1
+            elif at < len(pattern) and pattern[at] == "{":
+                end = pattern.index("}", at)
+                low, comma, high = pattern[at + 1 : end].partition(",")
+                part = ("rep", part, int(low), int(high) if high else None if comma else int(low))
+                at = end + 1
+            parts.append(part)
+        return ("seq", parts)
+
+    def alternatives() -> tuple:
+        nonlocal at
+        parts = [sequence()]
+        while at < len(pattern) and pattern[at] == "|":
+            at += 1
+            parts.append(sequence())
+        return parts[0] if len(parts) == 1 else ("alt", parts)
+
+    tree = alternatives()
+    if at != len(pattern):
+        raise ValueError(f"unbalanced: {pattern}")
+    return tree
 
 
 class _Nfa:
-    """Thompson fragments of the regex subset the rules use: literals, classes, groups, |, ?, *, +, {m}, {m,}."""
-
-    def __init__(self, ignore_case: bool):
+    def __init__(self):
         self.eps: list[list[int]] = []
         self.step: list[tuple[frozenset[int], int] | None] = []
-        self.fold = ignore_case
 
     def state(self) -> int:
         self.eps.append([])
         self.step.append(None)
         return len(self.eps) - 1
 
-    def chars(self, pattern: str, i: int) -> tuple[frozenset[int], int]:
-        def one(i: int) -> tuple[int, int]:
-            if pattern[i] != "\\":
-                return ord(pattern[i]), i + 1
-            if pattern[i + 1] == "x":
-                return int(pattern[i + 2 : i + 4], 16), i + 4
-            return ord(pattern[i + 1]), i + 2
-
-        if pattern[i] != "[":
-            c, i = one(i)
-            return frozenset([c]), i
-        out, i = set(), i + 1
-        while pattern[i] != "]":
-            a, i = one(i)
-            b = a
-            if pattern[i] == "-" and pattern[i + 1] != "]":
-                b, i = one(i + 1)
-            out |= set(range(a, b + 1))
-        return frozenset(out), i + 1
-
-    def alternatives(self, p: str, i: int) -> tuple[int, int, int]:
-        start, end = self.state(), self.state()
-        while True:
-            a, b, i = self.sequence(p, i)
-            self.eps[start].append(a)
-            self.eps[b].append(end)
-            if i >= len(p) or p[i] != "|":
-                return start, end, i
-            i += 1
-
-    def sequence(self, p: str, i: int) -> tuple[int, int, int]:
-        start = end = self.state()
-        while i < len(p) and p[i] not in "|)":
-            j = i
-            a, b, i = self.atom(p, i)
-            low, high = 1, 1
-            if i < len(p) and p[i] in "?*+":
-                low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}[p[i]]
-                i += 1
-            elif i < len(p) and p[i] == "{":
-                k = p.index("}", i)
-                m, comma, _ = p[i + 1 : k].partition(",")
-                low, high, i = int(m), None if comma else int(m), k + 1
-            copies = [(a, b)]
-            while len(copies) < max(low, 1) + (high is None and low > 0):
-                x, y, _ = self.atom(p, j)
-                copies.append((x, y))
-            for n, (x, y) in enumerate(copies):
-                self.eps[end].append(x)
-                nxt = self.state()
-                self.eps[y].append(nxt)
-                if n >= low or low == 0:
-                    self.eps[end].append(nxt)
-                if high is None and n == len(copies) - 1:
-                    self.eps[y].append(x)
-                end = nxt
-        return start, end, i
-
-    def atom(self, p: str, i: int) -> tuple[int, int, int]:
-        if p[i] == "(":
-            a, b, i = self.alternatives(p, i + 1)
-            return a, b, i + 1
-        chars, i = self.chars(p, i)
-        if self.fold:
-            chars |= {c ^ 32 for c in chars if chr(c).isascii() and chr(c).isalpha()}
-        a, b = self.state(), self.state()
-        self.step[a] = (chars, b)
-        return a, b, i
+    def add(self, tree: tuple, backwards: bool) -> tuple[int, int]:
+        """First and last state of a tree's fragment."""
+        kind, first, last = tree[0], self.state(), self.state()
+        if kind == "set":
+            self.step[first] = (tree[1], last)
+        elif kind == "alt":
+            for part in tree[1]:
+                a, b = self.add(part, backwards)
+                self.eps[first].append(a)
+                self.eps[b].append(last)
+        elif kind == "seq":
+            at = first
+            for part in reversed(tree[1]) if backwards else tree[1]:
+                a, b = self.add(part, backwards)
+                self.eps[at].append(a)
+                at = b
+            self.eps[at].append(last)
+        else:
+            _, part, low, high = tree
+            at = first
+            for _ in range(low):
+                a, b = self.add(part, backwards)
+                self.eps[at].append(a)
+                at = b
+            if high is None:
+                a, b = self.add(part, backwards)
+                self.eps[at] += [a, last]
+                self.eps[b] += [a, last]
+            else:
+                for _ in range(high - low):
+                    a, b = self.add(part, backwards)
+                    self.eps[at] += [a, last]
+                    at = b
+                self.eps[at].append(last)
+        return first, last
 
 
 @dataclass
 class Automaton:
-    table: np.ndarray  # state * classes + class -> state
+    table: np.ndarray  # state * classes + class -> state * classes
     classes: np.ndarray  # byte -> class
     n_classes: int
-    accepts: np.ndarray  # state -> bit mask of rules
+    accepts: np.ndarray  # state -> bit mask of patterns
     resets: np.ndarray  # byte -> every state goes back to the start
     least: int  # bytes of the shortest match
-
-
-def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
-    """All rules in one automaton: subset construction from a start that is always open, then minimisation."""
-    eps: list[list[int]] = []
-    step: list[tuple[frozenset[int], int] | None] = []
-    starts, finals = [], {}
-    for k, rule in enumerate(rules):
-        nfa = _Nfa(rule.ignore_case)
-        a, b, _ = nfa.alternatives(rule.scan, 0)
-        base = len(eps)
-        eps += [[x + base for x in e] for e in nfa.eps]
-        step += [s and (s[0], s[1] + base) for s in nfa.step]
-        starts.append(a + base)
-        finals[b + base] = k
-    # Bytes that no rule tells apart form one class.
-    sets = [s[0] for s in step if s]
+    dead: int  # state (times classes) that nothing leaves and that does not accept, or -1
+
+
+def compile_patterns(trees: list[tuple], always_open: bool, backwards: bool) -> Automaton:
+    """All patterns in one automaton: subset construction, then minimisation."""
+    nfa, starts, finals = _Nfa(), [], {}
+    for k, tree in enumerate(trees):
+        a, b = nfa.add(tree, backwards)
+        starts.append(a)
+        finals[b] = k
+    # Bytes that no pattern tells apart form one class.
+    sets = list({s[0] for s in nfa.step if s})
     signature: dict[tuple, int] = {}
-    classes = np.zeros(256, np.int64)
-    for c in range(256):
-        classes[c] = signature.setdefault(tuple(c in s for s in set(sets)), len(signature))
+    classes = np.array([signature.setdefault(tuple(c in s for s in sets), len(signature)) for c in range(256)])
     member = [int(np.flatnonzero(classes == k)[0]) for k in range(len(signature))]
+    closures: dict[int, frozenset[int]] = {}
 
-    @lru_cache(None)
     def closure(s: int) -> frozenset[int]:
-        out, todo = {s}, [s]
-        while todo:
-            for x in eps[todo.pop()]:
-                if x not in out:
-                    out.add(x)
-                    todo.append(x)
-        return frozenset(x for x in out if step[x] or x in finals)
+        if s not in closures:
+            out, todo = {s}, [s]
+            while todo:
+                for x in nfa.eps[todo.pop()]:
+                    if x not in out:
+                        out.add(x)
+                        todo.append(x)
+            closures[s] = frozenset(x for x in out if nfa.step[x] or x in finals)
+        return closures[s]
 
     root = frozenset().union(*(closure(s) for s in starts))
     ids, order, rows = {root: 0}, deque([root]), []
@@ -174,17 +220,17 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
         now = order.popleft()
         row = []
         for c in member:
-            to = set(root)
+            to = set(root) if always_open else set()
             for s in now:
-                if step[s] and c in step[s][0]:
-                    to |= closure(step[s][1])
+                if nfa.step[s] and c in nfa.step[s][0]:
+                    to |= closure(nfa.step[s][1])
             to = frozenset(to)
             if to not in ids:
                 ids[to] = len(ids)
                 order.append(to)
             row.append(ids[to])
         rows.append(row)
-    table = np.array(rows, np.int64)
+    table = np.array(rows, np.int64).reshape(len(ids), len(member))
     accepts = np.zeros(len(ids), np.int64)
     for states, i in ids.items():
         accepts[i] = sum({1 << finals[s] for s in states if s in finals})
@@ -201,21 +247,42 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
     block, first = rank[block], np.sort(first)
     small, accepts = block[table[first]], accepts[first]
     resets = np.array([bool((small[:, classes[c]] == 0).all()) for c in range(256)])
+    dead = [i for i in range(len(small)) if not accepts[i] and (small[i] == i).all()]
     least, reach, seen = 0, {0}, {0}
-    while not any(accepts[s] for s in reach):
+    while reach and not any(accepts[s] for s in reach):
         reach = {int(x) for s in reach for x in small[s]} - seen
         seen |= reach
         least += 1
-    return Automaton((small * len(member)).astype(np.int32).ravel(), classes.astype(np.uint8), len(member), accepts.astype(np.int32), resets, least)
+    n = len(member)
+    return Automaton((small * n).astype(np.int32).ravel(), classes.astype(np.uint8), n, accepts, resets, least, dead[0] * n if dead else -1)
+
+
+@dataclass
+class Scanner:
+    rules: tuple[Rule, ...]
+    back: Automaton  # bits: rules of which a match starts here
+    ahead: Automaton  # bits: rules, then their heads
+
 
+def compile_rules(rules: tuple[Rule, ...] = RULES) -> Scanner:
+    if len(rules) > 31:
+        raise ValueError("a scanner holds 31 rules; run more in several")
+    trees = [parse(r.pattern, r.ignore_case) for r in rules]
+    heads = [parse(r.head, r.ignore_case) if r.head else ("alt", []) for r in rules]
+    return Scanner(rules, compile_patterns(trees, True, True), compile_patterns(trees + heads, False, False))
 
-def flagged_runs(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, rules) of the runs between reset bytes in which the automaton accepts.
 
-    Runs of all texts advance together, one byte of each at a time, the longest first.
+# ---------------------------------------------------------------- scanning
+
+
+def match_starts(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, rules) where matches start, in order.
+
+    The runs between bytes that reset the automaton, and between texts, are read from their ends,
+    one byte of each at a time, the longest first.
     """
-    stop = auto.resets[data]
-    edges = np.unique(np.concatenate([np.flatnonzero(stop), np.flatnonzero(stop) + 1, off]))
+    stop = np.flatnonzero(auto.resets[data])
+    edges = np.unique(np.concatenate([stop, stop + 1, off]))
     start, end = edges[:-1], edges[1:]
     long = end - start >= auto.least
     start, end = start[long], end[long]
@@ -226,58 +293,102 @@ def flagged_runs(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np
     # active[j]: how many runs have a byte j.
     active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
     state = np.zeros(len(start), np.int32)
-    got = np.zeros(len(start), np.int32)
-    first = auto.accepts
+    good = np.zeros(len(auto.table), bool)
+    good[:: auto.n_classes] = auto.accepts != 0
+    some = good[auto.table]  # the step leads to a state that accepts
+    at, masks = [], []
     for j, n in enumerate(active):
-        s = auto.table[state[:n] + cls[start[:n] + j]]
-        state[:n] = s
-        got[:n] |= first[s // auto.n_classes]
-    hit = np.flatnonzero(got)
-    return start[hit], end[hit], got[hit]
-
-
-_EXACT = [re.compile(r.exact) for r in RULES]
-
-
-def spans_in(run: str, mask: int) -> list[tuple[int, int, int]]:
-    """Exact (start, rule, end) of the kept matches of the flagged rules, leftmost and non-overlapping by rule."""
+        here = end[:n] - 1 - j
+        move = state[:n] + cls[here]
+        state[:n] = auto.table[move]
+        hit = np.flatnonzero(some[move])
+        if len(hit):
+            at.append(here[hit])
+            masks.append(auto.accepts[state[hit] // auto.n_classes])
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, masks = np.concatenate(at), np.concatenate(masks)
+    order = np.argsort(at, kind="stable")
+    return at[order], masks[order]
+
+
+def follow(auto: Automaton, data: np.ndarray, start: np.ndarray, limit: np.ndarray, rule: np.ndarray, n_rules: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end, end of the head) of the longest match of a rule from each start; the start where there is none."""
+    end, head = start.copy(), start.copy()
+    live, at = np.arange(len(start)), start.copy()
+    state = np.zeros(len(start), np.int32)
+    while len(live):
+        state = auto.table[state + auto.classes[data[at]]]
+        at = at + 1
+        bits = auto.accepts[state // auto.n_classes] >> rule[live]
+        full, part = (bits & 1).astype(bool), (bits >> n_rules & 1).astype(bool)
+        end[live[full]] = at[full]
+        head[live[part]] = at[part]
+        keep = (state != auto.dead) & (at < limit[live])
+        live, at, state = live[keep], at[keep], state[keep]
+    return end, head
+
+
+def spans_in(scanner: Scanner, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, rule, end) in bytes of the kept matches in texts, by start, then rule."""
+    at, masks = match_starts(scanner.back, data, off)
+    n = len(scanner.rules)
+    found = [(at[masks >> k & 1 == 1], k) for k in range(n)]
+    start = np.concatenate([a for a, _ in found])
+    rule = np.repeat([k for _, k in found], [len(a) for a, _ in found]).astype(np.int64)
+    if not len(start):
+        return start, rule, start
+    text = np.searchsorted(off, start, "right") - 1
+    # A row of starts for each rule and text; each is read from the first start on, then from the
+    # first one behind the match, until it has no more.
+    key = rule * (len(data) + 1) + start
+    group = rule * len(off) + text
+    last = np.append(np.flatnonzero(group[1:] != group[:-1]), len(group) - 1)
+    at, stop = np.append(0, last[:-1] + 1), last + 1
     out = []
-    for k, rule in enumerate(RULES):
-        if mask >> k & 1:
-            out += [(m.start(), k, m.end()) for m in _EXACT[k].finditer(run) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-    return out
-
-
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    least = np.array([r.least for r in scanner.rules])
+    while len(at):
+        s, k, limit = start[at], rule[at], off[text[at] + 1]
+        end, head = follow(scanner.ahead, data, s, limit, k, n)
+        kept = (end > s) & (end - head >= least[k])
+        out.append(np.stack([s[kept], k[kept], end[kept]]))
+        at = np.searchsorted(key, k * (len(data) + 1) + np.maximum(end, s + 1), "left")
+        more = at < stop
+        at, stop = at[more], stop[more]
+    s, k, e = np.concatenate(out, axis=1)
+    order = np.lexsort((k, s))
+    return s[order], k[order], e[order]
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, spans array<struct<kind, start, end, secret>> in code points, by start, then rule.
 
-    A null text counts as empty, and such rows have no spans; repeated rows give repeated results; an
-    empty table gives an empty result. Matches never cross a byte outside all rules' alphabets, so
-    each run between such bytes is judged alone; long texts are scanned whole.
+    The kinds are those of the rules given. A null text counts as empty, and such rows have no spans;
+    repeated rows give repeated results; of matches that start alike the earlier rule's comes first;
+    an empty table gives an empty result. Texts of any length are scanned whole. Columns other than
+    key and text are not used, whatever their names.
     """
-    auto = docs.sparkSession.sparkContext.broadcast(compile_rules(RULES))  # a few thousand numbers
-    kinds = [r.kind for r in RULES]
+    shared = docs.sparkSession.sparkContext.broadcast(compile_rules(tuple(rules)))  # tens of thousands of numbers
+    kinds = [r.kind for r in rules]
 
     def scan(batches):
         import pyarrow as pa
 
-        a = auto.value
+        scanner = shared.value
         kind_type = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())])
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             out: list[list[dict]] = [[] for _ in range(len(off) - 1)]
             for i, j in pieces(off):
                 part, po = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                for s, e, mask in zip(*flagged_runs(a, part, po), strict=True):
-                    d = int(np.searchsorted(po, s, "right")) - 1
-                    head = part[po[d] : s]
-                    at = int(np.count_nonzero((head & 0xC0) != 0x80))
-                    run = part[s:e].tobytes().decode("utf-8", "replace")
-                    out[i + d] += [{"kind": k, "start": at + x, "end": at + y, "secret": run[x:y]} for x, k, y in spans_in(run, int(mask))]
-            for found in out:
-                found.sort(key=lambda x: (x["start"], x["kind"]))
-                for x in found:
-                    x["kind"] = kinds[x["kind"]]
+                s, k, e = spans_in(scanner, part, po)
+                if not len(s):
+                    continue
+                points = np.append(0, np.cumsum((part & 0xC0) != 0x80))  # code points before each byte
+                d = np.searchsorted(po, s, "right") - 1
+                base = points[po[d]]
+                for doc, rule, a, b, x, y in zip(d.tolist(), k.tolist(), (points[s] - base).tolist(), (points[e] - base).tolist(), s.tolist(), e.tolist(), strict=True):
+                    out[i + doc].append({"kind": kinds[rule], "start": a, "end": b, "secret": part[x:y].tobytes().decode("ascii")})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(kind_type))], [key, "spans"])
 
     key_type = docs.schema[key].dataType.simpleString()

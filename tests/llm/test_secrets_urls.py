@@ -52,11 +52,65 @@ def test_secrets_added_kinds_and_empty(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
-def test_automaton_is_minimal_and_small():
-    auto = secrets.compile_rules(secrets.RULES)
-    n = len(auto.accepts)
-    rows = {(int(auto.accepts[i]), tuple(auto.table.reshape(n, -1)[i])) for i in range(n)}
-    assert len(rows) == n < 2000
+def test_automata_are_minimal_and_small():
+    scanner = secrets.compile_rules()
+    for auto in (scanner.back, scanner.ahead):
+        n = len(auto.accepts)
+        rows = {(int(auto.accepts[i]), tuple(auto.table.reshape(n, -1)[i])) for i in range(n)}
+        assert len(rows) == n < 1000
+
+
+ADDED = {
+    "private_key": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0), "hub_token": (r"gh[pousr]_[A-Za-z0-9]+", 24), "chat_token": (r"xox[abprs]-[A-Za-z0-9-]+", 17),
+    "signed_token": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+", 23),
+}
+
+
+def test_added_kinds_against_regexes(spark):
+    rng = random.Random(6)
+    bits = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "gh", "p_", "s_", "a1B2c3D4e5", "xox", "b-", "-", "eyJ", ".", "eyJ", "Q_", " ", "é", "\n", "AKIA", "f00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(600)] + ["x" * 50_000 + " ghp_" + "a" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.find_secrets(df).collect():
+        text = texts[r["doc_id"]]
+        want = [(m.start(), kind, m.end()) for kind, (rx, least) in ADDED.items() for m in re.finditer(rx, text) if m.end() - m.start() >= least]
+        assert sorted((x["start"], x["kind"], x["end"]) for x in r["spans"] if x["kind"] in ADDED) == sorted(want), text
+        assert all(x["secret"] == text[x["start"] : x["end"]] for x in r["spans"])
+
+
+def test_callers_rules_and_counts(spark):
+    """Leftmost longest matches of random patterns, against every end of every start tried by re."""
+    rng = random.Random(7)
+    atoms = ["a", "b", "c", "[ab]", "[b-c]", "(ab|a)", "(?:b|ca)", "\\x61"]
+    rules = []
+    while len(rules) < 25:
+        p = "".join(rng.choice(atoms) + rng.choice(["", "", "?", "+", "*", "{2}", "{1,3}", "{2,}", "{0,2}"]) for _ in range(rng.randrange(1, 4)))
+        if not re.fullmatch(p, ""):
+            rules.append(secrets.Rule(f"r{len(rules)}", p, "", rng.randrange(4), rng.random() < 0.3))
+    texts = ["".join(rng.choice("aabbcC d") for _ in range(rng.randrange(25))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["spans"]] for r in secrets.find_secrets(df, tuple(rules)).collect()}
+    for d, text in enumerate(texts):
+        want = []
+        for k, rule in enumerate(rules):
+            rx, i = re.compile(rule.pattern, re.I if rule.ignore_case else 0), 0
+            while i < len(text):
+                end = max((e for e in range(i + 1, len(text) + 1) if rx.fullmatch(text, i, e)), default=i)
+                if end - i >= max(1, rule.least):
+                    want.append((i, k, rule.kind, end))
+                i = max(end, i + 1)
+        assert got[d] == [(s, kind, e) for s, _, kind, e in sorted(want)], text
+    for bad in ("a^", "[^a]", "a.b", "(a", r"\d", "é", "*a"):
+        try:
+            secrets.compile_rules((secrets.Rule("x", bad),))
+            raise AssertionError(bad)
+        except (ValueError, IndexError):
+            pass
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "token=abcdef", "x", 3)] * 2, "doc_id long, text string, spans string, start int")
+    assert [[x["secret"] for x in r["spans"]] for r in secrets.find_secrets(df).collect()] == [["token=abcdef"]] * 2
 
 
 URLS = [
