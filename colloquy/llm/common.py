@@ -79,21 +79,21 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 
 # ---------------------------------------------------------------- rolling hashes
 
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_POW = np.ones(1, np.uint64)
-_IPOW = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _IPOW
-    if len(_POW) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("_POW", _BASE), ("_IPOW", _INV)):
-            x = np.full(size, base, np.uint64)
+#: Odd bases of two independent families of names.
+_BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a family's base and of its inverse, modulo 2^64."""
+    if family not in _POWERS or len(_POWERS[family][0]) < n:
+        out = []
+        for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
+            x = np.full(max(n, 1 << 20), base, np.uint64)
             x[0] = 1
-            globals()[name] = np.cumprod(x, dtype=np.uint64)
-    return _POW, _IPOW
+            out.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[family] = (out[0], out[1])
+    return _POWERS[family]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -107,10 +107,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit names of any substrings of a byte array."""
+    """64-bit names of any substrings of a byte array, of one of two families."""
 
-    def __init__(self, data: np.ndarray):
-        pw, self.ip = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, family: int = 0):
+        pw, self.ip = _powers(len(data) + 1, family)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: len(data)], out=self.prefix[1:])
 
@@ -162,10 +162,10 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
             np.not_equal(x[1:], x[:-1], out=keep[1:])
             out.append(x[keep])
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], np.uint64)
             for j in range(a, b):
                 whole = whole * _C[1] + words[j]
-            out.append(mix64(np.array([whole], np.uint64)))
+            out.append(mix64(whole))
         else:
             out.append(empty)
     return out

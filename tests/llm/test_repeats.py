@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
+from colloquy.llm import repeats
 from colloquy.llm.queries import op9_repeats
 from colloquy.llm.repeats import remove_repeats
 
@@ -21,7 +24,7 @@ def brute(texts, length):
 
 def check(spark, texts, length):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r for r in remove_repeats(df, length, rows_per_task=50).collect()}
+    got = {r["doc_id"]: r for r in remove_repeats(df, length).collect()}
     assert len(got) == len(texts)
     for i, (removed, kept, spans) in enumerate(brute(texts, length)):
         r = got[i]
@@ -56,6 +59,29 @@ def test_shared_passages(spark):
     check(spark, texts, 200)
 
 
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_SEGMENT", 64)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    shared = text(300)
+    df = [text(rng.randrange(500)) + shared[rng.randrange(100) : rng.randrange(150, 300)] + text(40) for _ in range(30)]
+    raw = ["".join(df), *df, "x" * 3000]
+    whole = [(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in raw]
+    for data, off in whole:  # every window stands in one part
+        starts = [s for _, _, a, b in repeats.segments(off, 20) for s in range(a, b - 19)]
+        assert sorted(starts) == list(range(max(0, len(data) - 19)))
+    check(spark, raw, 20)
+
+
+def test_one_line_in_every_text(spark):
+    """A wide bucket: a common line with other surroundings each time, ends that some share."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line, heads, tails = word(210), [word(90) for _ in range(4)], [word(90) for _ in range(4)]
+    texts = [word(rng.randrange(150)) + rng.choice([*heads, ""]) + line[rng.randrange(3) :] + rng.choice([*tails, word(30)]) + word(rng.randrange(150)) for _ in range(300)]
+    check(spark, texts, 200)
+
+
 def test_repeated_rows_and_query(spark, tmp_path):
     rows = [(1, "r" * 150 + "s" * 150, "x"), (1, "r" * 150 + "s" * 150, "x"), (2, None, None), (3, "y" * 199, "x"), (4, "z" * 201, "x")]
     spark.createDataFrame(rows, "doc_id long, text string, marks string").write.parquet(str(tmp_path / "documents.parquet"))
