@@ -64,6 +64,26 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_boilerplate_makes_no_groups(spark):
+    """Texts that share a third of their shingles fall into common buckets and into no group."""
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randrange(100_000)
+    same = " ".join(word() for _ in range(120))
+    docs = [(i, same + " " + " ".join(word() for _ in range(140))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sketch = registers([np.array([hash(x) & (1 << 64) - 1 for x in shingles(t)], np.uint64) for _, t in docs])
+    n = np.full(len(docs), 256.0)
+    assert not any(likely(sketch[:i], n[:i], sketch[i], 256.0, 0.8).any() for i in range(1, 100))
+    assert all(r["component_id"] == r["doc_id"] for r in near_duplicates(df).collect())
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = ("%s1 %s2 %s3 %s4 %s5 %s6 %s7" % ((x,) * 7) for x in "abc")
+    df = spark.createDataFrame([(5, a), (3, a), (5, b), (7, b), (9, c), (9, c), (9, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect())
+    assert got == [(3, 3, 3), (5, 3, 3), (5, 3, 3), (7, 3, 3), (9, 0, 9), (9, 3, 9), (9, 3, 9)]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 1 << 63, 4000).astype(np.uint64) for _ in range(2))
