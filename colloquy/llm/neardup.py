@@ -317,3 +317,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def oracle(percent: int = 85) -> str:
+    """DuckDB SQL of near_duplicates over documents, by pairs that share a shingle."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, w, least(5, len(w)) AS k FROM (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents) WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, hash(list_slice(w, j, j + k - 1)) AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM w))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= {percent} * (a.n + b.n - i)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS top FROM documents UNION SELECT e.y, r.top FROM r JOIN e ON e.x = r.node),
+c AS (SELECT node, min(top) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id"""

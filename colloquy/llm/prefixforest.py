@@ -9,70 +9,96 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import materialise
 
 #: Trees, and bits of each tree's hash strings.
-TREES, BITS = 16, 48
+TREES, BITS = 48, 24
 
 
-def wanted_candidates(n: int, k: int, share: float = 6.0) -> int:
-    """Candidates a query collects from n vectors: all of a few, a falling share of many."""
-    return max(4 * k, int(share * n**0.75))
-
-
-def hash_strings(x: np.ndarray, dim: int, seed: int = 11) -> np.ndarray:
+def hash_strings(x: np.ndarray, seed: int = 11) -> np.ndarray:
     """(trees, rows) hash strings: signs on random hyperplanes, the first bit the highest."""
-    planes = np.random.default_rng(seed).standard_normal((TREES * BITS, dim))
-    bits = (x @ planes.T > 0).reshape(len(x), TREES, BITS)
+    planes = np.random.default_rng(seed).standard_normal((TREES * BITS, x.shape[1])).astype(np.float32)
+    bits = (x.astype(np.float32) @ planes.T > 0).reshape(len(x), TREES, BITS)
     out = np.zeros((TREES, len(x)), np.uint64)
     for b in range(BITS):
         out |= bits[:, :, b].T.astype(np.uint64) << np.uint64(BITS - 1 - b)
     return out
 
 
+def reach(cosine: np.ndarray, miss: float) -> np.ndarray:
+    """The longest prefix at which a vector of that cosine is out of the reach of all trees with at most that chance.
+
+    A bit agrees with probability 1 - angle / pi, so a tree's prefix of b bits with the b-th power.
+    """
+    p = 1 - np.arccos(np.clip(cosine, -1.0, 1.0)) / np.pi
+    need = 1 - miss ** (1 / TREES)  # of one tree
+    with np.errstate(divide="ignore"):
+        b = np.log(need) / np.log(np.maximum(p, 1e-12))
+    return np.clip(np.where(p >= 1, BITS, b), 0, BITS).astype(np.int64)
+
+
 class Forest:
-    """One sorted array of hash strings for each tree."""
+    """One sorted array of hash strings for each tree, of vectors lifted to one length.
 
-    def __init__(self, x: np.ndarray):
-        self.x, self.dim = x, x.shape[1]
-        h = hash_strings(x, self.dim)
-        self.order = np.argsort(h, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(h, self.order, 1)
+    A component sqrt(longest^2 - length^2) puts vectors on a sphere, where the largest inner product
+    with a query (which gets 0 there) is the smallest angle.
+    """
 
-    def candidates(self, queries: np.ndarray, want: int):
-        """Per query the rows that share the longest prefixes with it.
+    def __init__(self, x: np.ndarray, longest: float):
+        self.x, self.longest = x, longest
+        lifted = np.c_[x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))]
+        h = hash_strings(lifted)
+        self.order = np.argsort(h, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(h, self.order, 1)
 
-        Every tree descends to the longest prefix it shares; then all trees ascend together, one
-        bit at a time, until their ranges hold `want` rows (counted in each tree).
+    def ranges(self, h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, queries) first and last place + 1 of the strings that share so many bits with h."""
+        low_bits = np.uint64((1 << (BITS - bits)) - 1)
+        low = np.stack([np.searchsorted(s, a & ~low_bits, "left") for s, a in zip(self.sorted, h, strict=True)])
+        high = np.stack([np.searchsorted(s, a | low_bits, "right") for s, a in zip(self.sorted, h, strict=True)])
+        return low, high
+
+    def _mark(self, seen: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        for t in range(TREES):
+            seen[self.order[t, low[t] : high[t]]] = True
+
+    def search(self, queries: np.ndarray, floor: np.ndarray, k: int, miss: float):
+        """Per query (rows, scores) of its candidates.
+
+        A query with a floor, a score that k others have reached, descends to the prefix at which a
+        vector as near as that would be missed with at most the chance `miss`; all that shares it in
+        any tree is a candidate. One without starts at the longest prefix at which the trees hold k
+        rows, and ascends one bit in all trees at a time until its own k-th best is such a floor. So
+        near neighbours end it early, and only data without any make it look at a large share.
         """
-        h = hash_strings(queries, self.dim)
-        nq = len(queries)
-        low = np.zeros((BITS + 1, TREES, nq), np.int32)
-        high = np.zeros((BITS + 1, TREES, nq), np.int32)
-        level = np.zeros(nq, np.int64)
-        open_ = np.ones(nq, bool)
+        length = np.maximum(np.linalg.norm(queries, axis=1), 1e-300) * self.longest
+        h = hash_strings(np.c_[queries, np.zeros(len(queries))])
+        seen = np.zeros((len(queries), len(self.x)), bool)
+        bounded = np.isfinite(floor)
+        level = np.where(bounded, reach(floor / length, miss), -1)
+        for bits in np.unique(level[bounded]):
+            at = np.flatnonzero(level == bits)
+            low, high = self.ranges(h[:, at], int(bits))
+            for j, q in enumerate(at):
+                self._mark(seen[q], low[:, j], high[:, j])
+        open_ = np.flatnonzero(~bounded)
+        scores = queries[open_] @ self.x.T if len(open_) else None  # looked up where a row is seen
         for bits in range(BITS, -1, -1):
-            mask = np.uint64(((1 << bits) - 1) << (BITS - bits))
-            for t in range(TREES):
-                low[bits, t] = np.searchsorted(self.sorted[t], h[t] & mask, "left")
-                high[bits, t] = np.searchsorted(self.sorted[t], h[t] | (~mask & np.uint64((1 << BITS) - 1)), "right")
-            enough = open_ & ((high[bits] - low[bits]).sum(0) >= want * 1.5)
-            level[enough] = bits
-            open_ &= ~enough
-            if not open_.any():
+            if not len(open_):
                 break
-        for q in range(nq):
-            seen = np.zeros(len(self.x), bool)
-            bits = level[q]
-            while True:
-                for t in range(TREES):
-                    seen[self.order[t, low[bits, t, q] : high[bits, t, q]]] = True
-                if bits == 0 or np.count_nonzero(seen) >= min(want, len(self.x)):
-                    break
-                bits -= 1
-                if not (high[bits, 0, q] - low[bits, 0, q]):
-                    mask = np.uint64(((1 << int(bits)) - 1) << (BITS - int(bits)))
-                    for t in range(TREES):
-                        low[bits, t, q] = np.searchsorted(self.sorted[t], h[t, q] & mask, "left")
-                        high[bits, t, q] = np.searchsorted(self.sorted[t], h[t, q] | (~mask & np.uint64((1 << BITS) - 1)), "right")
-            yield np.flatnonzero(seen)
+            low, high = self.ranges(h[:, open_], bits)
+            keep = np.ones(len(open_), bool)
+            for j in np.flatnonzero((high - low).sum(0) >= k) if bits else range(len(open_)):
+                q = open_[j]
+                self._mark(seen[q], low[:, j], high[:, j])
+                some = scores[j][seen[q]]
+                if len(some) >= k:
+                    keep[j] = bits > reach(np.partition(some, -k)[-k] / length[q], miss)
+            open_, scores = open_[keep], scores[keep]
+        # Candidates that are a large share of the block are scored by one product of matrices.
+        n = seen.sum(1)
+        dense = np.flatnonzero(n * 8 > len(self.x))
+        product = dict(zip(dense.tolist(), queries[dense] @ self.x.T, strict=True)) if len(dense) else {}
+        for q in range(len(queries)):
+            rows = np.flatnonzero(seen[q])
+            yield rows, product[q][rows] if q in product else self.x[rows] @ queries[q]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -82,28 +108,39 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_block: int = 8192, queries_per_task: int = 1024) -> DataFrame:
-    """For each of queries(vec_id, embedding) its k nearest of vectors by inner product: query_id, rank, vec_id, score.
+def _best(entries, k: int):
+    """The k best of an array of struct<score, vec_id>, ties to the smaller vec_id."""
+    before = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0)
+    return F.slice(F.array_sort(entries, before), 1, k)
+
 
-    Vectors are dealt by hash to blocks that fit a task, each with a forest of its own; the query
-    set runs against every block, in slices, and a query's best of all blocks are merged. Equal
-    vectors are indexed once with their k + 1 least ids, which is all that can be among the k best.
-    Scores are inner products of the original components in double precision, ties go to the
-    smaller vec_id, and a row is no candidate of its own.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = 0.15, rows_per_block: int = 8192, queries_per_task: int = 1024, counts: bool = False) -> DataFrame:
+    """For each of queries(vec_id, embedding) its k nearest of vectors by inner product: query_id, rank, vec_id, score.
 
-    Rows with a null id or a null, empty, zero or non-finite vector take no part, nor do vectors of
-    another length than most in their block's queries; repeated ids count once; empty tables give an
-    empty result. Other columns are not used.
+    Vectors are dealt by hash to blocks that fit a task, each with a forest of its own. A query first
+    searches one block. The k-th best score found there is its floor in the others, where it only
+    descends to the prefixes at which a vector as near as that is missed with a chance of `miss`. So
+    the share of rows it scores falls with the number of blocks and with the nearness of neighbours.
+    Equal vectors are indexed once with their k + 1 least ids, which is all that can be among the k
+    best. Scores are inner products of the original components in double precision, ties go to the
+    smaller vec_id, and a row is no candidate of its own. With `counts` the result is query_id and
+    scored, the distinct vectors that the query was compared with.
+
+    Rows with a null id or a null, empty, zero or non-finite vector take no part; a vector of another
+    length than a query's is no candidate of it; repeated ids count once as queries; vectors of any
+    length are read whole; empty tables give an empty result. Other columns are not used.
     """
     double = lambda df: usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")))
     index = materialise(_classes(double(vectors), k), "forest-vectors")
-    n = index.count()
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    n, longest = index.agg(F.count(F.lit(1)), F.sqrt(F.max(squares))).first()
     blocks = -(-n // rows_per_block) or 1
     asked = materialise(double(queries).dropDuplicates(["vec_id"]), "forest-queries")
     slices = -(-asked.count() // queries_per_task) or 1
     left = index.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    right = asked.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    schema = "query_id long, best array<struct<score:double,vec_id:bigint>>"
+    mine = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks))
+    right = asked.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)))
+    schema = "query_id long, best array<struct<score:double,vec_id:bigint>>, scored long"
 
     def search(data, ask):
         import pandas as pd
@@ -116,21 +153,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_block:
             x = np.stack(fit["embedding"].to_list())
             ids = fit["ids"].to_list()
             q = np.stack(some["embedding"].to_list())
-            forest = Forest(x)
-            for i, rows in enumerate(forest.candidates(q, wanted_candidates(len(x), k))):
-                score = x[rows] @ q[i]
-                if len(rows) > 4 * k:
-                    cut = np.partition(score, -2 * k)[-2 * k]
-                    rows = rows[score >= cut]
-                # Scores whose sum does not hang on the number of rows scored together.
-                found = [(-float(np.dot(x[r], q[i])), int(v)) for r in rows for v in ids[r] if v != some["vec_id"].iloc[i]]
-                found.sort()
-                out.append((some["vec_id"].iloc[i], [{"score": -s, "vec_id": v} for s, v in found[:k]]))
-        return pd.DataFrame(out, columns=["query_id", "best"])
-
-    found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(search, schema)
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("best")), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).otherwise(1)), 1, k)
-    merged = found.groupBy("query_id").agg(best.alias("best"))
+            own = some["vec_id"].tolist()
+            forest = Forest(x, longest)
+            for a in range(0, len(q), 256):
+                for i, (rows, score) in enumerate(forest.search(q[a : a + 256], some["floor"].to_numpy()[a : a + 256], k + 1, miss), a):
+                    scored = len(rows)
+                    if len(rows) > 4 * k:
+                        rows = rows[score >= np.partition(score, -2 * k)[-2 * k]]
+                    # Scores whose sum does not hang on the number of rows scored together.
+                    found = [(-float(np.dot(x[r], q[i])), int(v)) for r in rows for v in ids[r] if v != own[i]]
+                    found.sort()
+                    out.append((own[i], [{"score": -s, "vec_id": v} for s, v in found[:k]], scored))
+        return pd.DataFrame(out, columns=["query_id", "best", "scored"])
+
+    def run(ask):
+        return left.groupBy("block", "slice").cogroup(ask.groupBy("block", "slice")).applyInPandas(search, schema)
+
+    first = materialise(run(right.withColumn("block", mine).withColumn("floor", F.lit(float("-inf")))), "forest-first")
+    found = first
+    if blocks > 1:
+        floors = first.where(F.size("best") >= k).select("query_id", F.element_at("best", k)["score"].alias("found_floor"))
+        every = right.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("found_floor", F.lit(float("-inf")))).drop("query_id", "found_floor")
+        others = every.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).where(F.col("block") != mine)
+        found = found.unionByName(run(others))
+    if counts:
+        return found.groupBy("query_id").agg(F.sum("scored").alias("scored"))
+    # Every 64 blocks' best are merged before the rest, so no task holds k entries of every block.
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("best"), F.lit(-(-blocks // 64))))
+    part = salted.groupBy("query_id", "salt").agg(_best(F.flatten(F.collect_list("best")), k).alias("best"))
+    merged = part.groupBy("query_id").agg(_best(F.flatten(F.collect_list("best")), k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 

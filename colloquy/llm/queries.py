@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.oracle(), "op7_url_filter": urls.oracle()}
+    return {"op3_decontamination": decontaminate.oracle(), "op7_url_filter": urls.oracle(), "op8_neardup": neardup.oracle()}

@@ -73,6 +73,21 @@ def test_recall_on_table(spark):
     assert recall(results(nearest(v, v.where("vec_id % 20 = 0"), rows_per_block=300, queries_per_task=40)), want) > 0.93
 
 
+def test_unequal_lengths_and_near_neighbours(spark):
+    """The nearest by inner product of vectors of any length; in clusters a query looks at few rows, the fewer the more there are."""
+    rng = np.random.default_rng(2)
+    shares = []
+    for n in (1500, 6000):
+        centre = rng.standard_normal((n // 50, 32))
+        x = np.repeat(centre, 50, axis=0) + 0.05 * rng.standard_normal((n, 32))
+        x *= rng.uniform(0.9, 1.1, (n, 1))
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        asked = df.where("vec_id % 20 = 0")
+        assert recall(results(nearest(df, asked, rows_per_block=1000)), exact(dict(enumerate(x)), range(n), 20)) > 0.9
+        shares.append(nearest(df, asked, rows_per_block=1000, counts=True).agg(F.avg("scored")).first()[0] / n)
+    assert shares[1] < shares[0] < 0.5, shares
+
+
 def test_ties_copies_and_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(200, [0.5, 1.0]), (220, None), (240, [0.0, 0.0]), (260, [float("nan"), 1.0]), (280, [None, 1.0]), (None, [1.0, 1.0]), (300, []), (320, [float("inf"), 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, ids string")
