@@ -25,9 +25,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document with the least doc_id."""
-    gone = neardup.near_duplicates(docs, threshold=0.8).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = neardup.near_duplicates(docs.select("doc_id", "text"), threshold=0.8).where("not kept").select(F.col("doc_id").alias("_gone_id_")).distinct()
     gone = materialise(gone, "copies")
-    return docs.join(broadcast_if(gone, gone.count()), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = broadcast_if(gone, 32 * gone.count())
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id_"], "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
