@@ -147,7 +147,7 @@ def luhn_valid(text: Column) -> Column:
 
 def longest_line_run(text: Column) -> Column:
     """The longest run of equal non-blank lines."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     start = F.struct(F.lit(0).alias("best"), F.lit(0).alias("now"), F.lit("").alias("last"))
 
     def step(a, x):
@@ -163,7 +163,7 @@ def occurrences(text: Column, part: Column) -> Column:
 
 def repeats_itself(text: Column, run: int = 5, probe: int = 50, least: int = 200) -> Column:
     """Whether generated text has come into a loop: equal lines in a row, or a probe that recurs."""
-    at = F.sequence(F.lit(1), F.greatest(F.least(F.length(text), F.lit(5000)) - probe + 1, F.lit(1)), F.lit(probe))
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - probe + 1, F.lit(1)), F.lit(probe))
     again = F.exists(at, lambda i: occurrences(text, F.substring(text, i, F.lit(probe))) >= run)
     return F.coalesce((F.length(text) >= least) & ((longest_line_run(text) >= run) | again), F.lit(False))
 
@@ -204,3 +204,104 @@ def cosine(a: Column, b: Column) -> Column:
     """0 for vectors that are empty, of different length or zero."""
     n = norm(a) * norm(b)
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0), dot(a, b) / n).otherwise(F.lit(0.0))
+
+
+# ---------------------------------------------------------------- names, templates, stamps, model answers
+
+
+def clean_file_name(name: Column) -> Column:
+    """Without folders and `..`; null if nothing is left or a character is no letter, digit, space, `_`, `.` or `-`."""
+    base = F.replace(F.regexp_extract(name, r"([^/\\]*)$", 1), F.lit(".."), F.lit(""))
+    return F.when((F.trim(base) != "") & F.regexp_like(base, F.lit(r"^[\p{L}\p{N}_\s.\-]+$")), base)
+
+
+def fill_template(template: Column, values: dict[str, Column]) -> Column:
+    """Every `{name}` replaced by its value; braces of anything else stay."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
+def iso_stamp(ts: Column) -> Column:
+    """A UTC time with seven digits of its second's fraction."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
+
+
+def canonical_stamp(text: Column) -> Column:
+    """ISO-8601 text with seven digits of fraction; one with a fraction and Z stays, as does what cannot be read."""
+    t = F.trim(text)
+    parsed = F.try_to_timestamp(F.regexp_replace(t, "Z$", ""))
+    return F.when(F.regexp_like(t, F.lit(r"\..*Z$")), t).otherwise(F.coalesce(iso_stamp(parsed), text))
+
+
+def outer_object(text: Column) -> Column:
+    """The first `{...}` whose braces balance, of any depth, braces in strings not counted; null without one."""
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    begin = F.regexp_extract(F.coalesce(text, F.lit("")), r"(\{[\s\S]*)$", 1)
+    parts = F.regexp_extract_all(begin, F.lit(r'[{}"\\]|[^{}"\\]+'), F.lit(0))
+
+    def step(a, x):
+        mark = ~a["escaped"] & (x == '"')
+        depth = a["depth"] + F.when(a["quoted"] | a["done"], 0).when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        escaped = a["quoted"] & ~a["escaped"] & (x == "\\")
+        out = F.when(a["done"], a["out"]).otherwise(F.concat(a["out"], x))
+        return F.struct(depth.alias("depth"), F.when(mark, ~a["quoted"]).otherwise(a["quoted"]).alias("quoted"), escaped.alias("escaped"), out.alias("out"), (a["done"] | ((depth == 0) & (x == "}") & ~a["quoted"])).alias("done"))
+
+    return F.aggregate(parts, zero, step, lambda a: F.when(a["done"], a["out"]))
+
+
+def summary_or_raw(text: Column, limit: int = 500) -> Column:
+    """The field `summary` of the flat object in a model's answer, else the answer's first characters."""
+    return F.coalesce(F.get_json_object(F.regexp_extract(text, r"(\{[^{}]*\})", 1), "$.summary"), F.substring(text, 1, limit))
+
+
+def coerced_list(raw: Column, separator: str = ",") -> Column:
+    """A JSON list of texts; a bare or quoted text becomes its parts; blanks go; null or anything else is an empty list."""
+    listed = F.from_json(raw, "array<string>")
+    bare = F.split(F.regexp_replace(F.trim(raw), r'^"|"$', ""), separator)
+    out = F.when(F.regexp_like(raw, F.lit(r"^\s*\[")), listed).when(~F.regexp_like(raw, F.lit(r"^\s*\{")), bare)
+    return F.filter(F.transform(F.coalesce(out, F.expr("cast(array() as array<string>)")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+
+def checked_value(value: Column, synonyms: dict[str, str], default: str) -> Column:
+    """struct(value, reason) of a field of a model's answer: reason missing, wrong_type, invalid_value or null."""
+    known = one_of(value, synonyms, "\x00")
+    reason = F.when(value.isNull(), "missing").when(F.regexp_like(F.trim(value), F.lit(r"^[\[{]|^-?\d+(\.\d+)?$")), "wrong_type").when(known == "\x00", "invalid_value")
+    return F.struct(F.when(reason.isNull(), known).otherwise(default).alias("value"), reason.alias("reason"))
+
+
+#: Names of call directions and comparisons (fixed values).
+DIRECTIONS = {"PhoneCallDirectionIngoing": "Входящий", "PhoneCallDirectionOutgoing": "Исходящий", "PhoneCallDirectionInternal": "Внутренний"}
+COMPARISONS = {"NotStartsWith": "Номер не начинается с", "StartsWith": "Номер начинается с", "Equals": "Номер =", "Contains": "Номер содержит"}
+
+
+def _named(value: Column, names: dict[str, str]) -> Column:
+    out = value
+    for k, v in names.items():
+        out = F.when(value == k, v).otherwise(out)
+    return out
+
+
+def _whole_unit(seconds: Column) -> Column:
+    minutes = F.floor(seconds / 60)
+    hours = (seconds % 3600 == 0) & (seconds >= 3600)
+    return F.when(seconds < 60, F.concat_ws(" ", seconds.cast("int"), F.lit("сек"))).when(hours, F.concat_ws(" ", F.floor(seconds / 3600), F.lit("ч"))).otherwise(F.concat_ws(" ", minutes, F.lit("мин")))
+
+
+def decoded_attribute(key: Column, value: Column) -> Column:
+    """A dictionary attribute in words: duration, direction, remote number, server list; others as they are."""
+    low, high = (F.trim(F.get(F.split(value, ";"), F.lit(i))) for i in (0, 1))
+    at_least = F.floor(F.coalesce(timespan_seconds(low), F.lit(0.0)))
+    at_most = F.floor(timespan_seconds(high))
+    span = F.when(at_most.isNull(), F.concat_ws(" ", F.lit("Длительность >="), _whole_unit(at_least))).otherwise(F.concat_ws(" ", F.lit("Длительность"), _whole_unit(at_least), F.lit("—"), _whole_unit(at_most)))
+    piped = F.contains(value, F.lit("|"))
+    operator = F.when(piped, F.substring_index(value, "|", 1)).otherwise("Equals")
+    rest = F.when(piped, F.regexp_extract(value, r"^[^|]*\|([\s\S]*)$", 1)).otherwise(value)
+    servers = F.size(F.filter(F.split(rest, ","), lambda x: F.trim(x) != ""))
+    return (
+        F.when(key == "Duration", span)
+        .when(key == "CallDirection", F.concat_ws(" ", F.lit("Направление:"), _named(value, DIRECTIONS)))
+        .when(key == "RemotePhoneNumber", F.concat_ws(" ", _named(operator, COMPARISONS), rest))
+        .when(key == "UserDef5", F.concat(F.lit("SIP-сервер из списка ("), servers, F.lit(" шт.)")))
+        .otherwise(F.concat_ws(" = ", key, value))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from colloquy.functions import text as X
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?…])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?…])\s+|\n+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def pack(items: Column, budget: int, overlap: int) -> Column:
@@ -60,3 +62,8 @@ def links(chunks: DataFrame) -> DataFrame:
     """Each chunk's neighbours within its turn."""
     w = Window.partitionBy("dialogue_id", "turn_index").orderBy("chunk_index")
     return chunks.withColumn("overlap_with", F.array_compact(F.array(F.lag("chunk_index").over(w), F.lead("chunk_index").over(w))))
+
+
+def entities(chunks: DataFrame, recogniser: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """One row for each entity of a chunk; recogniser gives the array of a text's entities (of a pandas UDF or built in)."""
+    return chunks.withColumn("entity", F.explode(recogniser(F.col(text)))).drop(text)

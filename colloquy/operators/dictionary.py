@@ -44,6 +44,8 @@ class Node:
     children: list[Node] = field(default_factory=list)
     remainder: bool = False
     gated_by_tree: bool = True  # False: any hit opens the gate
+    saved_state: str = ""
+    attributes: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass

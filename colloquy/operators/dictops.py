@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions import text as X
+from colloquy.operators.kept import written
 
 #: Words that word lists leave out (fixed values).
 STOP_WORDS = (
@@ -45,10 +46,10 @@ def statistics(conditions: DataFrame) -> DataFrame:
 def stratified_sample(phrases: DataFrame, cap: int | None = None) -> DataFrame:
     """Every k-th of the phrases(pos, phrase) that differ without case: all up to 200, else 200 to 300 by number."""
     key = F.lower(F.trim("phrase"))
-    first = phrases.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where("k = 1").select("pos", "phrase")
+    first = written(phrases.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where("k = 1").select("pos", "phrase"), "sample-phrases")
     n = first.count()
     size = cap or (n if n <= 200 else 200 if n <= 500 else 250 if n <= 1000 else 300)
-    ranked = first.withColumn("i", F.row_number().over(Window.orderBy("pos")) - 1) if n <= 1_000_000 else _ranked(first)
+    ranked = _ranked(first)
     if n <= size:
         return ranked.select("pos", "phrase")
     # i is sampled if some j has int(j * n / size) = i.
@@ -58,7 +59,7 @@ def stratified_sample(phrases: DataFrame, cap: int | None = None) -> DataFrame:
 
 def _ranked(rows: DataFrame) -> DataFrame:
     """Row numbers by pos over ranges, without one task seeing all rows."""
-    parts = rows.repartitionByRange("pos").withColumn("part", F.spark_partition_id()).checkpoint()
+    parts = written(rows.repartitionByRange("pos").withColumn("part", F.spark_partition_id()), "ranked-parts")
     counts = parts.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parts.join(F.broadcast(counts), "part").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("pos")) - 1)
 

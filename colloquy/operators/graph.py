@@ -2,48 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.kept import written
 from colloquy.operators.retrieval import postings, top_k
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def groups(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def groups(edges: DataFrame) -> DataFrame:
     """(node, topic) of every node of edges(src, dst): the least node of its connected group.
 
     In each round a node takes the least label among its own and its neighbours', then the label of
     that label, so long chains shorten by more than one step. Rounds end in written tables.
     """
-    both = _written(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct(), "graph-edges")
-    labels = _written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("topic")), "graph-labels")
-    for _ in range(most_rounds):
+    both = written(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct(), "graph-edges")
+    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("topic")), "graph-labels")
+    while True:  # rounds grow with the logarithm of the longest chain
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("topic").alias("other"))
         step = labels.join(near, F.col("node") == F.col("src")).select("node", F.least("topic", "other").alias("topic"), F.col("topic").alias("was"))
         of = step.select(F.col("node").alias("n"), F.col("topic").alias("t"))
         jumped = step.join(of, F.col("topic") == F.col("n"), "left").select("node", F.least("topic", "t").alias("topic"), "was")
-        jumped = _written(jumped, "graph-labels")
+        jumped = written(jumped, "graph-labels")
         labels = jumped.select("node", "topic")
         if jumped.where("topic <> was").isEmpty():
             return labels
-    raise RuntimeError("groups did not settle")
 
 
 def topic_labels(docs: DataFrame, key: str, topics: DataFrame, n: int = 3) -> DataFrame:
-    """(topic, term, docs, rank): the terms that most of a topic's documents have, ties by term."""
+    """(topic, term, docs, rank): the terms of lowest IDF within a topic, that is those that most of its documents have; ties by term."""
     terms = postings(docs, key, letters=True).join(topics.withColumnRenamed("node", key), key)
     counted = terms.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("docs"))
     return top_k(counted, "topic", "term", n, "docs").select("topic", "term", "docs", "rank")
+
+
+def merge_topics(labels: DataFrame, least: float = 0.6) -> DataFrame:
+    """(topic, into) of labels(topic, ord, terms): a topic goes into the first kept one before it with like terms.
+
+    Likeness is the Jaccard index of the topics' own terms, not of what they have grown to, so chains
+    do not merge. Candidate pairs share a term. A topic is kept once no topic before it that may be
+    kept is like it; every round settles the first open topic of each group at least.
+    """
+    own = labels.select("topic", "ord", F.array_distinct("terms").alias("terms"))
+    flat = own.select("topic", "ord", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    a, b = (flat.select(*[F.col(c).alias(f"{c}_{k}") for c in ("topic", "ord", "n")], "term") for k in "ab")
+    shared = a.join(b, "term").where("ord_a < ord_b").groupBy("topic_a", "ord_a", "n_a", "topic_b", "n_b").agg(F.count(F.lit(1)).alias("both"))
+    pairs = written(shared.where(F.col("both") >= least * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("topic_a", "ord_a", "topic_b"), "topic-pairs")
+    state = written(own.select("topic", F.lit(None).cast(own.schema["topic"].dataType).alias("into")), "topic-state")
+    while True:
+        at = state.select(F.col("topic").alias("topic_a"), F.col("into").alias("into_a"))
+        left = pairs.join(at, "topic_a").where("into_a is null or into_a = topic_a")  # those before that are kept or open
+        first = left.groupBy("topic_b").agg(F.count_if(F.col("into_a").isNull()).alias("open"), F.min_by(F.when(F.col("into_a").isNotNull(), F.col("topic_a")), F.when(F.col("into_a").isNotNull(), F.col("ord_a"))).alias("kept"))
+        new = state.join(first, F.col("topic") == F.col("topic_b"), "left")
+        # A kept one before decides only if no open one stands before it; to be safe all before must be settled.
+        into = F.coalesce("into", F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("kept", "topic")))
+        state = written(new.select("topic", into.alias("into")), "topic-state")
+        if state.where("into is null").isEmpty():
+            return state

@@ -35,17 +35,3 @@ def recommendations(items: Column, kinds: tuple[str, ...] = ("add", "remove", "m
     """Only those of struct(kind, phrase, distance) with a known kind and a phrase; a distance that is no integer is null."""
     good = F.filter(items, lambda x: F.lower(x["kind"]).isin(*kinds) & (F.trim(F.coalesce(x["phrase"], F.lit(""))) != ""))
     return F.transform(good, lambda x: F.struct(F.lower(x["kind"]).alias("kind"), F.trim(x["phrase"]).alias("phrase"), x["distance"].try_cast("int").alias("distance")))
-
-
-def jaccard_merge(topics: list[tuple[str, set[str], set[int]]], least: float = 0.6) -> list[tuple[str, set[str], set[int]]]:
-    """Topics (label, terms, documents) in order, each joined to the first kept one with like terms."""
-    kept: list[tuple[str, set[str], set[int]]] = []
-    for label, terms, docs in topics:
-        for _, t, d in kept:
-            if t | terms and len(t & terms) / len(t | terms) >= least:
-                t |= terms
-                d |= docs
-                break
-        else:
-            kept.append((label, set(terms), set(docs)))
-    return sorted(kept, key=lambda x: -len(x[2]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import timegap
 from colloquy.operators.dictionary import Node, Placed, flatten, open_gate, select_roots
+from colloquy.operators.kept import written
 from colloquy.operators.matcher import match_phrases, phrase_row
 
 
@@ -53,13 +54,14 @@ def search(turns: DataFrame, roots: list[Node], names: list[str] | None = None,
     info = [(_cond_id(p, i), p.node_id, int(p.path[0]) + 1, p.root, p.node.name if len(p.path) > 1 else p.root, p.level, c.negated, p.node.remainder, list(p.gates)) for p, i, c in conds]
     meta = spark.createDataFrame(info, "cond_id string, node_id string, cascade_order int, root string, quarter string, dict_level int, negated boolean, is_remainder boolean, gates array<string>")
     columns = ["dialogue_id", "turn_index", "speaker", "phrase", "matched_text", "matched_start", "matched_end", "distance", "channel", "exact", "cond_id", "start_offset", "end_offset"]
-    hits = hits.select(*columns).join(F.broadcast(meta), "cond_id")  # one row a condition
+    # The state of a dialogue and its hits are read from one table: texts are matched once.
+    hits = written(hits.select(*columns).join(F.broadcast(meta), "cond_id"), "search-hits")  # one row a condition
 
     around = [(p, i, x) for p, i, _, x in limits if x.event == "Parent" and p.gates]
     for p, i, x in sorted(around, key=lambda y: y[0].level):
         mine = (F.col("cond_id") == _cond_id(p, i)) & (F.size("gates") > 0)
         above = hits.where((F.col("node_id") == p.gates[-1]) & ~F.col("negated")).select("dialogue_id", "start_offset", F.struct("cond_id", "turn_index").alias("ord"))
-        hits = hits.where(~mine).unionByName(timegap.near_parent(hits.where(mine), above, x))
+        hits = written(hits.where(~mine).unionByName(timegap.near_parent(hits.where(mine), above, x)), "search-hits")
 
     texts = F.collect_set(F.when(~F.col("negated"), F.concat_ws("\x1f", "node_id", "phrase")))
     barred = F.collect_set(F.when(F.col("negated"), F.col("node_id")))
@@ -92,12 +94,16 @@ def search(turns: DataFrame, roots: list[Node], names: list[str] | None = None,
         "dict_level",
         "is_remainder",
     )
-    # Every visited node with conditions writes its level, with 0 if it has no matches.
-    visited = [(p.node_id, int(p.path[0]) + 1, p.level, list(p.gates)) for p in placed if p.node.conditions]
-    nodes = spark.createDataFrame(visited, "node_id string, cascade_order int, dict_level int, gates array<string>")
-    one = turns.groupBy("dialogue_id").agg(F.lit(1).alias("_")).drop("_").join(state.select("dialogue_id", "_open"), "dialogue_id", "left")
-    at = one.withColumn("_open", F.coalesce("_open", F.expr("cast(array() as array<string>)"))).join(F.broadcast(nodes))  # the dictionary's nodes, a fixed set
-    at = at.where(F.forall("gates", lambda g: F.array_contains("_open", g)))
+    # Every visited node with conditions writes its level, with 0 if it has no matches. Nodes without a
+    # gate are visited in every dialogue, others only where their nearest gate is open.
+    visited = [(int(p.path[0]) + 1, p.level, list(p.gates), p.gates[-1] if p.gates else None) for p in placed if p.node.conditions]
+    nodes = spark.createDataFrame(sorted(set((o, lv, tuple(g), n) for o, lv, g, n in visited), key=repr), "cascade_order int, dict_level int, gates array<string>, nearest string").distinct()
+    top = F.array(*[F.struct(F.lit(o).alias("cascade_order"), F.lit(lv).alias("dict_level")) for o, lv in sorted({(o, lv) for o, lv, _, n in visited if n is None})])
+    one = turns.select("dialogue_id").distinct()
+    ungated = one.select("dialogue_id", F.explode(top).alias("at")).select("dialogue_id", "at.cascade_order", "at.dict_level")
+    opened = state.select("dialogue_id", "_open", F.explode("_open").alias("nearest"))
+    gated = opened.join(F.broadcast(nodes.where("nearest is not null")), "nearest").where(F.forall("gates", lambda g: F.array_contains("_open", g)))
+    at = ungated.unionByName(gated.select("dialogue_id", "cascade_order", "dict_level"))
     rooted = matches.groupBy("dialogue_id").agg(F.collect_set("cascade_order").alias("_done"))
     if cascade and n_roots > 1:
         at = at.join(rooted, "dialogue_id", "left").withColumn("_done", F.coalesce("_done", F.expr("cast(array() as array<int>)")))

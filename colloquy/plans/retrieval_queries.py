@@ -213,7 +213,7 @@ def relevant(spark, d):
     second = b.withColumn("word", key(F.substring("item", 1, 40)))
     have = docs(spark, d).withColumn("word", F.explode(F.array_distinct(R.X.tokens(F.col("text")))))
     grade = F.when(F.contains("text", "item"), 3).when(F.contains(F.col("text"), F.substring("item", 1, 40)), 1).otherwise(0)
-    return have.join(F.broadcast(second), "word").select("query_id", "doc_id", grade.alias("grade")).where("grade > 0")
+    return have.join(R.small(second), "word").select("query_id", "doc_id", grade.alias("grade")).where("grade > 0")
 
 
 METRICS = f"""{BM25}, {QRELS}, rel AS (SELECT * FROM qr WHERE grade > 0),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.operators.kept import shared_folder
 from colloquy.streaming import dialogues
 
 Q: dict = {}
@@ -17,8 +17,7 @@ SQL: dict[str, str] = {}
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there into a table of the shared folder; read that."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")

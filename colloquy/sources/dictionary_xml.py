@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import xml.etree.ElementTree as ET
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from colloquy.operators.dictionary import Condition, Limit, Node, Token, conditi
 REQUEST, REMAINDER = "SpeechLabRequest", "SpeechLabRemainderRequest"
 MOST_DEEP = 20
 
-ROWS = "path string, node_id string, parent_id string, name string, level int, is_remainder boolean, cond_ord int, phrase string, distance int, channel string, exact boolean, negated boolean, operator string, error string"
+ROWS = "path string, node_id string, parent_id string, name string, level int, is_remainder boolean, cond_ord int, phrase string, distance int, channel string, exact boolean, negated boolean, operator string, limits string, saved_state string, attributes string, error string"
 
 
 def _text(e: ET.Element | None, tag: str, default: str = "") -> str:
@@ -46,16 +48,31 @@ def _limits(e: ET.Element) -> list[Limit]:
     return out
 
 
-def parse(data: bytes | str) -> Node:
-    """The tree of one dictionary; children over the depth or without a known tag are left out."""
+def _attributes(e: ET.Element) -> dict[str, str]:
+    """Keys and values of `<Attributes>`, whether as children with a key and a value or as tags."""
+    out = {}
+    for x in e.findall("Attributes/*"):
+        key = x.get("Key") or _text(x, "Key") or x.tag.rpartition("}")[2]
+        out[key] = x.get("Value") or _text(x, "Value") or (x.text or "").strip()
+    return out
+
+
+def parse(data: bytes | str, warnings: list[str] | None = None) -> Node:
+    """The tree of one dictionary; children over the depth or without a known tag are left out, with a warning."""
+    warnings = [] if warnings is None else warnings
 
     def node(e: ET.Element, depth: int) -> Node:
+        for c in e.findall("Requests/*"):
+            if c.tag.rpartition("}")[2] not in (REQUEST, REMAINDER):
+                warnings.append(f"unknown tag {c.tag} in {_text(e, 'Name')}")
+            elif depth >= MOST_DEEP:
+                warnings.append(f"{_text(c, 'Name')} is deeper than {MOST_DEEP}")
         remainder = e.tag.rpartition("}")[2] == REMAINDER
         conditions = [] if remainder else conditions_of(_tokens(e))
         for c in conditions:
             c.limits = _limits(e)
         children = [node(c, depth + 1) for c in e.findall("Requests/*") if c.tag.rpartition("}")[2] in (REQUEST, REMAINDER) and depth < MOST_DEEP]
-        return Node(_text(e, "Name"), conditions, children, remainder)
+        return Node(_text(e, "Name"), conditions, children, remainder, saved_state=_text(e, "SavedState"), attributes=_attributes(e))
 
     root = ET.fromstring(data)
     if root.tag.rpartition("}")[2] != REQUEST:
@@ -102,6 +119,12 @@ def serialize(root: Node) -> str:
                 limit = ET.SubElement(ET.SubElement(g, "Limits"), "Limit")
                 for tag, value in (("Value", x.value), ("ValueType", x.unit), ("Channel", x.channel), ("Enabled", str(x.enabled).lower()), ("LimitType", x.end), ("EventSelector", x.selector), ("SearchDirection", x.direction)):
                     sub(limit, tag, str(value))
+        if n.saved_state:
+            sub(e, "SavedState", n.saved_state)
+        if n.attributes:
+            attributes = ET.SubElement(e, "Attributes")
+            for key, value in n.attributes.items():
+                ET.SubElement(attributes, "Attribute", Key=key, Value=value)
         requests = ET.SubElement(e, "Requests")
         for i, child in enumerate(n.children):
             requests.append(build(child, i))
@@ -111,27 +134,38 @@ def serialize(root: Node) -> str:
 
 
 def read_dictionaries(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """Rows of nodes and conditions of all *.xml files; a file that does not parse is one row with its error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).where((F.col("length") > 0) & (F.col("length") <= most_bytes))
+    """Rows of nodes and conditions of all *.xml files.
+
+    A file that is empty, too large or does not parse is one row with its error; what a file's tree
+    leaves out is a row with a warning each. Limits and attributes are JSON.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    good = files.where((F.col("length") > 0) & (F.col("length") <= most_bytes))
+    names = [c.split()[0] for c in ROWS.split(", ")]
 
     def rows(batches):
         import pandas as pd
 
-        names = [c.split()[0] for c in ROWS.split(", ")]
         for pdf in batches:
             out = []
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                warnings: list[str] = []
                 try:
-                    placed = flatten([parse(bytes(content))])
+                    placed = flatten([parse(bytes(content), warnings)])
                 except (ET.ParseError, ValueError) as e:
-                    out.append((file, *[None] * (len(names) - 2), str(e)[:500]))
-                    continue
+                    warnings, placed = [str(e)[:500]], []
                 for p in placed:
                     head = (file, p.node_id, p.node_id.rpartition(".")[0] or None, p.node.name, p.level, p.node.remainder)
+                    tail = (p.node.saved_state or None, json.dumps(p.node.attributes, ensure_ascii=False) if p.node.attributes else None, None)
                     for i, c in enumerate(p.node.conditions):
-                        out.append((*head, i, c.text, c.distance, c.channel, c.exact, c.negated, c.operator, None))
+                        limits = json.dumps([asdict(x) for x in c.limits], ensure_ascii=False) if c.limits else None
+                        out.append((*head, i, c.text, c.distance, c.channel, c.exact, c.negated, c.operator, limits, *tail))
                     if not p.node.conditions:
-                        out.append((*head, *[None] * 8))
+                        out.append((*head, *[None] * 8, *tail))
+                out += [(file, *[None] * (len(names) - 2), w) for w in warnings]
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda x: x.notna(), None)
 
-    return files.select("path", "content").mapInPandas(rows, ROWS)
+    reason = F.when(F.col("length") == 0, "empty").otherwise("too large")
+    bad = files.where((F.col("length") == 0) | (F.col("length") > most_bytes))
+    rejected = spark.createDataFrame([], ROWS).unionByName(bad.select("path", reason.alias("error")), allowMissingColumns=True)
+    return good.select("path", "content").mapInPandas(rows, ROWS).unionByName(rejected)

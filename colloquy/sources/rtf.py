@@ -44,9 +44,19 @@ def plain_text(rtf: Column) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
+def table_rows(rtf: Column) -> Column:
+    """The rows of an RTF string's tables, each an array of its cells' texts; columns need no names to be told by place."""
+    rows = F.regexp_extract_all(rtf, F.lit(r"\\trowd([\s\S]*?)\\row\b"), F.lit(1))
+    # A cell ends with its mark; what follows the last one belongs to no cell.
+    cells = F.transform(rows, lambda r: F.filter(F.split(r, r"\\cell\b ?"), lambda c, i: i >= 0))
+    return F.transform(cells, lambda r: F.transform(F.slice(r, 1, F.size(r) - 1), lambda c: F.trim(F.regexp_replace(plain_text(c), r"\s+", " "))))
+
+
 def read_dialogues(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
-    """(turns, rejected paths) of all *.rtf files; a file without a turn is rejected."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rtf").load(path).where((F.col("length") > 0) & (F.col("length") <= most_bytes))
-    texts = files.select(F.col("path").alias("dialogue_id"), plain_text(cp1251(F.col("content"))).alias("text"))
-    turns = from_plain_text(texts)
-    return turns, texts.select("dialogue_id").join(turns.select("dialogue_id").distinct(), "dialogue_id", "left_anti")
+    """(turns, rejected(dialogue_id, reason)) of all *.rtf files; empty ones, larger ones and those without a turn are rejected."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rtf").load(path)
+    good = files.where((F.col("length") > 0) & (F.col("length") <= most_bytes))
+    turns = from_plain_text(good.select(F.col("path").alias("dialogue_id"), plain_text(cp1251(F.col("content"))).alias("text")))
+    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").otherwise("no turn")
+    rejected = files.select(F.col("path").alias("dialogue_id"), reason.alias("reason")).join(turns.select("dialogue_id").distinct(), "dialogue_id", "left_anti")
+    return turns, rejected

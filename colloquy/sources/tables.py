@@ -55,3 +55,26 @@ class Table:
     def age_out(self, column: str, now: Column, ttl_seconds: int) -> None:
         if ttl_seconds > 0:
             self._write(self.read().where(F.col(column) >= now - F.make_dt_interval(secs=F.lit(ttl_seconds))))
+
+
+def read_feedback(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
+    """Feedback lines of JSONL files: session_id, ts, body (the line); blank and bad lines are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "").where(F.try_parse_json("value").isNotNull())
+    rows = lines.select(F.get_json_object("value", "$.session_id").alias("session_id"), F.get_json_object("value", "$.timestamp").alias("ts"), F.col("value").alias("body"))
+    return rows.where(F.col("session_id") == session) if session is not None else rows
+
+
+def load_vocabulary(spark: SparkSession, path: str, dimension: int) -> DataFrame | None:
+    """A kept vocabulary(term, idx, df, idf); None if it has another dimension or its places do not run from 0 on."""
+    found = spark.read.parquet(path)
+    n, least, most = found.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx")).first()
+    return found if n <= dimension and (n == 0 or (least == 0 and most == n - 1)) else None
+
+
+def fitting_vectors(vectors: DataFrame, dimension: int, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(unit vectors of the dimension, refused rows): what a kept vector index takes; zero vectors stay zero."""
+    v = F.col(column)
+    fits = F.coalesce(F.size(v) == dimension, F.lit(False))
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return vectors.where(fits).withColumn(column, unit), vectors.where(~fits)
