@@ -272,17 +272,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     same = ["n", "set_a", "set_b"]
     # Classes of one row need no join. A class is known by its least doc_id and a name of its set.
     classes = materialise(linkable.groupBy(*same).agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select(*same, "rep"), "neardup-classes")
+    classes = broadcast_if(classes, 48 * classes.count())
     rows = linkable.join(classes, same, "left")
     node = lambda rid, name: F.struct(F.col(rid).alias("rid"), F.col(name).alias("name"))
-    single = rows.where("rep is null").select("rid", F.col("set_a").alias("name"), "n", "sketch")
-    shared = rows.where("rid = rep").dropDuplicates(["rid", *same]).select("rid", F.col("set_a").alias("name"), "n", "sketch")
-    reps = materialise(single.unionByName(shared), "neardup-reps", "zstd")
+    first = materialise(rows.where("rep is null or rid = rep").select("rid", F.col("set_a").alias("name"), "n", "sketch", F.col("rep").isNotNull().alias("shared")), "neardup-first", "zstd")
+    # Only a class's rows of its least doc_id may be there more than once.
+    reps = first.where("not shared").unionByName(first.where("shared").dropDuplicates(["rid", "name"])).drop("shared")
 
     size = 2 * ROWS
     part = F.array(*[F.xxhash64(F.lit(j), F.substring(F.col("sketch"), j * size + 1, size)) for j in range(BANDS)])
     keyed = reps.select("rid", "name", F.explode(part).alias("bucket"))
     buckets = materialise(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-buckets")
-    met = _in_blocks(keyed, "bucket", buckets, "rid").join(reps, ["rid", "name"])
+    met = _in_blocks(keyed, "bucket", broadcast_if(buckets, 24 * buckets.count()), "rid").join(reps, ["rid", "name"])
     met = met.select("bucket", "low", "high", "rid", "name", "n", "sketch").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     four = "rid_a long, name_a long, rid_b long, name_b long"
     edges = lambda df: df.select(node("rid_a", "name_a").alias("a"), node("rid_b", "name_b").alias("b"))
