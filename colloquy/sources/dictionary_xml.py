@@ -136,11 +136,12 @@ def serialize(root: Node) -> str:
 def read_dictionaries(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
     """Rows of nodes and conditions of all *.xml files.
 
-    A file that is empty, too large or does not parse is one row with its error; what a file's tree
-    leaves out is a row with a warning each. Limits and attributes are JSON.
+    A file that is too large or does not parse is one row with its error; what a file's tree leaves
+    out is a row with a warning each. Limits and attributes are JSON. Files of no bytes are not among
+    those that Spark lists.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
-    good = files.where((F.col("length") > 0) & (F.col("length") <= most_bytes))
+    good = files.where(F.col("length") <= most_bytes)
     names = [c.split()[0] for c in ROWS.split(", ")]
 
     def rows(batches):
@@ -165,7 +166,6 @@ def read_dictionaries(spark: SparkSession, path: str, most_bytes: int = 50 << 20
                 out += [(file, *[None] * (len(names) - 2), w) for w in warnings]
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda x: x.notna(), None)
 
-    reason = F.when(F.col("length") == 0, "empty").otherwise("too large")
-    bad = files.where((F.col("length") == 0) | (F.col("length") > most_bytes))
-    rejected = spark.createDataFrame([], ROWS).unionByName(bad.select("path", reason.alias("error")), allowMissingColumns=True)
+    bad = files.where(F.col("length") > most_bytes).select("path", F.lit("too large").alias("error"))
+    rejected = spark.createDataFrame([], ROWS).unionByName(bad, allowMissingColumns=True)
     return good.select("path", "content").mapInPandas(rows, ROWS).unionByName(rejected)

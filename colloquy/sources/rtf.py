@@ -53,10 +53,13 @@ def table_rows(rtf: Column) -> Column:
 
 
 def read_dialogues(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
-    """(turns, rejected(dialogue_id, reason)) of all *.rtf files; empty ones, larger ones and those without a turn are rejected."""
+    """(turns, rejected(dialogue_id, reason)) of all *.rtf files; larger ones and those without a turn are rejected.
+
+    Files of no bytes are not among those that Spark lists.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rtf").load(path)
-    good = files.where((F.col("length") > 0) & (F.col("length") <= most_bytes))
+    good = files.where(F.col("length") <= most_bytes)
     turns = from_plain_text(good.select(F.col("path").alias("dialogue_id"), plain_text(cp1251(F.col("content"))).alias("text")))
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").otherwise("no turn")
+    reason = F.when(F.col("length") > most_bytes, "too large").otherwise("no turn")
     rejected = files.select(F.col("path").alias("dialogue_id"), reason.alias("reason")).join(turns.select("dialogue_id").distinct(), "dialogue_id", "left_anti")
     return turns, rejected
