@@ -72,7 +72,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8,
     sketches = [_sketch(d, k, top) for k, top in sorted(bounds.items())]
     sketch = F.concat(*sketches) if sketches else F.expr("cast(array() as array<struct<name:bigint,width:int>>)")
     probes = docs.select(rid.alias("rid"), words_of(F.col("text")).alias("words")).select("rid", F.explode(sketch).alias("s")).select("rid", "s.name", "s.width")
-    met = probes.distinct().join(index, ["name", "width"]).groupBy("rid", "item").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    # A repeated row counts a hash again, which can only make one more candidate.
+    met = probes.join(index, ["name", "width"]).groupBy("rid", "item").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
     found = materialise(met.where("n >= need").select("rid", "item"), "leak-candidates")
     found = broadcast_if(found, 32 * found.count())
 

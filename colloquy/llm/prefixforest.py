@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,13 +116,14 @@ def _best(entries, k: int):
     return F.slice(F.array_sort(entries, before), 1, k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = 0.15, rows_per_block: int = 8192, queries_per_task: int = 1024, counts: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = 0.1, rows_per_block: int = 8192, queries_per_task: int = 1024, counts: bool = False) -> DataFrame:
     """For each of queries(vec_id, embedding) its k nearest of vectors by inner product: query_id, rank, vec_id, score.
 
     Vectors are dealt by hash to blocks that fit a task, each with a forest of its own. A query first
-    searches one block. The k-th best score found there is its floor in the others, where it only
-    descends to the prefixes at which a vector as near as that is missed with a chance of `miss`. So
-    the share of rows it scores falls with the number of blocks and with the nearness of neighbours.
+    searches one block. The score that more than its share of the k best reach there is its floor in
+    the others, where it only descends to the prefixes at which a vector as near as that is missed with
+    a chance of `miss`. So the share of rows it scores falls with the number of blocks, and with the
+    nearness of neighbours where each block holds some of them.
     Equal vectors are indexed once with their k + 1 least ids, which is all that can be among the k
     best. Scores are inner products of the original components in double precision, ties go to the
     smaller vec_id, and a row is no candidate of its own. With `counts` the result is query_id and
@@ -135,6 +138,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = 0
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     n, longest = index.agg(F.count(F.lit(1)), F.sqrt(F.max(squares))).first()
     blocks = -(-n // rows_per_block) or 1
+    # Of the k best a block holds k / blocks on average; so many, and two deviations more, set a floor.
+    near = k + 1 if blocks == 1 else min(k + 1, math.ceil(k / blocks + 2 * math.sqrt(k / blocks)) + 1)
     asked = materialise(double(queries).dropDuplicates(["vec_id"]), "forest-queries")
     slices = -(-asked.count() // queries_per_task) or 1
     left = index.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
@@ -156,7 +161,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = 0
             own = some["vec_id"].tolist()
             forest = Forest(x, longest)
             for a in range(0, len(q), 256):
-                for i, (rows, score) in enumerate(forest.search(q[a : a + 256], some["floor"].to_numpy()[a : a + 256], k + 1, miss), a):
+                for i, (rows, score) in enumerate(forest.search(q[a : a + 256], some["floor"].to_numpy()[a : a + 256], near, miss), a):
                     scored = len(rows)
                     if len(rows) > 4 * k:
                         rows = rows[score >= np.partition(score, -2 * k)[-2 * k]]
@@ -172,7 +177,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = 0
     first = materialise(run(right.withColumn("block", mine).withColumn("floor", F.lit(float("-inf")))), "forest-first")
     found = first
     if blocks > 1:
-        floors = first.where(F.size("best") >= k).select("query_id", F.element_at("best", k)["score"].alias("found_floor"))
+        at = min(near, k)
+        floors = first.where(F.size("best") >= at).select("query_id", F.element_at("best", at)["score"].alias("found_floor"))
         every = right.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("found_floor", F.lit(float("-inf")))).drop("query_id", "found_floor")
         others = every.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).where(F.col("block") != mine)
         found = found.unionByName(run(others))

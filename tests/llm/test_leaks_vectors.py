@@ -78,8 +78,8 @@ def test_unequal_lengths_and_near_neighbours(spark):
     rng = np.random.default_rng(2)
     shares = []
     for n in (1500, 6000):
-        centre = rng.standard_normal((n // 50, 32))
-        x = np.repeat(centre, 50, axis=0) + 0.05 * rng.standard_normal((n, 32))
+        centre = rng.standard_normal((n // 150, 32))
+        x = np.repeat(centre, 150, axis=0) + 0.05 * rng.standard_normal((n, 32))
         x *= rng.uniform(0.9, 1.1, (n, 1))
         df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
         asked = df.where("vec_id % 20 = 0")
