@@ -243,11 +243,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, group: str, sizes: DataFrame, node: str) -> DataFrame:
-    """Add block, low and high: every row goes to each pair of blocks that has its own; sizes(group, size)."""
+    """Add block, low and high: every row goes to each pair of blocks that has its own; sizes(group, size).
+
+    What comes of it is broadcast where the sizes say that it is small.
+    """
     blocks = sizes.select(F.col(group).alias("_group"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(blocks, F.col(group) == F.col("_group")).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    n, total = sizes.agg(F.count(F.lit(1)), F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK))).first()
+    placed = rows.join(broadcast_if(blocks, 24 * n), F.col(group) == F.col("_group")).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("_group", "blocks", "other")
+    placed = placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("_group", "blocks", "other")
+    return broadcast_if(placed, 56 * (total or 0))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -283,7 +288,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     part = F.array(*[F.xxhash64(F.lit(j), F.substring(F.col("sketch"), j * size + 1, size)) for j in range(BANDS)])
     keyed = reps.select("rid", "name", F.explode(part).alias("bucket"))
     buckets = materialise(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-buckets")
-    met = _in_blocks(keyed, "bucket", broadcast_if(buckets, 24 * buckets.count()), "rid").join(reps, ["rid", "name"])
+    members = materialise(keyed.join(broadcast_if(buckets.select("bucket"), 16 * buckets.count()), "bucket"), "neardup-members")
+    # Near copies meet in many bands, mostly in buckets of the same documents: one of these says it all.
+    sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rid", "name")).alias("x"), F.bit_xor(F.xxhash64("name", "rid", F.lit(7))).alias("y"))
+    sets = materialise(sets.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "neardup-sets")
+    met = reps.join(_in_blocks(members, "bucket", sets, "rid"), ["rid", "name"])
     met = met.select("bucket", "low", "high", "rid", "name", "n", "sketch").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     four = "rid_a long, name_a long, rid_b long, name_b long"
     edges = lambda df: df.select(node("rid_a", "name_a").alias("a"), node("rid_b", "name_b").alias("b"))
@@ -295,7 +304,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     wanted = groups.select("rid").distinct()
     wanted = broadcast_if(wanted, 32 * wanted.count())
     names = slim.join(wanted, "rid", "left_semi").mapInArrow(_shingled(width), "member long, name long, names binary").dropDuplicates(["member", "name"])
-    full = placed.join(reps.select("rid", "name", "sketch"), ["rid", "name"]).withColumnRenamed("rid", "member").join(names, ["member", "name"])
+    full = reps.select("rid", "name", "sketch").join(placed, ["rid", "name"]).withColumnRenamed("rid", "member").join(names, ["member", "name"])
     links = full.select("group", "low", "high", "block", "member", "name", "names", "sketch").groupBy("group", "low", "high").applyInPandas(_verified(threshold), four)
     links = edges(links)
 
