@@ -8,26 +8,68 @@ from pyspark.sql import functions as F
 TOKEN = "[а-яёa-z0-9]+"
 
 #: Verb pairs that differ only in aspect (fixed values).
-ASPECT_PAIRS = """
-переключить переключать; переключаться переключить; переключиться переключать; перейти переходить; уйти уходить;
-сменить сменять; поменять менять; отказаться отказываться; расторгнуть расторгать; отключить отключать;
-отключиться отключаться; подключить подключать; подключиться подключаться; переехать переезжать; перебраться перебираться;
-отвергнуть отвергать; забрать забирать; переместить перемещать; перенести переносить; передать передавать;
-разорвать разрывать; закрыть закрывать; остановить останавливать; прекратить прекращать; закончить заканчивать;
-завершить завершать; продолжить продолжать; изменить изменять; заменить заменять; отменить отменять;
-перевести переводить; перевестись переводиться; перевернуть переворачивать; приостановить приостанавливать;
-возобновить возобновлять; восстановить восстанавливать; купить покупать; продлить продлевать; оформить оформлять;
-подписать подписывать; оплатить оплачивать; заплатить платить; вернуть возвращать; вернуться возвращаться;
-перезвонить перезванивать; связать связывать; связаться связываться; решить решать; разобраться разбираться;
-разобрать разбирать; обсудить обсуждать; рассмотреть рассматривать; предложить предлагать; помочь помогать
-"""
+ASPECT_PAIRS = (
+    ("переключить", "переключать"),
+    ("переключаться", "переключить"),
+    ("переключиться", "переключать"),
+    ("перейти", "переходить"),
+    ("уйти", "уходить"),
+    ("сменить", "сменять"),
+    ("поменять", "менять"),
+    ("отказаться", "отказываться"),
+    ("расторгнуть", "расторгать"),
+    ("отключить", "отключать"),
+    ("отключиться", "отключаться"),
+    ("подключить", "подключать"),
+    ("подключиться", "подключаться"),
+    ("переехать", "переезжать"),
+    ("перебраться", "перебираться"),
+    ("отвергнуть", "отвергать"),
+    ("забрать", "забирать"),
+    ("переместить", "перемещать"),
+    ("перенести", "переносить"),
+    ("передать", "передавать"),
+    ("разорвать", "разрывать"),
+    ("закрыть", "закрывать"),
+    ("остановить", "останавливать"),
+    ("прекратить", "прекращать"),
+    ("закончить", "заканчивать"),
+    ("завершить", "завершать"),
+    ("продолжить", "продолжать"),
+    ("изменить", "изменять"),
+    ("заменить", "заменять"),
+    ("отменить", "отменять"),
+    ("перевести", "переводить"),
+    ("перевестись", "переводиться"),
+    ("перевернуть", "переворачивать"),
+    ("приостановить", "приостанавливать"),
+    ("возобновить", "возобновлять"),
+    ("восстановить", "восстанавливать"),
+    ("купить", "покупать"),
+    ("продлить", "продлевать"),
+    ("оформить", "оформлять"),
+    ("подписать", "подписывать"),
+    ("оплатить", "оплачивать"),
+    ("заплатить", "платить"),
+    ("вернуть", "возвращать"),
+    ("вернуться", "возвращаться"),
+    ("перезвонить", "перезванивать"),
+    ("связать", "связывать"),
+    ("связаться", "связываться"),
+    ("решить", "решать"),
+    ("разобраться", "разбираться"),
+    ("разобрать", "разбирать"),
+    ("обсудить", "обсуждать"),
+    ("рассмотреть", "рассматривать"),
+    ("предложить", "предлагать"),
+    ("помочь", "помогать"),
+)
 
 
 def aspect_keys() -> dict[str, str]:
     """Lemma -> the key that it shares with its aspect partners."""
     keys: dict[str, str] = {}
-    for pair in ASPECT_PAIRS.replace("\n", " ").split(";"):
-        a, b = pair.split()
+    for a, b in ASPECT_PAIRS:
         key = keys.get(a) or keys.get(b) or f"aspect:{a}"
         keys[a] = keys[b] = key
     return keys

@@ -65,6 +65,12 @@ def expired(sessions: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     return sessions.where(F.col("last_accessed") < now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
+def analyses_by_id(sessions: DataFrame, analyses: DataFrame, asked: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """The rows of analyses(session_id, analysis_id, ...) with an asked analysis_id whose session(session_id, last_accessed) has not expired."""
+    found = analyses.join(asked.select("analysis_id").distinct(), "analysis_id", "left_semi")
+    return found.join(expired(sessions, now, ttl_seconds).select("session_id"), "session_id", "left_anti").join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+
+
 def runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Runs of equal values in a row: (by, value, first, length)."""
     w = Window.partitionBy(by).orderBy(order)

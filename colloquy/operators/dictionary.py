@@ -122,6 +122,24 @@ def holds(conditions: list[Condition], matched: set[str]) -> bool:
     return any(terms) if terms else True
 
 
+def phrases_between(tokens: Column) -> Column:
+    """The phrases of array<struct<text, kind>>: words up to the next operator joined by blanks.
+
+    Words are of the kind WORD and not empty; other kinds, and lexemes that are no operators, are passed
+    over. Null tokens give null, none an empty array.
+    """
+    words = lambda a: F.when(F.size(a["words"]) > 0, F.concat(a["out"], F.array(F.array_join(a["words"], " ")))).otherwise(a["out"])
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(a: Column, t: Column) -> Column:
+        ends = (t["kind"] == "LEXEME") & F.upper(t["text"]).isin(*sorted(AND | OR | NOT))
+        word = (t["kind"] == "WORD") & (t["text"] != "")
+        more = F.when(word, F.concat(a["words"], F.array(t["text"]))).otherwise(a["words"])
+        return F.when(ends, F.struct(words(a).alias("out"), none.alias("words"))).otherwise(F.struct(a["out"].alias("out"), more.alias("words")))
+
+    return F.aggregate(tokens, F.struct(none.alias("out"), none.alias("words")), step, words)
+
+
 @dataclass
 class Token:
     text: str

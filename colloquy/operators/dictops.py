@@ -91,3 +91,31 @@ def ancestors(nodes: DataFrame, depth: int = 20) -> DataFrame:
             break
         out = out.union(step)
     return out
+
+
+def operator_counts(conditions: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(kind, n): how many conditions(operator, negated) are joined by AND or OR or negated, and brackets among tokens(text, kind).
+
+    All four kinds have a row, with 0 where there are none.
+    """
+    op, terminal = F.upper("operator"), (F.col("kind") == "TERMINAL") & F.col("text").isin("(", ")")
+    joined = conditions.agg(F.count_if(op == "AND").alias("a"), F.count_if(op == "OR").alias("o"), F.count_if(F.col("negated")).alias("n"))
+    each = joined.select(F.explode(F.create_map(F.lit("AND"), "a", F.lit("OR"), "o", F.lit("NOT"), "n")).alias("kind", "n"))
+    return each.union(tokens.agg(F.count_if(terminal).alias("n")).select(F.lit("brackets").alias("kind"), "n"))
+
+
+def warnings(nodes: DataFrame, conditions: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node_id, warning, what, n) of what a node's author should look at.
+
+    nodes(node_id, attributes: how many), conditions(node_id, phrase, exact), tokens(node_id, text,
+    is_error). Phrases repeat if they differ in case and blanks around them only; an empty one (or
+    null) is a warning and not a repeat. A node without conditions has none that are all exact.
+    """
+    c = conditions.withColumn("key", F.lower(F.trim(F.coalesce("phrase", F.lit("")))))
+    n, none = F.count(F.lit(1)).alias("n"), F.lit(None).cast("string")
+    wrong = tokens.where("is_error").groupBy("node_id", F.col("text").alias("what")).agg(n).withColumn("warning", F.lit("error token"))
+    keys = c.groupBy("node_id", "key").agg(n, F.bool_and("exact").alias("exact"))
+    again = keys.where("key = '' or n > 1").select("node_id", F.when(F.col("key") == "", "empty phrase").otherwise("repeated phrase").alias("warning"), F.col("key").alias("what"), "n")
+    quoted = keys.groupBy("node_id").agg(F.bool_and("exact").alias("all"), F.sum("n").alias("n")).where("all").select("node_id", F.lit("all phrases exact").alias("warning"), none.alias("what"), "n")
+    bare = nodes.where(F.coalesce("attributes", F.lit(0)) == 0).select("node_id", F.lit("no attribute").alias("warning"), none.alias("what"), F.lit(1).cast("long").alias("n"))
+    return wrong.select("node_id", "warning", "what", "n").union(again).union(quoted).union(bare)

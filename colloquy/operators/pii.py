@@ -58,10 +58,13 @@ def _spans(text: Column, pattern: str, entity: str, score: float, validator: str
     return F.when(F.contains(text, F.lit(hint)) & seen if hint else seen, spans).otherwise(F.expr(f"cast(array() as {DETECTION})"))
 
 
-def detections(text: Column, least: float = 0.5, entities: tuple[str, ...] | None = None) -> Column:
-    """All detections from `least` on. A pattern with a validator counts 1 if valid, else not at all."""
+def detections(text: Column, least: float = 0.5, entities: tuple[str, ...] | None = None, recognizers: tuple = RECOGNIZERS) -> Column:
+    """All detections from `least` on. A pattern with a validator counts 1 if valid, else not at all.
+
+    The caller's own recognizers are rows of the same form: RECOGNIZERS + (row,) or others in their place.
+    """
     text = F.coalesce(text, F.lit(""))
-    parts = [_spans(text, p, entity, score, check) for entity, _, check, patterns in RECOGNIZERS if not entities or entity in entities for p, score in patterns if check or score >= least]
+    parts = [_spans(text, p, entity, score, check) for entity, _, check, patterns in recognizers if not entities or entity in entities for p, score in patterns if check or score >= least]
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
@@ -77,15 +80,24 @@ def resolve(found: Column) -> Column:
     return F.array_sort(F.aggregate(ranked, F.expr(f"cast(array() as {DETECTION})"), step), lambda a, b: a["start"] - b["start"])
 
 
-def mask(docs: DataFrame, least: float = 0.5, text: str = "text", entities: tuple[str, ...] | None = None) -> DataFrame:
-    """Add detections and masked (the text with placeholders)."""
-    places = F.create_map(*[F.lit(v) for e, p, *_ in RECOGNIZERS for v in (e, p)])
-    found = docs.withColumn("detections", detections(F.col(text), least, entities))
+def mask(docs: DataFrame, least: float = 0.5, text: str = "text", entities: tuple[str, ...] | None = None, recognizers: tuple = RECOGNIZERS, more: Column | None = None) -> DataFrame:
+    """Add detections and masked (the text with placeholders).
+
+    `more` is an array column of further detections (DETECTION), such as a model's persons and
+    addresses; those below `least`, null or beyond the text are left out. An entity without a
+    recognizer shows its own name as its placeholder.
+    """
+    places = F.create_map(*[F.lit(v) for e, p, *_ in recognizers for v in (e, p)])
+    own = detections(F.col(text), least, entities, recognizers)
+    if more is not None:
+        fits = lambda x: (x["score"] >= least) & (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.length(text))
+        own = F.array_distinct(F.concat(own, F.filter(F.coalesce(more, F.expr(f"cast(array() as {DETECTION})")), lambda x: F.coalesce(fits(x), F.lit(False)))))
+    found = docs.withColumn("detections", own)
     # Most texts have none: only the others are resolved and cut.
     found = found.withColumn("detections", F.when(F.size("detections") > 1, resolve(F.col("detections"))).otherwise(F.col("detections")))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     t = F.coalesce(F.col(text), F.lit(""))
-    step = lambda a, d: F.struct(d["end"].alias("at"), F.concat(a["out"], t.substr(a["at"] + 1, d["start"] - a["at"]), F.try_element_at(places, d["entity"])).alias("out"))
+    step = lambda a, d: F.struct(d["end"].alias("at"), F.concat(a["out"], t.substr(a["at"] + 1, d["start"] - a["at"]), F.coalesce(F.try_element_at(places, d["entity"]), F.concat(F.lit("<"), d["entity"], F.lit(">")))).alias("out"))
     masked = F.aggregate("detections", zero, step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
     return found.withColumn("masked", F.when(F.size("detections") > 0, masked).otherwise(t))
 

@@ -35,3 +35,15 @@ def recommendations(items: Column, kinds: tuple[str, ...] = ("add", "remove", "m
     """Only those of struct(kind, phrase, distance) with a known kind and a phrase; a distance that is no integer is null."""
     good = F.filter(items, lambda x: F.lower(x["kind"]).isin(*kinds) & (F.trim(F.coalesce(x["phrase"], F.lit(""))) != ""))
     return F.transform(good, lambda x: F.struct(F.lower(x["kind"]).alias("kind"), F.trim(x["phrase"]).alias("phrase"), x["distance"].try_cast("int").alias("distance")))
+
+
+def phrase_counts(matches: DataFrame) -> DataFrame:
+    """(phrase, matches, dialogues) of matches(dialogue_id, phrase)."""
+    per = matches.groupBy("phrase", "dialogue_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("phrase").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("dialogues"))
+
+
+def per_turn(matches: DataFrame) -> DataFrame:
+    """(dialogue_id, turn_index, matches, phrases in order) of the turns that have a match; repeated rows count again, their phrase is listed once."""
+    grouped = matches.groupBy("dialogue_id", "turn_index")
+    return grouped.agg(F.count(F.lit(1)).alias("matches"), F.array_sort(F.collect_set("phrase")).alias("phrases"))

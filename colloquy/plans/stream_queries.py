@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.kept import shared_folder
+from colloquy.operators.matcher import phrase_row
+from colloquy.plans.search_queries import hits
 from colloquy.streaming import dialogues
 
 Q: dict = {}
@@ -46,3 +48,31 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["stream_window_counts"] = stream_window_counts
 SQL["stream_window_counts"] = """WITH w AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = drained(dialogues.sessions(events(spark, sf_dir)))
+    return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
+
+
+#: Sessions that the watermark has closed when the input ends.
+Q["stream_sessions"] = stream_sessions
+SQL["stream_sessions"] = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS "end", count(*) AS events FROM k GROUP BY user_id, k)
+SELECT * FROM s WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
+def stream_phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    found = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    said = F.when(F.col("role") == "user", "Клиент").when(F.col("role") == "assistant", "Сотрудник").otherwise("Неизвестный")
+    turns = found.select(F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").cast("int").alias("turn_index"), said.alias("speaker"), "text")
+    rows = [phrase_row("a", "the of", 3, "CLIENT", True), phrase_row("b", "was by", 8, "ANY", True)]
+    return drained(dialogues.stream_matches(turns, rows)).select("dialogue_id", "turn_index", "phrase")
+
+
+Q["stream_phrase_matches"] = stream_phrase_matches
+SQL["stream_phrase_matches"] = f"""WITH turns AS (SELECT conv_id::VARCHAR AS dialogue_id, turn::INT AS turn_index, text, 0 AS start_offset, 0 AS end_offset, regexp_extract_all(lower(text), '[а-яёa-z0-9]+') AS toks,
+  CASE role WHEN 'user' THEN 'Клиент' WHEN 'assistant' THEN 'Сотрудник' ELSE 'Неизвестный' END AS speaker FROM conversations),
+{hits('a', 'the of', 3, 'CLIENT')}, {hits('b', 'was by', 8)} SELECT dialogue_id, turn_index, 'the of' AS phrase FROM a UNION ALL SELECT dialogue_id, turn_index, 'was by' FROM b"""
