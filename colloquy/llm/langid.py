@@ -99,8 +99,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150, de
 def train(docs: DataFrame, sample: int = 4000, seed: int = 3) -> Model:
     """Fit on a seeded sample of docs(doc_id, text, lang) with a lang: about sample / languages rows of each.
 
-    Only text and lang of these rows are learned from; the sample's expected size is the bound on
-    what the driver holds (8 KB a row), and n-grams of each sampled text are counted in full.
+    Only text and lang of these rows are learned from; the sample's expected size, at least 20 rows a
+    language, is the bound on what the driver holds (8 KB a row), and n-grams of each sampled text are counted in full.
     """
     known = docs.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
@@ -138,7 +138,9 @@ def identify(docs: DataFrame, model: Model, clear: float = 0.2) -> DataFrame:
 
     `und` and score 0 where the text is null or has no letter, or nothing was learned; ambiguous
     where the nearest codewords' scores differ by less than `clear`. Whole texts are counted, of
-    any length. Added columns replace those of the same name; an empty table gives an empty result.
+    any length. Of languages that score alike the first by name is predicted. Repeated rows each get their
+    row, with the same result. Added columns replace those of the same name, other columns stay; an empty
+    table gives an empty result.
     """
     added = ["lang_pred", "score", "runner_up_score", "ambiguous"]
     docs = docs.drop(*added)

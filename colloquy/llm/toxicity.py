@@ -243,7 +243,9 @@ def score_texts(docs: DataFrame, model: Model, cut: float = 0.3, most_known: int
 
     Texts that are null, empty or without words of three letters get the score of the least toxic.
     Whole texts are read, of any length. A task scores a word once and remembers up to most_known
-    words, then forgets the older half. Added columns replace those of the same name.
+    words, then forgets the older half. Of the highest words that score alike the least is named. Repeated
+    rows each get their row, with the same result; an empty table gives an empty result. Added columns
+    replace those of the same name, other columns stay.
     """
     added = ["score", "predicted", "worst_word"]
     docs = docs.drop(*added)
