@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,21 +27,22 @@ HINTS = {"EMAIL_ADDRESS": "@"}
 DETECTION = "array<struct<entity:string,start:int,end:int,score:double>>"
 
 
-def _valid(kind: str, found: Column) -> Column:
+def _valid(kind: Column, found: Column) -> Column:
     bare = F.regexp_replace(found, r"\D", "")
-    return {
-        "phone": lambda: F.length(bare) == 11,
-        "passport": lambda: F.substring(bare, 1, 2) != "00",
-        "snils": lambda: X.snils_valid(found),
-        "inn": lambda: X.inn_valid(found),
-        "luhn": lambda: X.luhn_valid(found),
-    }[kind]()
-
-
-def _spans(text: Column, pattern: str, entity: str, score: float, validator: str) -> Column:
-    """Matches of one pattern, from the split's parts: each starts where all before it ends."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    parts = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    return (
+        F.when(kind == "phone", F.length(bare) == 11)
+        .when(kind == "passport", F.substring(bare, 1, 2) != "00")
+        .when(kind == "snils", X.snils_valid(found))
+        .when(kind == "inn", X.inn_valid(found))
+        .when(kind == "luhn", X.luhn_valid(found))
+        .otherwise(F.lit(True))
+    )
+
+
+def _spans(text: Column, r: Column) -> Column:
+    """Valid matches of one pattern, from the split's parts: each starts where all before it ends."""
+    found = F.regexp_extract_all(text, r["pattern"], F.lit(0))
+    parts = F.slice(F.split(text, r["pattern"], -1), 1, F.size(found))
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)").alias("out"))
 
     def step(a, x):
@@ -48,24 +51,32 @@ def _spans(text: Column, pattern: str, entity: str, score: float, validator: str
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["f"].alias("t")))).alias("out"))
 
     spans = F.aggregate(F.zip_with(parts, found, lambda p, f: F.struct(p.alias("p"), f.alias("f"))), zero, step, lambda a: a["out"])
-    if validator:
-        spans = F.filter(spans, lambda x: _valid(validator, x["t"]))
-    s = 1.0 if validator else score
-    spans = F.transform(spans, lambda x: F.struct(F.lit(entity).alias("entity"), x["s"].alias("start"), x["e"].alias("end"), F.lit(s).alias("score")))
-    # Most texts have none: one search decides that, and cheap ones come first.
-    seen = F.regexp_like(text, F.lit(pattern))
-    hint = HINTS.get(entity)
-    return F.when(F.contains(text, F.lit(hint)) & seen if hint else seen, spans).otherwise(F.expr(f"cast(array() as {DETECTION})"))
+    spans = F.filter(spans, lambda x: _valid(r["check"], x["t"]))
+    return F.transform(spans, lambda x: F.struct(r["entity"].alias("entity"), x["s"].alias("start"), x["e"].alias("end"), r["score"].alias("score")))
 
 
 def detections(text: Column, least: float = 0.5, entities: tuple[str, ...] | None = None, recognizers: tuple = RECOGNIZERS) -> Column:
     """All detections from `least` on. A pattern with a validator counts 1 if valid, else not at all.
 
     The caller's own recognizers are rows of the same form: RECOGNIZERS + (row,) or others in their place.
+    Most texts have none, which one search for all patterns decides; only the others are searched
+    pattern by pattern, by one expression over the list of them, so the plan does not grow with it.
     """
-    text = F.coalesce(text, F.lit(""))
-    parts = [_spans(text, p, entity, score, check) for entity, _, check, patterns in recognizers if not entities or entity in entities for p, score in patterns if check or score >= least]
-    return F.array_distinct(F.flatten(F.array(*parts)))
+    text, none = F.coalesce(text, F.lit("")), F.expr(f"cast(array() as {DETECTION})")
+    rows = [(entity, p, 1.0 if check else score, check, HINTS.get(entity, "")) for entity, _, check, patterns in recognizers if not entities or entity in entities for p, score in patterns if check or score >= least]
+    if not rows:
+        return none
+    # Patterns that refer to groups by number or name, and those with a hint, are searched on their own.
+    alone = [r for r in rows if r[4] or re.search(r"\\[1-9k]|\(\?<?[A-Za-z]", r[1])]
+    seen = F.lit(False)
+    for r in alone:
+        seen = seen | (F.contains(text, F.lit(r[4])) & F.regexp_like(text, F.lit(r[1])))
+    joint = "|".join(f"(?:{r[1]})" for r in rows if r not in alone)
+    seen = seen | F.regexp_like(text, F.lit(joint)) if joint else seen
+    names = ("entity", "pattern", "score", "check", "hint")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])
+    found = F.flatten(F.transform(F.filter(listed, lambda r: F.contains(text, r["hint"])), lambda r: _spans(text, r)))
+    return F.when(seen, F.array_distinct(found)).otherwise(none)
 
 
 def resolve(found: Column) -> Column:
