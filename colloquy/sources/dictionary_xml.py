@@ -81,7 +81,10 @@ def parse(data: bytes | str, warnings: list[str] | None = None) -> Node:
 
 
 def serialize(root: Node) -> str:
-    """Canonical XML of a tree; parsing it gives the tree again."""
+    """Canonical XML of a tree; parsing it gives the tree again.
+
+    The file has limits of nodes, not of conditions: a node whose conditions differ in theirs is refused.
+    """
 
     def sub(parent: ET.Element, tag: str, text: str) -> ET.Element:
         e = ET.SubElement(parent, tag)
@@ -111,6 +114,8 @@ def serialize(root: Node) -> str:
                     token(tokens, w, "WORD", c)
                 for mark in ['"'] if c.exact else []:
                     token(tokens, mark, "TERMINAL", c)
+            if any(c.limits != n.conditions[0].limits for c in n.conditions):
+                raise ValueError(f"conditions of {n.name} differ in their limits")
             extra = ET.SubElement(e, "ExtraLimitations")
             for x in n.conditions[0].limits if n.conditions else []:
                 g = ET.SubElement(extra, "ExtraLimitation")

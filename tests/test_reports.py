@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import corpus, dictops, pii, reports
 from colloquy.operators import retrieval as R
-from colloquy.operators.dictionary import phrases_between
+from colloquy.operators.dictionary import Condition, Limit, Node, phrases_between
 from colloquy.plans import report_queries, stream_queries
+from colloquy.sources import dictionary_xml
 from colloquy.streaming import dialogues
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +119,12 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     row = lambda i: (i, at, 1, "e", 1.0, "{}")
     assert run([row(1), row(2), row(2)]) == [1, 2]
     assert run([row(2), row(3)]) == [1, 2, 3]
+
+
+def test_limits_of_one_node_are_alike_in_a_file():
+    near, far = Limit(value=5), Limit(value=9)
+    alike = Node("n", [Condition("a", limits=[near]), Condition("b", operator="OR", limits=[near])])
+    assert [c.limits for c in dictionary_xml.parse(dictionary_xml.serialize(alike)).conditions] == [[near], [near]]
+    for limits in ([far], []):
+        with pytest.raises(ValueError):
+            dictionary_xml.serialize(Node("n", [Condition("a", limits=[near]), Condition("b", operator="OR", limits=limits)]))
