@@ -216,9 +216,9 @@ def fragments_of_sessions(spark, d):
     return docs.join(sessions, "source", "left_semi").select("source", "doc_id", F.substring("text", 1, 297).alias("fragment"))
 
 
-@query(f"WITH {PHRASES} SELECT cond_id, phrase FROM c WHERE contains(lower(phrase), 'brass') AND channel = 'CLIENT'")
+@query(f"WITH {PHRASES} SELECT cond_id, phrase FROM c WHERE contains(lower(phrase), 'promo') AND channel = 'CLIENT'")
 def conditions_filtered(spark, d):
-    return phrases(spark, d).where(F.contains(F.lower("phrase"), F.lit("brass")) & (F.col("channel") == "CLIENT")).select("cond_id", "phrase")
+    return phrases(spark, d).where(F.contains(F.lower("phrase"), F.lit("promo")) & (F.col("channel") == "CLIENT")).select("cond_id", "phrase")
 
 
 @query("SELECT c_custkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE contains(lower(c_name), '11') OR contains(lower(n_name), 'an')")
