@@ -77,6 +77,35 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         a = min(b, n)
 
 
+def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, at) of the maximal runs of bytes of a class, none across texts; at: where each text's runs begin."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(off), np.int64)
+    mine = inside[data]
+    filled = off[:-1] < off[1:]
+    first, last = np.ones(len(data), bool), np.ones(len(data), bool)
+    np.logical_not(mine[:-1], out=first[1:])
+    np.logical_not(mine[1:], out=last[:-1])
+    first[off[:-1][filled]] = last[off[1:][filled] - 1] = True
+    start = np.flatnonzero(mine & first)
+    return start, np.flatnonzero(mine & last) + 1, np.searchsorted(start, off)
+
+
+def chopped(data: np.ndarray, off: np.ndarray, inside: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, rows) of about limit bytes each; a longer text is cut where a byte is not of the class."""
+    for a, b in pieces(off, limit):
+        cut, row = off[a : b + 1], np.arange(a, b)
+        if cut[-1] - cut[0] > 2 * limit:
+            gaps = np.flatnonzero(~inside[data[cut[0] : cut[-1]]]) + cut[0]
+            want = np.searchsorted(gaps, np.arange(cut[0] + limit, cut[-1], limit))
+            ends = np.unique(np.concatenate([cut, gaps[want[want < len(gaps)]]]))
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                yield data[x:y], np.array([0, y - x]), np.full(1, np.searchsorted(cut, x, "right") - 1 + a)
+        else:
+            yield data[cut[0] : cut[-1]], cut - cut[0], row
+
+
 # ---------------------------------------------------------------- rolling hashes
 
 #: Odd bases of two independent families of names.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, langid, linededup, mixing, neardup, prefixforest, repeats, secrets, sharding, toxicity, urls
+from colloquy.llm import collocations, decontaminate, langid, linededup, maskrank, mixing, neardup, prefixforest, repeats, secrets, sharding, toxicity, urls
 from colloquy.llm.common import crc_mod, table
 
 
@@ -79,6 +79,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mask_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maskrank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -91,9 +99,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_language, op3_decontamination, op4_toxicity, op5_sharding, op6_prefix_forest, op7_url_filter, op8_neardup, op9_repeats, op10_secrets, op13_line_dedup, pipeline)
+    own = (op1_mixing, op2_language, op3_decontamination, op4_toxicity, op5_sharding, op6_prefix_forest, op7_url_filter, op8_neardup, op9_repeats, op10_secrets, op11_mask_rank, op12_collocations, op13_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.oracle(), "op7_url_filter": urls.oracle(), "op8_neardup": neardup.oracle(), "op13_line_dedup": linededup.oracle()}
+    return {"op3_decontamination": decontaminate.oracle(), "op7_url_filter": urls.oracle(), "op8_neardup": neardup.oracle(), "op11_mask_rank": maskrank.oracle(), "op12_collocations": collocations.oracle(), "op13_line_dedup": linededup.oracle()}
