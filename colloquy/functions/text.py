@@ -80,14 +80,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def token_starts(text: Column) -> Column:
-    """Start of each token in the lower-cased text, from 0."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    gaps, toks = F.split(low, TOKEN, -1), tokens(text)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(toks)), toks, lambda g, t: F.struct(F.length(g).alias("g"), F.length(t).alias("t")))
-    empty = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<int>)").alias("starts"))
-    step = lambda a, x: F.struct((a["end"] + x["g"] + x["t"]).alias("end"), F.concat(a["starts"], F.array(a["end"] + x["g"])).alias("starts"))
-    return F.aggregate(lengths, empty, step, lambda a: a["starts"])
+def token_gaps(text: Column) -> Column:
+    """Of each token of the lower-cased text struct(gap, step): the characters since the token before, and with its own."""
+    gaps, toks = F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN, -1), tokens(text)
+    return F.zip_with(F.slice(gaps, 1, F.size(toks)), toks, lambda g, t: F.struct(F.length(g).alias("gap"), (F.length(g) + F.length(t)).alias("step")))
+
+
+def token_start(gaps: Column, k: Column) -> Column:
+    """Where the k-th token (from 0) begins, from 0: what comes before it is summed up."""
+    return F.aggregate(F.slice(gaps, 1, k), F.get(gaps, k)["gap"], lambda a, x: a + x["step"])
 
 
 def word_count(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,6 +123,12 @@ def holds(conditions: list[Condition], matched: set[str]) -> bool:
     return any(terms) if terms else True
 
 
+def channel_of(channel: Column) -> Column:
+    """CLIENT or OPERATOR, in whatever case it is written; everything else is ANY."""
+    known = F.upper(F.trim(F.coalesce(channel, F.lit(""))))
+    return F.when(known.isin("CLIENT", "OPERATOR"), known).otherwise("ANY")
+
+
 def phrases_between(tokens: Column) -> Column:
     """The phrases of array<struct<text, kind>>: words up to the next operator joined by blanks.
 
@@ -148,44 +155,46 @@ class Token:
     distance: str = ""
 
 
+#: Marks of a phrase's end.
+_QUOTE, _BRACKET = '"', "()"
+
+
+def _mark(t: Token) -> str:
+    """What a token does: WORD, a quote, BRACKET, AND, OR, NOT, or nothing. Quotes and brackets are terminals."""
+    word = t.text.upper()
+    if t.kind == "WORD":
+        return "WORD"
+    if t.kind == "TERMINAL" and t.text in (_QUOTE, *_BRACKET):
+        return _QUOTE if t.text == _QUOTE else "BRACKET"
+    if t.kind == "LEXEME":
+        return next((name for name, known in (("AND", AND), ("OR", OR), ("NOT", NOT)) if word in known), "")
+    return ""
+
+
+def _condition(words: list[Token], quoted: bool, before: list[str], first: bool) -> Condition:
+    """A phrase's condition; its channel is the first that is not ANY, its distance the first number (2 without one)."""
+    channels = (t.channel.strip().upper() for t in words)
+    distance = next((int(t.distance) for t in words if t.distance.strip().lstrip("-").isdigit()), 2)
+    operator = next((m for m in reversed(before) if m in ("AND", "OR")), "")
+    channel = next((c for c in channels if c not in ("", "ANY")), "ANY")
+    return Condition(" ".join(t.text for t in words), distance, channel if channel in ("CLIENT", "OPERATOR") else "ANY", quoted, "NOT" in before, "" if first else operator)
+
+
 def conditions_of(tokens: list[Token]) -> list[Condition]:
     """Conditions of a token stream.
 
-    Quotes make a phrase exact, brackets only end one, operators between phrases join them, and a
-    negation holds for the next phrase alone. The channel is the first that is not ANY, the distance
-    the first that is a number (2 without one).
+    Marks cut it into runs of words. Quotes make a run exact, brackets only end one, operators before a
+    run join it to the one before, and a negation holds for the next run alone.
     """
+    marks = [(t, m) for t in tokens if (m := _mark(t))]
+    inside = accumulate((m for _, m in marks), lambda on, m: not on if m == _QUOTE else on and m != "BRACKET", initial=False)
     out: list[Condition] = []
-    words: list[Token] = []
-    quoted, negated, operator = False, False, ""
-
-    def close(exact: bool) -> None:
-        nonlocal words, negated, operator
-        if not words:
-            return
-        channel = next((t.channel for t in words if t.channel not in ("", "ANY")), "ANY")
-        distance = next((int(t.distance) for t in words if t.distance.strip().lstrip("-").isdigit()), 2)
-        out.append(Condition(" ".join(t.text for t in words), distance, channel, exact, negated, operator if out else ""))
-        words, negated, operator = [], False, ""
-
-    for t in tokens:
-        if t.kind == "WHITESPACE":
-            continue
-        if t.text == '"':
-            close(quoted)
-            quoted = not quoted
-        elif t.text in "()" and t.kind != "WORD":
-            close(quoted)
-            quoted = False
-        elif t.kind == "LEXEME":
-            word = t.text.upper()
-            if word in NOT:
-                close(quoted)
-                negated = True
-            elif word in AND or word in OR:
-                close(quoted)
-                operator = "AND" if word in AND else "OR"
-        elif t.kind == "WORD":
-            words.append(t)
-    close(quoted)
+    before: list[str] = []
+    for (is_word, quoted), run in groupby(zip(marks, list(inside)[1:], strict=True), key=lambda x: (x[0][1] == "WORD", x[1])):
+        found = [x[0] for x in run]
+        if is_word:
+            out.append(_condition([t for t, _ in found], quoted, before, not out))
+            before = []
+        else:
+            before += [m for _, m in found]
     return out

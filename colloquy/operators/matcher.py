@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
+from colloquy.operators.dictionary import channel_of
 from colloquy.schemas import CHANNELS
 
 #: A task's broadcast of phrases; more phrases are joined by shuffle.
@@ -51,6 +52,23 @@ def phrase_row(cond_id: str, phrase: str, distance: int = 2, channel: str = "ANY
     return cond_id, phrase, words, [(w, m) for w, m in need], len(words), distance, channel or "ANY", exact, rarest
 
 
+def phrase_rows(phrases: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """The same rows from a table: phrases(cond_id, phrase, distance, channel, exact), read by Spark."""
+    pairs = X.aspect_keys()
+    lookup = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    toks = phrases.withColumn("toks", X.tokens(F.col("phrase")))
+    keys = F.transform("toks", lambda w: F.coalesce(F.try_element_at(lookup, w), w))
+    if lemmas is not None:
+        flat = toks.select("cond_id", F.posexplode("toks").alias("at", "form")).join(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")), "form", "left")
+        key = F.coalesce("lemma", "form")
+        named = flat.groupBy("cond_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.try_element_at(lookup, key), key).alias("key")))), lambda x: x["key"]).alias("named"))
+        toks, keys = toks.join(named, "cond_id", "left"), F.coalesce("named", F.expr("cast(array() as array<string>)"))
+    rows = toks.withColumn("words", F.when(F.col("exact"), F.col("toks")).otherwise(keys))
+    need = F.transform(F.array_sort(F.array_distinct("words")), lambda w: F.struct(w.alias("word"), F.size(F.filter("words", lambda x: x == w)).alias("m")))
+    rarest = F.coalesce(F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"], F.lit(""))
+    return rows.select("cond_id", "phrase", "words", need.alias("need"), F.size("words").alias("n"), "distance", "channel", "exact", rarest.alias("rarest"))
+
+
 def _at(form: Column, first: Column, n: Column, distance: Column, word: Column) -> Column:
     """Positions of a word in the window of n + distance tokens that starts at `first`."""
     return F.filter(F.sequence(first, F.least(first + n + distance, F.size(form)) - 1), lambda j: F.get(form, j) == word)
@@ -67,7 +85,9 @@ def first_window(form: Column, need: Column, n: Column, distance: Column, rarest
     places = F.filter(F.sequence(F.lit(0), F.size(form) - 1), lambda j: F.get(form, j) == rarest)
     near = F.transform(places, lambda p: F.sequence(F.greatest(p - n - distance + 1, F.lit(0)), F.least(p, F.size(form) - n)))
     starts = F.filter(F.array_distinct(F.flatten(near)), fits)
-    return F.when((n > 0) & (F.size(form) >= n), F.slice(F.array_sort(starts), 1, 1))
+    word = F.array_position(form, rarest) - 1
+    alone = F.when(word >= 0, F.array(F.greatest(word - distance, F.lit(0)).cast("int")))
+    return F.when(n == 1, alone).when((n > 0) & (F.size(form) >= n), F.slice(F.array_sort(starts), 1, 1))
 
 
 def span_of(form: Column, need: Column, n: Column, distance: Column, first: Column) -> Column:
@@ -76,18 +96,22 @@ def span_of(form: Column, need: Column, n: Column, distance: Column, first: Colu
     return F.struct(F.array_min(F.transform(ends, lambda e: e["a"])).alias("first"), F.array_max(F.transform(ends, lambda e: e["b"])).alias("last"))
 
 
-def match_phrases(turns: DataFrame, conditions: list[tuple], lemmas: DataFrame | None = None) -> DataFrame:
-    """Hits of conditions (phrase_row) in turns(dialogue_id, turn_index, speaker, text), one a condition and turn.
+def match_phrases(turns: DataFrame, conditions: list[tuple] | DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """Hits of conditions (phrase_row, or a table from phrase_rows) in turns(dialogue_id, turn_index, speaker, text), one a condition and turn.
 
     Turns meet only the conditions whose rarest word they have: an inverted index join, then the
     window test. Adds cond_id, phrase, matched_text, matched_start and matched_end (in characters).
     """
     spark = turns.sparkSession
-    rows = [c for c in conditions if c[4] > 0]
-    conds = spark.createDataFrame(rows, CONDITION)
-    if len(rows) <= MOST_BROADCAST:
-        conds = F.broadcast(conds)
-    ready = tokenised(turns, lemmas)
+    if isinstance(conditions, DataFrame):
+        conds = conditions.where("n > 0")
+    else:
+        rows = [c for c in conditions if c[4] > 0]
+        conds = spark.createDataFrame(rows, CONDITION)
+        if len(rows) <= MOST_BROADCAST:
+            conds = F.broadcast(conds)
+    conds = conds.withColumn("channel", channel_of(F.col("channel")))
+    ready = tokenised(turns, lemmas).withColumn("gaps", X.token_gaps(F.col("text")))
     looked = ready.withColumn("look", F.explode(F.array_distinct(F.array_union("toks", "keys"))))
     joined = looked.join(conds, F.col("look") == F.col("rarest")).drop("look")
     speaker = F.when(F.col("channel") == "CLIENT", CHANNELS["CLIENT"]).when(F.col("channel") == "OPERATOR", CHANNELS["OPERATOR"])
@@ -97,8 +121,7 @@ def match_phrases(turns: DataFrame, conditions: list[tuple], lemmas: DataFrame |
     # A generator, so that the test is evaluated once and not again for a filter.
     hit = joined.withColumn("form", form).where(F.size("form") >= F.col("n")).withColumn("first", F.explode(first_window(*c, F.col("rarest"))))
     hit = hit.withColumn("span", span_of(*c, F.col("first"))).drop("first")
-    hit = hit.withColumn("starts", X.token_starts(F.col("text")))
-    a, b = F.get("starts", F.col("span.first")), F.get("starts", F.col("span.last")) + F.length(F.get("toks", F.col("span.last")))
+    a, b = X.token_start(F.col("gaps"), F.col("span.first")), X.token_start(F.col("gaps"), F.col("span.last")) + F.length(F.get("toks", F.col("span.last")))
     hit = hit.withColumn("matched_start", a).withColumn("matched_end", b)
     hit = hit.withColumn("matched_text", F.col("text").substr(F.col("matched_start") + 1, F.col("matched_end") - F.col("matched_start")))
-    return hit.drop("toks", "keys", "form", "span", "starts", "words", "need", "n", "rarest")
+    return hit.drop("toks", "keys", "form", "span", "gaps", "words", "need", "n", "rarest")

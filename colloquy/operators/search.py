@@ -1,81 +1,134 @@
-"""Hierarchical dictionary search over all dialogues at once."""
+"""Hierarchical dictionary search over all dialogues at once, on tables of nodes and conditions."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from colloquy.operators import timegap
-from colloquy.operators.dictionary import Node, Placed, flatten, open_gate, select_roots
+from colloquy.operators import dicttables, timegap
+from colloquy.operators.dictionary import Node, select_roots
 from colloquy.operators.kept import written
-from colloquy.operators.matcher import match_phrases, phrase_row
-
-
-def _cond_id(p: Placed, i: int) -> str:
-    return f"{p.node_id}#{i:04d}"
-
-
-def _all(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns, F.lit(True))
-
-
-def _opened(p: Placed) -> Column:
-    """The node's id if its expression holds over its matched texts and it is not suppressed."""
-    prefix = f"{p.node_id}\x1f"
-    own = F.transform(F.filter("_texts", lambda t: t.startswith(prefix)), lambda t: F.substring(t, len(prefix) + 1, 1 << 30))
-    gate = open_gate(p.node.conditions, own) if p.node.gated_by_tree else F.size(own) > 0
-    return F.when(gate & ~F.array_contains("_barred", p.node_id), p.node_id)
-
-
-def search(turns: DataFrame, roots: list[Node], names: list[str] | None = None, cascade: bool = True, lemmas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(matches, level_counts) of the dictionaries in all dialogues of turns.
-
-    All hits are found in one pass, whatever the gates. Then a row for each dialogue says which
-    nodes are suppressed (a negated condition hit), open (their expression holds) or have matches,
-    and each hit asks that row about the nodes above it: children need all gates above open, and
-    with cascade a root needs matches of every root before it. Only limits around parent matches
-    need the levels one after the other.
+from colloquy.operators.matcher import match_phrases, phrase_rows
+
+#: A hit's key.
+HIT = ["dialogue_id", "turn_index", "enter", "ord"]
+#: Nodes that are open without any hit, listed in one expression.
+MOST_LISTED = 100_000
+
+
+def _hits(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, lemmas: DataFrame | None) -> DataFrame:
+    """All hits of all conditions, whatever the gates. Equal phrases of many nodes are matched once."""
+    alike = ["phrase", "distance", "channel", "exact"]
+    pattern = F.concat_ws("\x1f", "exact", "distance", F.coalesce("channel", F.lit("ANY")), "phrase").alias("pattern")
+    named = conditions.select("*", pattern)
+    rows = phrase_rows(named.select(F.col("pattern").alias("cond_id"), *alike).distinct(), lemmas)
+    found = match_phrases(turns, rows, lemmas).withColumnRenamed("cond_id", "pattern")
+    kept = ["dialogue_id", "turn_index", "speaker", "start_offset", "end_offset", "matched_text", "matched_start", "matched_end", "pattern"]
+    about = named.join(nodes.select("enter", "tree", "level", "gate", "remainder", F.when(F.col("enter") % dicttables.SPAN == 0, F.col("root")).otherwise(F.col("name")).alias("quarter")), "enter")
+    return found.select(*kept).join(about.drop("operator"), "pattern").drop("pattern")
+
+
+def _within(turns: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits that pass their StartEnd limits: each distinct limit of a dialogue is computed once and joined."""
+    asked = hits.select(*HIT, "speaker", "start_offset", "end_offset", F.explode(F.filter("limits", lambda x: (x["event"] == "StartEnd") & timegap.judged(x))).alias("limit"))
+    found = asked.join(timegap.windows(turns, asked), ["dialogue_id", "limit"])
+    out = found.where(~timegap.passes(timegap.inside(F.col("limit")), F.col("limit.only")))
+    return hits.join(out.select(*HIT).distinct(), HIT, "left_anti")
+
+
+def _around(hits: DataFrame, level: int) -> DataFrame:
+    """Hits of all levels, those of one level only where they pass all their Parent limits."""
+    mine = hits.where((F.col("level") == level) & F.col("gate").isNotNull())
+    good = lambda x: (x["event"] == "Parent") & (x["unit"] == "Seconds") & x["direction"].isin("Before", "After")
+    asked = mine.select(*HIT, "gate", "start_offset", "end_offset", F.explode(F.filter("limits", good)).alias("limit"))
+    low, high = timegap.around(F.col("limit.direction"), F.col("limit.value"))
+    selector = F.when(F.col("limit.selector").isin("First", "Last"), F.col("limit.selector")).otherwise("Each")
+    probes = asked.select("*", low.alias("low"), high.alias("high"), selector.alias("selector"))
+    above = hits.where(~F.col("negated")).select("dialogue_id", F.col("enter").alias("gate"), "start_offset", F.struct("ord", "turn_index").alias("ord"))
+    on = ["dialogue_id", "gate"]
+    times = timegap.by_selector(above.join(mine.select("gate").distinct(), "gate", "left_semi"), on)
+    found = timegap.near_times(probes, times, [*on, "selector"], "low", "high", "start_offset", "near")
+    out = found.where(~timegap.passes(F.col("near"), F.col("limit.only")))
+    return hits.join(out.select(*HIT).distinct(), HIT, "left_anti")
+
+
+def _states(hits: DataFrame, terms: DataFrame, turns: DataFrame, listed: list[int]) -> DataFrame:
+    """(dialogue_id, enter, open, barred): the nodes that a dialogue's hits decide, and those that need none.
+
+    A term's matched phrases are counted: it holds if all that it needs are there and none of those it
+    forbids. A node whose terms include one that needs none is open wherever that one is not broken.
+    """
+    matched = hits.where(~F.col("negated")).select("dialogue_id", "enter", "phrase").distinct()
+    met = matched.join(terms, ["enter", "phrase"]).groupBy("dialogue_id", "enter", "term", "need").agg(F.count_if(~terms["negated"]).alias("have"), F.count_if(terms["negated"]).alias("broken"))
+    by_node = met.groupBy("dialogue_id", "enter").agg(F.max((F.col("need") > 0) & (F.col("have") == F.col("need")) & (F.col("broken") == 0)).alias("holds"), F.count_if((F.col("need") == 0) & (F.col("broken") > 0)).alias("lost"))
+    free = terms.where("need = 0").groupBy("enter").agg(F.count_distinct("term").alias("free"))
+    barred = hits.where("negated").select("dialogue_id", "enter").distinct().withColumn("barred", F.lit(True))
+    rows = by_node.unionByName(barred, allowMissingColumns=True)
+    for a in range(0, len(listed), MOST_LISTED):
+        some = ",".join(map(str, listed[a : a + MOST_LISTED]))
+        rows = rows.unionByName(turns.select("dialogue_id").distinct().select("dialogue_id", F.explode(F.from_json(F.lit(f"[{some}]"), "array<bigint>")).alias("enter")), allowMissingColumns=True)
+    state = rows.groupBy("dialogue_id", "enter").agg(F.coalesce(F.max("holds"), F.lit(False)).alias("holds"), F.coalesce(F.max("lost"), F.lit(0)).alias("lost"), F.coalesce(F.max("barred"), F.lit(False)).alias("barred"))
+    state = state.join(free, "enter", "left")
+    return state.select("dialogue_id", "enter", ((F.col("holds") | (F.coalesce("free", F.lit(0)) > F.col("lost"))) & ~F.col("barred")).alias("open"), "barred")
+
+
+def _reached(hits: DataFrame, states: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dialogue_id, enter, tree, level, open, barred, hit, reached): whether all gates above a node are open.
+
+    Open nodes begin and end intervals of places, which a sweep over a dialogue's places adds up: as many
+    are open at a node as gates are above it, or else one is closed. No pair of a node and a gate is formed.
     """
-    placed = flatten(select_roots(roots, names))
-    conds = [(p, i, c) for p in placed for i, c in enumerate(p.node.conditions)]
-    spark = turns.sparkSession
-    rows = [phrase_row(_cond_id(p, i), c.text, c.distance, c.channel, c.exact) for p, i, c in conds]
-    limits = [(p, i, c, x) for p, i, c in conds for x in c.limits if x.enabled]
-    timed = turns
-    checks: dict[str, list[Column]] = {}
-    for k, (p, i, _, x) in enumerate(y for y in limits if y[3].event == "StartEnd"):
-        timed = timegap.in_window(timed, x, f"_in{k}")
-        checks.setdefault(_cond_id(p, i), []).append(timegap.passes(F.col(f"_in{k}"), x.only))
-    hits = match_phrases(timed, rows, lemmas)
-    if checks:
-        hits = hits.where(reduce(lambda a, kv: F.when(F.col("cond_id") == kv[0], _all(kv[1])).otherwise(a), checks.items(), F.lit(True)))
-    info = [(_cond_id(p, i), p.node_id, int(p.path[0]) + 1, p.root, p.node.name if len(p.path) > 1 else p.root, p.level, c.negated, p.node.remainder, list(p.gates)) for p, i, c in conds]
-    meta = spark.createDataFrame(info, "cond_id string, node_id string, cascade_order int, root string, quarter string, dict_level int, negated boolean, is_remainder boolean, gates array<string>")
-    columns = ["dialogue_id", "turn_index", "speaker", "phrase", "matched_text", "matched_start", "matched_end", "distance", "channel", "exact", "cond_id", "start_offset", "end_offset"]
-    # The state of a dialogue and its hits are read from one table: texts are matched once.
-    hits = written(hits.select(*columns).join(F.broadcast(meta), "cond_id"), "search-hits")  # one row a condition
-
-    around = [(p, i, x) for p, i, _, x in limits if x.event == "Parent" and p.gates]
-    for p, i, x in sorted(around, key=lambda y: y[0].level):
-        mine = (F.col("cond_id") == _cond_id(p, i)) & (F.size("gates") > 0)
-        above = hits.where((F.col("node_id") == p.gates[-1]) & ~F.col("negated")).select("dialogue_id", "start_offset", F.struct("cond_id", "turn_index").alias("ord"))
-        hits = written(hits.where(~mine).unionByName(timegap.near_parent(hits.where(mine), above, x)), "search-hits")
-
-    texts = F.collect_set(F.when(~F.col("negated"), F.concat_ws("\x1f", "node_id", "phrase")))
-    barred = F.collect_set(F.when(F.col("negated"), F.col("node_id")))
-    state = hits.groupBy("dialogue_id").agg(texts.alias("_texts"), barred.alias("_barred"))
-    # As (node, texts) the expression of each node is evaluated once a dialogue.
-    opens = [_opened(p) for p in placed if p.node.conditions]
-    state = state.withColumn("_open", F.array_compact(F.array(*opens)) if opens else F.expr("cast(array() as array<string>)"))
-    shown = hits.join(state, "dialogue_id").where(~F.col("negated") & ~F.array_contains("_barred", F.col("node_id")))
-    shown = shown.where(F.forall("gates", lambda g: F.array_contains("_open", g)))
-    n_roots = max((p.path[0] for p in placed), default=-1) + 1
+    hit = hits.where(~F.col("negated")).select("dialogue_id", "enter").distinct().withColumn("hit", F.lit(True))
+    rows = states.unionByName(hit, allowMissingColumns=True).groupBy("dialogue_id", "enter").agg(*[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("open", "barred", "hit")])
+    rows = rows.join(nodes.select("enter", "leave", "tree", "level"), "enter")
+    ends = F.array(F.struct(F.col("enter").alias("at"), F.lit(0).alias("step")), F.struct((F.col("enter") + 1).alias("at"), F.lit(1).alias("step")), F.struct((F.col("leave") + 1).alias("at"), F.lit(-1).alias("step")))
+    events = rows.withColumn("e", F.explode(F.when(F.col("open"), ends).otherwise(F.slice(ends, 1, 1)))).select("*", "e.at", "e.step")
+    above = F.sum("step").over(Window.partitionBy("dialogue_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("above", above).where("step = 0").select("dialogue_id", "enter", "tree", "level", "open", "barred", "hit", (F.col("above") == F.col("level") - 1).alias("reached"))
+
+
+def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, names: list[str] | None = None, cascade: bool = True, lemmas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(matches, level_counts) of dictionaries given as tables (`dicttables`) in all dialogues of turns.
+
+    All hits are found in one pass, whatever the gates, and written once. The nodes' expressions are rows
+    (`dicttables.terms`) that are decided by counting what matched; a negated condition's hit bars its
+    node. A sweep over the places of the tree then says which nodes are reached: children need all gates
+    above open, and with cascade a tree needs matches of every tree before it. Limits are rows as well:
+    StartEnd windows are computed once for each distinct limit of a dialogue, Parent limits level by level
+    of the tree, all of a level in one join, as a level's times are what the level above has left. So the
+    plan does not grow with the dictionary, and nothing is collected but the levels that have Parent
+    limits and the nodes that are open without any hit (`НЕ` alone, or as an alternative).
+    """
+    nodes, conditions = dicttables.selected(nodes, conditions, names)
+    terms = dicttables.terms(nodes, conditions)
+    limited = conditions.join(nodes.select("enter", "level", "gate"), "enter").select("level", "gate", F.explode("limits").alias("x"))
+    parents = F.collect_set(F.when((F.col("x.event") == "Parent") & F.col("gate").isNotNull(), F.col("level")))
+    levels, start_end = limited.agg(parents, F.max((F.col("x.event") == "StartEnd") & timegap.judged(F.col("x")))).first()
+    listed = [r[0] for r in terms.where("need = 0").select("enter").distinct().join(nodes.select(F.col("gate").alias("enter")), "enter", "left_semi").collect()]
+
+    hits = written(_hits(turns, nodes, conditions, lemmas), "search-hits")
+    if start_end:
+        hits = written(_within(turns, hits), "search-hits")
+    for level in sorted(levels):
+        hits = written(_around(hits, level), "search-hits")
+
+    states = _states(hits, terms, turns, listed)
+    reached = _reached(hits, states, nodes).where("reached")
+    first_open = nodes.where("gate is null and conditioned").agg(F.min("tree").alias("first_tree"))
+    with_gate = nodes.where("gate is not null").select(F.col("gate").alias("enter")).distinct().withColumn("leads", F.lit(True))
+    reached = reached.join(with_gate, "enter", "left")
+    dialogues = turns.select("dialogue_id").distinct()
     if cascade:
-        done = shown.groupBy("dialogue_id").agg(F.collect_set("cascade_order").alias("_done"))
-        before = F.sequence(F.lit(1), F.col("cascade_order") - 1)
-        shown = shown.join(done, "dialogue_id").where((F.col("cascade_order") == 1) | F.forall(before, lambda r: F.array_contains("_done", r)))
+        trees = reached.where("hit and not barred").groupBy("dialogue_id").agg(F.array_sort(F.collect_set("tree")).alias("trees"))
+        done = trees.select("dialogue_id", F.aggregate("trees", F.lit(0), lambda a, t: F.when(t == a + 1, t).otherwise(a)).alias("done"))
+        reached = reached.join(done, "dialogue_id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+        dialogues = dialogues.join(done, "dialogue_id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    else:
+        reached, dialogues = (x.withColumn("done", F.lit((1 << 31) - 2)) for x in (reached, dialogues))
+    reached = written(reached, "search-nodes")
+
+    shown = hits.where(~F.col("negated")).join(reached.where("hit and not barred and tree <= done").select("dialogue_id", "enter"), ["dialogue_id", "enter"], "left_semi")
     matches = shown.select(
         "dialogue_id",
         F.col("phrase").alias("phrase_text"),
@@ -86,31 +139,27 @@ def search(turns: DataFrame, roots: list[Node], names: list[str] | None = None,
         "turn_index",
         "speaker",
         F.when(F.col("exact"), "exact").otherwise("morph").alias("match_type"),
-        F.col("dict_level").alias("word_distance_used"),
-        "cascade_order",
+        F.col("level").alias("word_distance_used"),
+        F.col("tree").alias("cascade_order"),
         F.col("exact").alias("is_exact_match"),
         F.col("distance").alias("word_distance"),
         F.col("channel").alias("channel_constraint"),
-        "dict_level",
-        "is_remainder",
+        F.col("level").alias("dict_level"),
+        F.col("remainder").alias("is_remainder"),
     )
-    # Every visited node with conditions writes its level, with 0 if it has no matches. Nodes without a
-    # gate are visited in every dialogue, others only where their nearest gate is open.
-    visited = [(int(p.path[0]) + 1, p.level, list(p.gates), p.gates[-1] if p.gates else None) for p in placed if p.node.conditions]
-    nodes = spark.createDataFrame(sorted(set((o, lv, tuple(g), n) for o, lv, g, n in visited), key=repr), "cascade_order int, dict_level int, gates array<string>, nearest string").distinct()
-    top = F.array(*[F.struct(F.lit(o).alias("cascade_order"), F.lit(lv).alias("dict_level")) for o, lv in sorted({(o, lv) for o, lv, _, n in visited if n is None})])
-    one = turns.select("dialogue_id").distinct()
-    ungated = one.select("dialogue_id", F.explode(top).alias("at")).select("dialogue_id", "at.cascade_order", "at.dict_level")
-    opened = state.select("dialogue_id", "_open", F.explode("_open").alias("nearest"))
-    gated = opened.join(F.broadcast(nodes.where("nearest is not null")), "nearest").where(F.forall("gates", lambda g: F.array_contains("_open", g)))
-    at = ungated.unionByName(gated.select("dialogue_id", "cascade_order", "dict_level"))
-    rooted = matches.groupBy("dialogue_id").agg(F.collect_set("cascade_order").alias("_done"))
-    if cascade and n_roots > 1:
-        at = at.join(rooted, "dialogue_id", "left").withColumn("_done", F.coalesce("_done", F.expr("cast(array() as array<int>)")))
-        at = at.where((F.col("cascade_order") == 1) | F.forall(F.sequence(F.lit(1), F.col("cascade_order") - 1), lambda r: F.array_contains("_done", r)))
+    # Every visited node with conditions writes its level, with 0 if it has no matches: nodes without a gate
+    # in every dialogue that comes to their tree, others where their nearest gate is reached and open.
+    top = dialogues.crossJoin(first_open).where(F.col("first_tree") <= F.col("done") + 1).select("dialogue_id", F.lit(1).alias("dict_level"))  # one row of first_open
+    below = reached.where("open and leads and tree <= done + 1").select("dialogue_id", (F.col("level") + 1).alias("dict_level"))
     counted = matches.groupBy("dialogue_id", "dict_level").agg(F.count(F.lit(1)).alias("n"))
-    levels = at.select("dialogue_id", "dict_level").distinct().join(counted, ["dialogue_id", "dict_level"], "left")
-    return matches, levels.select("dialogue_id", "dict_level", F.coalesce("n", F.lit(0)).cast("long").alias("matches"))
+    visited = top.unionByName(below).distinct().join(counted, ["dialogue_id", "dict_level"], "left")
+    return matches, visited.select("dialogue_id", "dict_level", F.coalesce("n", F.lit(0)).cast("long").alias("matches"))
+
+
+def search(turns: DataFrame, roots: list[Node], names: list[str] | None = None, cascade: bool = True, lemmas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same for trees that are at hand as objects."""
+    nodes, conditions = dicttables.from_nodes(turns.sparkSession, select_roots(roots, names))
+    return search_tables(turns, nodes, conditions, None, cascade, lemmas)
 
 
 def unmatched(turns: DataFrame, matches: DataFrame) -> DataFrame:

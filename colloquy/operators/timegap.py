@@ -16,64 +16,126 @@ def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
     return F.coalesce((start <= high) & (end >= low), F.lit(False))
 
 
-def in_window(turns: DataFrame, limit: Limit, name: str) -> DataFrame:
-    """Add to turns the boolean `name`: whether a turn meets the window of a StartEnd limit.
+#: What tells a limit from others.
+SPEC = ("event", "only", "value", "unit", "channel", "end", "selector", "direction")
+
+
+def judged(limit: Column) -> Column:
+    """Whether a StartEnd limit says which window it means; others pass everything."""
+    return (limit["value"] > 0) & limit["unit"].isin("Seconds", "Words", "Phrases") & limit["end"].isin("First", "Last")
 
-    Null where the limit cannot be judged: no times in the dialogue, a value of 0 or less, or no
-    turn of the channel. Windows are sought over all turns of a dialogue at once.
+
+def windows(turns: DataFrame, asked: DataFrame) -> DataFrame:
+    """The windows of StartEnd limits: asked(dialogue_id, limit) with low and high, or first and last for Phrases.
+
+    Every distinct limit of a dialogue is computed once, from all its turns in one pass. low and high are
+    times, first and last the turns of the channel that count; both null where the limit cannot be
+    judged: no times in the dialogue, no turn of the channel.
     """
-    of = Window.partitionBy("dialogue_id")
-    mine = F.lit(True) if limit.channel in ("", "ANY") else F.col("speaker") == CHANNELS[limit.channel]
-    timed = F.max(F.col("start_offset").isNotNull()).over(of)
-    n = limit.value
+    limit = F.col("limit")
+    rows = turns.select("dialogue_id", "turn_index", "speaker", "text", "start_offset", "end_offset").join(asked.select("dialogue_id", "limit").distinct(), "dialogue_id")
+    rows = rows.withColumn("mine", of_channel(F.col("speaker"), limit["channel"])).withColumn("words", F.when(F.col("mine"), X.word_count(F.col("text"))).otherwise(0))
+    of = Window.partitionBy("dialogue_id", "limit")
     up = of.orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
-    down = of.orderBy(F.desc("turn_index")).rowsBetween(Window.unboundedPreceding, 0)
-    run = up if limit.end == "First" else down
-    if n <= 0 or limit.unit not in ("Seconds", "Words", "Phrases") or limit.end not in ("First", "Last"):
-        return turns.withColumn(name, F.lit(None).cast("boolean"))
-    known = F.when(mine & F.col("start_offset").isNotNull() & F.col("end_offset").isNotNull(), F.col("turn_index"))
-    if limit.unit == "Phrases":
-        count = F.sum(mine.cast("int")).over(run)
-        return turns.withColumn(name, F.when(timed & F.max(mine).over(of), mine & (count <= n)))
-    if limit.unit == "Seconds":
-        if limit.end == "First":
-            low = F.min_by("start_offset", known).over(of)
-            high = low + n
-        else:
-            high = F.max_by("end_offset", known).over(of)
-            low = high - n
-        return turns.withColumn(name, F.when(timed & low.isNotNull(), overlaps(F.col("start_offset"), F.col("end_offset"), low, high)))
-    words = F.when(mine, X.word_count(F.col("text"))).otherwise(0)
-    turns = turns.withColumn("_w", words).withColumn("_run", F.sum("_w").over(run))
-    spoken = F.when(F.col("_w") > 0, F.col("turn_index"))
-    reached = F.when((F.col("_w") > 0) & (F.col("_run") >= n), F.col("turn_index"))
-    if limit.end == "First":
-        low = F.min_by("start_offset", spoken).over(of)
-        high = F.coalesce(F.min_by("end_offset", reached).over(of), F.max_by("end_offset", spoken).over(of))
-    else:
-        high = F.max_by("end_offset", spoken).over(of)
-        low = F.coalesce(F.max_by("start_offset", reached).over(of), F.min_by("start_offset", spoken).over(of))
-    inside = overlaps(F.col("start_offset"), F.col("end_offset"), low, high)
-    return turns.withColumn(name, F.when(timed & low.isNotNull() & high.isNotNull(), inside)).drop("_w", "_run")
-
-
-def passes(inside: Column, only: bool) -> Column:
+    forward = limit["end"] == "First"
+    count, run = F.sum(F.col("mine").cast("int")).over(up), F.sum("words").over(up)
+    rows = rows.withColumn("nth", F.when(forward, count).otherwise(F.sum(F.col("mine").cast("int")).over(of) - count + 1))
+    rows = rows.withColumn("run", F.when(forward, run).otherwise(F.sum("words").over(of) - run + F.col("words")))
+    turn, n = F.col("turn_index"), limit["value"]
+    known = F.when(F.col("mine") & F.col("start_offset").isNotNull() & F.col("end_offset").isNotNull(), turn)
+    spoken = F.when(F.col("words") > 0, turn)
+    reached = F.when((F.col("words") > 0) & (F.col("run") >= n), turn)
+    counted = F.when(F.col("mine") & (F.col("nth") <= n), turn)
+    found = rows.groupBy("dialogue_id", "limit").agg(
+        F.max(F.col("start_offset").isNotNull()).alias("timed"),
+        F.min_by("start_offset", known).alias("opens"), F.max_by("end_offset", known).alias("closes"),
+        F.min_by("start_offset", spoken).alias("speaks"), F.max_by("end_offset", spoken).alias("falls_silent"),
+        F.min_by("end_offset", reached).alias("reaches"), F.max_by("start_offset", reached).alias("reaches_back"),
+        F.min(counted).alias("first"), F.max(counted).alias("last"),
+    )
+    seconds = limit["unit"] == "Seconds"
+    low = F.when(seconds, F.when(forward, F.col("opens")).otherwise(F.col("closes") - n)).otherwise(F.when(forward, F.col("speaks")).otherwise(F.coalesce("reaches_back", "speaks")))
+    high = F.when(seconds, F.when(forward, F.col("opens") + n).otherwise(F.col("closes"))).otherwise(F.when(forward, F.coalesce("reaches", "falls_silent")).otherwise(F.col("falls_silent")))
+    by_turn = limit["unit"] == "Phrases"
+    good = F.col("timed") & judged(limit)
+    return found.select("dialogue_id", "limit", F.when(good & ~by_turn, low).alias("low"), F.when(good & ~by_turn, high).alias("high"), F.when(good & by_turn, F.col("first")).alias("first"), F.when(good & by_turn, F.col("last")).alias("last"))
+
+
+def of_channel(speaker: Column, channel: Column) -> Column:
+    """Whether a turn is of a limit's channel; channels that are not known take all."""
+    named = F.when(channel == "CLIENT", CHANNELS["CLIENT"]).when(channel == "OPERATOR", CHANNELS["OPERATOR"])
+    return named.isNull() | F.coalesce(speaker == named, F.lit(False))
+
+
+def inside(limit: Column) -> Column:
+    """Whether a turn, joined to its windows, is inside; null where the limit cannot be judged."""
+    by_time = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), overlaps(F.col("start_offset"), F.col("end_offset"), F.col("low"), F.col("high")))
+    by_turn = of_channel(F.col("speaker"), limit["channel"]) & F.col("turn_index").between(F.col("first"), F.col("last"))
+    return F.when(F.col("first").isNotNull(), by_turn).otherwise(by_time)
+
+
+def spec(limit: Limit) -> Column:
+    return F.struct(*[F.lit(getattr(limit, c)).alias(c) for c in SPEC])
+
+
+def in_window(turns: DataFrame, limit: Limit, name: str) -> DataFrame:
+    """Add to turns the boolean `name`: whether a turn meets the window of a StartEnd limit; null if that cannot be judged."""
+    found = windows(turns, turns.select("dialogue_id").distinct().withColumn("limit", spec(limit)))
+    return turns.join(found, "dialogue_id", "left").withColumn(name, inside(F.col("limit"))).drop("limit", "low", "high", "first", "last")
+
+
+def passes(inside: Column, only: Column | bool) -> Column:
     """A match passes if it is on the wanted side of the window, or if nothing can be judged."""
-    return F.coalesce(inside if only else ~inside, F.lit(True))
+    return F.coalesce(F.when(only if isinstance(only, Column) else F.lit(only), inside).otherwise(~inside), F.lit(True))
+
+
+def near_times(probes: DataFrame, times: DataFrame, on: list[str], low: str, high: str, at: str, name: str) -> DataFrame:
+    """Add to probes the boolean `name`: whether a time of the same group is in [low, high]; null for groups without times.
+
+    Times and probes are swept together from the latest on: the least time that is not before `low` is the
+    one seen last, so each row is looked at once and no pairs are formed, however many there are of either.
+    A probe without low or high is outside.
+    """
+    spare = [f"_{c}" for c in ("at", "time")]
+    left = probes.withColumn(spare[0], F.col(low).cast("double")).withColumn(spare[1], F.lit(None).cast("double"))
+    right = times.select(*on, F.col(at).cast("double").alias(spare[0]), F.col(at).cast("double").alias(spare[1])).where(F.col(spare[0]).isNotNull())
+    of = Window.partitionBy(*on)
+    swept = left.unionByName(right.withColumn("_is_time", F.lit(True)), allowMissingColumns=True)
+    back = of.orderBy(F.desc_nulls_last(spare[0]), F.col("_is_time").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    next_time = F.last(spare[1], ignorenulls=True).over(back)
+    found = swept.withColumn("_next", next_time).withColumn("_any", F.max("_is_time").over(of)).where("_is_time is null")
+    near = F.coalesce(F.col(low).isNotNull() & (F.col("_next") <= F.col(high)), F.lit(False))
+    return found.withColumn(name, F.when(F.col("_any"), near)).drop(*spare, "_is_time", "_next", "_any")
+
+
+def around(direction: Column, seconds: Column) -> tuple[Column, Column]:
+    """The times (low, high) of a parent's match whose window a turn meets."""
+    before = direction == "Before"
+    s, e = F.col("start_offset"), F.col("end_offset")
+    low = F.when(before, s).otherwise(s - seconds)
+    high = F.when(before, e + seconds).otherwise(e)
+    known = s.isNotNull() & e.isNotNull()
+    return F.when(known, low), F.when(known, high)
+
+
+def by_selector(times: DataFrame, on: list[str]) -> DataFrame:
+    """Times(on, start_offset, ord) for each selector: all for Each, the first and the last by `ord`."""
+    timed = times.where("start_offset is not null")
+    ends = timed.groupBy(*on).agg(F.min_by("start_offset", "ord").alias("First"), F.max_by("start_offset", "ord").alias("Last"))
+    some = ends.select(*on, F.explode(F.array(*[F.struct(F.lit(s).alias("selector"), F.col(s).alias("start_offset")) for s in ("First", "Last")])).alias("x")).select(*on, "x.*")
+    return timed.select(*on, F.lit("Each").alias("selector"), "start_offset").distinct().unionByName(some)
 
 
 def near_parent(hits: DataFrame, parents: DataFrame, limit: Limit) -> DataFrame:
     """Hits that pass a Parent limit: hits(dialogue_id, start_offset, end_offset), parents(dialogue_id, start_offset, ord).
 
     `ord` is the order in which the parent's matches come; First and Last go by it. Dialogues without
-    parent times pass everything. Each dialogue's windows are one array, so no pairs are formed.
+    parent times pass everything.
     """
     if not limit.enabled or limit.unit != "Seconds" or limit.direction not in ("Before", "After"):
         return hits
-    times = parents.where("start_offset is not null").groupBy("dialogue_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "start_offset"))), lambda x: x["start_offset"]).alias("_times"))
-    picked = {"First": F.slice("_times", 1, 1), "Last": F.slice("_times", -1, 1)}.get(limit.selector, F.col("_times"))
-    joined = hits.join(times, "dialogue_id", "left")
-    n = float(limit.value)
-    low, high = (lambda t: t - n, lambda t: t) if limit.direction == "Before" else (lambda t: t, lambda t: t + n)
-    inside = F.exists(picked, lambda t: overlaps(F.col("start_offset"), F.col("end_offset"), low(t), high(t)))
-    return joined.where(passes(F.when(F.col("_times").isNotNull(), inside), limit.only)).drop("_times")
+    low, high = around(F.lit(limit.direction), F.lit(limit.value))
+    selector = limit.selector if limit.selector in ("First", "Last") else "Each"
+    times = by_selector(parents, ["dialogue_id"]).where(F.col("selector") == selector)
+    found = near_times(hits.withColumn("_low", low).withColumn("_high", high), times, ["dialogue_id"], "_low", "_high", "start_offset", "_near")
+    return found.where(passes(F.col("_near"), F.lit(limit.only))).select(*hits.columns)

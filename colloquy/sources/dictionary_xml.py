@@ -32,6 +32,11 @@ def _tokens(e: ET.Element) -> list[Token]:
     return out
 
 
+def _channel(text: str) -> str:
+    """CLIENT or OPERATOR, in whatever case it is written; everything else is ANY."""
+    return known if (known := text.strip().upper()) in ("CLIENT", "OPERATOR") else "ANY"
+
+
 def _limits(e: ET.Element) -> list[Limit]:
     out = []
     for group in e.findall("ExtraLimitations/ExtraLimitation"):
@@ -41,7 +46,7 @@ def _limits(e: ET.Element) -> list[Limit]:
             enabled = _text(x, "Enabled").strip().lower() == "true" and mode in ("OnlyInGaps", "ExcludeGaps")
             out.append(
                 Limit(
-                    _text(group, "EventType"), mode == "OnlyInGaps", int(value) if value.lstrip("-").isdigit() else 0, _text(x, "ValueType") or "Seconds", _text(x, "Channel") or "ANY",
+                    _text(group, "EventType"), mode == "OnlyInGaps", int(value) if value.lstrip("-").isdigit() else 0, _text(x, "ValueType") or "Seconds", _channel(_text(x, "Channel")),
                     _text(x, "LimitType"), _text(x, "EventSelector") or "Each", _text(x, "SearchDirection"), enabled,
                 )
             )
