@@ -1,60 +1,51 @@
-"""Kept tables: append, replace by key, delete by key, and age out, as Parquet versions under one folder."""
+"""Single kept tables, lines of feedback, and checks of what a kept index takes."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.corpus import latest
+from colloquy.sources.store import Change, Store, aged
 
 
 class Table:
-    """A folder of versions; the newest that has a _SUCCESS mark is the table.
+    """A store of one table: append, replace by key, delete by key, keep the latest, age out.
 
-    Rewrites go to a new version, so a reader of the old one is not disturbed and a failed write leaves
-    the table as it was.
+    Appends, upserts and deletes write only what is new; several writers lose nothing of each other.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str]):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-
-    def _versions(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+        self.key, self.store = key, Store(spark, path, {"rows": (schema, key)})
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-
-    def _write(self, df: DataFrame) -> None:
-        found = self._versions()
-        n = int(found[-1].split("-")[0][1:]) + 1 if found else 0
-        df.write.parquet(f"{self.path}/v{n:08d}-{uuid.uuid4().hex[:8]}")
+        return self.store.read("rows")
 
     def append(self, rows: DataFrame) -> None:
-        self._write(self.read().unionByName(rows))
+        self.store.append("rows", rows)
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows replace those of the same key; of several new ones of a key any one stays."""
-        new = rows.dropDuplicates(self.key)
-        self._write(self.read().join(new.select(*self.key), self.key, "left_anti").select(*rows.columns).unionByName(new))
+        self.store.upsert("rows", rows)
 
     def delete(self, keys: DataFrame) -> None:
-        self._write(self.read().join(keys, keys.columns, "left_anti"))
+        self.store.delete("rows", keys)
 
     def keep_latest(self, order: list[Column]) -> None:
-        self._write(latest(self.read(), self.key, order))
+        """One row of each key, the first in the order; done again if the table changes meanwhile."""
+        self.store.change(lambda c: c.upsert("rows", latest(c.read("rows"), self.key, order)))
 
     def age_out(self, column: str, now: Column, ttl_seconds: int) -> None:
+        """Keys whose time is too far back go, unless they get a newer row meanwhile."""
+
+        def work(c: Change) -> None:
+            c.delete("rows", aged(c.read("rows"), column, now, ttl_seconds).select(*self.key))
+
         if ttl_seconds > 0:
-            self._write(self.read().where(F.col(column) >= now - F.make_dt_interval(secs=F.lit(ttl_seconds))))
+            self.store.change(work)
+
+    def compact(self) -> None:
+        self.store.compact("rows")
 
 
 def read_feedback(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
