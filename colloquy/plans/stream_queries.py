@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.kept import shared_folder
 from colloquy.operators.matcher import phrase_row
-from colloquy.plans.search_queries import hits
-from colloquy.streaming import dialogues
+from colloquy.plans.search_queries import IN, TURNS, hits, sel, three_roots
+from colloquy.streaming import dialogues, gates
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,26 @@ Q["stream_phrase_matches"] = stream_phrase_matches
 SQL["stream_phrase_matches"] = f"""WITH turns AS (SELECT conv_id::VARCHAR AS dialogue_id, turn::INT AS turn_index, text, 0 AS start_offset, 0 AS end_offset, regexp_extract_all(lower(text), '[а-яёa-z0-9]+') AS toks,
   CASE role WHEN 'user' THEN 'Клиент' WHEN 'assistant' THEN 'Сотрудник' ELSE 'Неизвестный' END AS speaker FROM conversations),
 {hits('a', 'the of', 3, 'CLIENT')}, {hits('b', 'was by', 8)} SELECT dialogue_id, turn_index, 'the of' AS phrase FROM a UNION ALL SELECT dialogue_id, turn_index, 'was by' FROM b"""
+
+
+def dialogue_clock(turns: DataFrame) -> DataFrame:
+    """Conversations on a clock: one begins every minute, a turn takes ten seconds."""
+    return turns.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("conv_id") + 10 * F.col("turn")))
+
+
+def stream_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    found = dialogue_clock(spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir))
+    said = F.when(F.col("role") == "user", "Клиент").when(F.col("role") == "assistant", "Сотрудник").otherwise("Неизвестный")
+    turns = found.select(F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").cast("int").alias("turn_index"), said.alias("speaker"), "text", "ts")
+    with gates.state_store(spark):
+        return drained(gates.gated_matches(turns, three_roots(), "20 minutes", "10 minutes")).drop("matched_text")
+
+
+#: Dialogues that the watermark has closed when the input ends.
+Q["stream_cascade"] = stream_cascade
+SQL["stream_cascade"] = f"""WITH {TURNS}, {hits('a', 'the of', 3)}, {hits('b', 'was')}, {hits('c', 'by')},
+t AS (SELECT conv_id, max(60 * conv_id + 10 * turn) AS last FROM conversations GROUP BY conv_id),
+closed AS (SELECT conv_id::VARCHAR AS dialogue_id FROM t WHERE last + 1200 <= (SELECT max(last) FROM t) - 600),
+m AS ({sel('a', 'the of', 'first')} UNION ALL {sel('b', 'was', 'second', 1, 2, IN('a'))} UNION ALL {sel('c', 'by', 'third', 1, 3, IN('a') + ' AND ' + IN('b'))})
+SELECT * FROM m JOIN closed USING (dialogue_id)"""
