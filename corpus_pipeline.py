@@ -12,15 +12,24 @@ from pyspark.sql import functions as F
 from colloquy.llm import decontaminate, mixing, neardup, sharding, toxicity
 from colloquy.llm.common import broadcast_if, materialise, table
 
+#: Columns that stages read.
+READ = ("doc_id", "text", "source")
+
 #: The mix repeats no document more often, and makes its words whole documents in groups of about so many words.
 CAP, GROUP_WORDS = 3, 1 << 17
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with names of its own for the columns that no stage reads, so that none is mixed up with what a stage adds."""
+    return docs.toDF(*[c if c in READ else f"_document_{i}_" for i, c in enumerate(docs.columns)])
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, trained on the labelled ones, predicts to be toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_texts(docs, model)
-    return scored.where("predicted = 0").select(*docs.columns)
+    own = apart(docs)
+    model = toxicity.train(own, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(own, model)
+    return scored.where("predicted = 0").select(*own.columns).toDF(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,11 +75,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A source's documents are dealt to groups of about GROUP_WORDS words; each keeps its words.
     """
-    columns = docs.columns
+    own, names = apart(docs), docs.columns
+    columns = own.columns
     key = F.xxhash64("doc_id", "text", F.lit(23))
     groups = F.greatest(F.lit(1), F.floor(F.col("source_size") / GROUP_WORDS))
     mixed = (
-        mixing.mix_sources(docs, cap=CAP)
+        mixing.mix_sources(own, cap=CAP)
         .where("size > 0")
         .select(*columns, "size", "taken", F.pmod(key, groups).alias("_group"), (F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("_own"))
     )
@@ -78,7 +88,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def repeat(rows: pa.Table) -> pa.Table:
         sizes, taken, own = (rows[c].to_numpy() for c in ("size", "taken", "_own"))
         times = whole_copies(sizes, taken, own)
-        return rows.select(columns).take(pa.array(np.repeat(np.arange(len(times)), times)))
+        return rows.select(columns).take(pa.array(np.repeat(np.arange(len(times)), times))).rename_columns(names)
 
     return mixed.groupBy("source", "_group").applyInArrow(repeat, docs.schema)
 

@@ -68,3 +68,19 @@ def test_empty_tables(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
     assert docs.limit(0).columns == docs.columns
+
+
+CLASHES = ["size", "taken", "target", "source_size", "shard", "slot", "_group", "_own", "predicted", "score", "lang", "rid", "words", "doc_id_", "_gone_id_", "_leak_id_"]
+
+
+def test_columns_that_are_named_like_added_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").drop("lang")
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, P.F.concat(P.F.lit(f"{i}:"), P.F.col("doc_id")))
+    for name, f in P.STAGES[:-1]:
+        out = P.materialise(f(spark, docs, "/root/testdata/sf0.001"), f"clash-{name}")
+        assert out.columns == docs.columns
+        assert out.where(" or ".join(f"`{c}` <> concat('{i}:', doc_id)" for i, c in enumerate(CLASHES))).count() == 0
+        docs = out
+    last = P.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert last.count() == docs.count() and last.where("_group <> concat('6:', doc_id)").count() == 0
