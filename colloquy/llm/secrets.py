@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -188,6 +189,15 @@ class Automaton:
     least: int  # bytes of the shortest match
     dead: int  # state (times classes) that nothing leaves and that does not accept, or -1
 
+    @cached_property
+    def steps(self) -> list[int]:
+        return self.table.tolist()
+
+    @cached_property
+    def at_step(self) -> list[int]:
+        """What a state (times classes) accepts."""
+        return np.repeat(self.accepts, self.n_classes).tolist()
+
 
 def compile_patterns(trees: list[tuple], always_open: bool, backwards: bool) -> Automaton:
     """All patterns in one automaton: subset construction, then minimisation."""
@@ -265,8 +275,8 @@ class Scanner:
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Scanner:
-    if len(rules) > 31:
-        raise ValueError("a scanner holds 31 rules; run more in several")
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"a scanner holds {MOST_RULES} rules")
     trees = [parse(r.pattern, r.ignore_case) for r in rules]
     heads = [parse(r.head, r.ignore_case) if r.head else ("alt", []) for r in rules]
     return Scanner(rules, compile_patterns(trees, True, True), compile_patterns(trees + heads, False, False))
@@ -274,12 +284,15 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Scanner:
 
 # ---------------------------------------------------------------- scanning
 
+#: Runs that are too few to be read together; bytes that are read one by one at a time; rules of a scanner.
+FEW, PART, MOST_RULES = 64, 1 << 16, 31
+
 
 def match_starts(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, rules) where matches start, in order.
 
     The runs between bytes that reset the automaton, and between texts, are read from their ends,
-    one byte of each at a time, the longest first.
+    one byte of each at a time, the longest first; when few are left, these are read one by one.
     """
     stop = np.flatnonzero(auto.resets[data])
     edges = np.unique(np.concatenate([stop, stop + 1, off]))
@@ -290,8 +303,9 @@ def match_starts(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np
     start, end = start[order], end[order]
     length = end - start
     cls = auto.classes[data]
+    together = int(length[FEW - 1]) if len(length) >= FEW else 0
     # active[j]: how many runs have a byte j.
-    active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
+    active = np.searchsorted(-length, -np.arange(together), "left")
     state = np.zeros(len(start), np.int32)
     good = np.zeros(len(auto.table), bool)
     good[:: auto.n_classes] = auto.accepts != 0
@@ -305,6 +319,20 @@ def match_starts(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np
         if len(hit):
             at.append(here[hit])
             masks.append(auto.accepts[state[hit] // auto.n_classes])
+    table = auto.steps
+    for i in range(min(FEW, len(start))):
+        now, high = int(state[i]), int(end[i]) - together
+        while high > start[i]:
+            low = max(int(start[i]), high - PART)
+            went = []
+            for c in cls[low:high][::-1].tolist():
+                now = table[now + c]
+                went.append(now)
+            got = auto.accepts[np.array(went, np.int32) // auto.n_classes]
+            hit = np.flatnonzero(got)
+            at.append(high - 1 - hit)
+            masks.append(got[hit])
+            high = low
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, masks = np.concatenate(at), np.concatenate(masks)
@@ -313,11 +341,17 @@ def match_starts(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np
 
 
 def follow(auto: Automaton, data: np.ndarray, start: np.ndarray, limit: np.ndarray, rule: np.ndarray, n_rules: int) -> tuple[np.ndarray, np.ndarray]:
-    """(end, end of the head) of the longest match of a rule from each start; the start where there is none."""
+    """(end, end of the head) of the longest match of a rule from each start; the start where there is none.
+
+    All are read together while they are many and their bytes in all are in proportion to the data;
+    an end of -1 stands for those that were not read to the end.
+    """
     end, head = start.copy(), start.copy()
     live, at = np.arange(len(start)), start.copy()
     state = np.zeros(len(start), np.int32)
-    while len(live):
+    left = 64 * len(data) + (1 << 22)
+    while len(live) >= FEW and left > 0:
+        left -= len(live)
         state = auto.table[state + auto.classes[data[at]]]
         at = at + 1
         bits = auto.accepts[state // auto.n_classes] >> rule[live]
@@ -326,36 +360,73 @@ def follow(auto: Automaton, data: np.ndarray, start: np.ndarray, limit: np.ndarr
         head[live[part]] = at[part]
         keep = (state != auto.dead) & (at < limit[live])
         live, at, state = live[keep], at[keep], state[keep]
+    end[live] = -1
+    return end, head
+
+
+def follow_one(auto: Automaton, data: np.ndarray, start: int, limit: int, rule: int, n_rules: int) -> tuple[int, int]:
+    """The same for one start, byte by byte."""
+    end = head = start
+    table, accepts, dead = auto.steps, auto.at_step, auto.dead
+    full, part, now, at, size = 1 << rule, 1 << rule + n_rules, 0, start, 64
+    while at < limit:
+        for c in auto.classes[data[at : min(limit, at + size)]].tolist():
+            now = table[now + c]
+            if now == dead:
+                return end, head
+            at += 1
+            bits = accepts[now]
+            if bits & full:
+                end = at
+            if bits & part:
+                head = at
+        size = min(2 * size, PART)
     return end, head
 
 
 def spans_in(scanner: Scanner, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, rule, end) in bytes of the kept matches in texts, by start, then rule."""
+    """(start, rule, end) in bytes of the kept matches in texts, by start, then rule.
+
+    A rule's starts are kept as intervals of neighbours. The first of each interval is read with all
+    others; then a text's matches follow from one another, each from the first start behind the one
+    before, which is read by itself only where it is inside an interval or was too long.
+    """
     at, masks = match_starts(scanner.back, data, off)
-    n = len(scanner.rules)
-    found = [(at[masks >> k & 1 == 1], k) for k in range(n)]
-    start = np.concatenate([a for a, _ in found])
-    rule = np.repeat([k for _, k in found], [len(a) for a, _ in found]).astype(np.int64)
-    if not len(start):
-        return start, rule, start
-    text = np.searchsorted(off, start, "right") - 1
-    # A row of starts for each rule and text; each is read from the first start on, then from the
-    # first one behind the match, until it has no more.
-    key = rule * (len(data) + 1) + start
-    group = rule * len(off) + text
-    last = np.append(np.flatnonzero(group[1:] != group[:-1]), len(group) - 1)
-    at, stop = np.append(0, last[:-1] + 1), last + 1
-    out = []
-    least = np.array([r.least for r in scanner.rules])
-    while len(at):
-        s, k, limit = start[at], rule[at], off[text[at] + 1]
-        end, head = follow(scanner.ahead, data, s, limit, k, n)
-        kept = (end > s) & (end - head >= least[k])
-        out.append(np.stack([s[kept], k[kept], end[kept]]))
-        at = np.searchsorted(key, k * (len(data) + 1) + np.maximum(end, s + 1), "left")
-        more = at < stop
-        at, stop = at[more], stop[more]
-    s, k, e = np.concatenate(out, axis=1)
+    n, first, last, rule = len(scanner.rules), [], [], []
+    for k in range(n):
+        mine = at[masks >> k & 1 == 1]
+        if len(mine):
+            cut = np.flatnonzero((np.diff(mine) != 1) | np.isin(mine[1:], off))
+            first.append(mine[np.append(0, cut + 1)])
+            last.append(mine[np.append(cut, len(mine) - 1)])
+            rule.append(np.full(len(first[-1]), k))
+    if not first:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    first, last, rule = np.concatenate(first), np.concatenate(last), np.concatenate(rule)
+    text = np.searchsorted(off, first, "right") - 1
+    limit = off[text + 1]
+    ends, heads = follow(scanner.ahead, data, first, limit, rule, n)
+    edges = np.append(np.flatnonzero((np.diff(rule) != 0) | (np.diff(text) != 0)) + 1, len(first))
+    out, a = [], 0
+    for b in edges.tolist():
+        i, s, k, stop = a, int(first[a]), int(rule[a]), int(limit[a])
+        least, mine = scanner.rules[k].least, last[a:b]
+        while True:
+            end, head = (int(ends[i]), int(heads[i])) if s == first[i] and ends[i] >= 0 else follow_one(scanner.ahead, data, s, stop, k, n)
+            if end > s and end - head >= least:
+                out.append((s, k, end))
+            behind = max(end, s + 1)
+            if last[i] < behind:
+                i = i + 1 if i + 1 < b and last[i + 1] >= behind else a + int(np.searchsorted(mine, behind, "left"))
+            if i >= b:
+                break
+            s = max(int(first[i]), behind)
+        a = b
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    s, k, e = np.array(out, np.int64).T
     order = np.lexsort((k, s))
     return s[order], k[order], e[order]
 
@@ -364,26 +435,30 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
     """Per row of docs: key, spans array<struct<kind, start, end, secret>> in code points, by start, then rule.
 
     The kinds are those of the rules given. A null text counts as empty, and such rows have no spans;
-    repeated rows give repeated results; of matches that start alike the earlier rule's comes first;
+    more rules than a scanner holds are run in several; repeated rows give repeated results; of matches that start alike the earlier rule's comes first;
     an empty table gives an empty result. Texts of any length are scanned whole. Columns other than
     key and text are not used, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(compile_rules(tuple(rules)))  # tens of thousands of numbers
+    scanners = [compile_rules(tuple(rules[i : i + MOST_RULES])) for i in range(0, len(rules), MOST_RULES)]
+    shared = docs.sparkSession.sparkContext.broadcast(scanners)  # tens of thousands of numbers each
     kinds = [r.kind for r in rules]
 
     def scan(batches):
         import pyarrow as pa
 
-        scanner = shared.value
+        scanners = shared.value
         kind_type = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())])
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             out: list[list[dict]] = [[] for _ in range(len(off) - 1)]
             for i, j in pieces(off):
                 part, po = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                s, k, e = spans_in(scanner, part, po)
+                found = [(s, k + m * MOST_RULES, e) for m, scanner in enumerate(scanners) for s, k, e in [spans_in(scanner, part, po)]]
+                s, k, e = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
                 if not len(s):
                     continue
+                order = np.lexsort((k, s))
+                s, k, e = s[order], k[order], e[order]
                 points = np.append(0, np.cumsum((part & 0xC0) != 0x80))  # code points before each byte
                 d = np.searchsorted(po, s, "right") - 1
                 base = points[po[d]]

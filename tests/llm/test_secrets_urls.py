@@ -176,3 +176,50 @@ def test_random_patterns_against_every_rule(spark):
         canon = u[u.index("://") :].lower()
         fits = [(rank, v) for _, v, p, rank in rules if re.search(p, canon, re.ASCII)]
         assert got[i] == (max(fits)[1] if fits else "none"), (u, got[i])
+
+
+def test_long_texts_take_time_in_proportion():
+    """20 MB in one run, a million matches in one line, and starts inside matches: each well under half a minute."""
+    import time
+
+    import numpy as np
+
+    scanner = secrets.compile_rules()
+    n = 20_000_000
+    hexes = np.random.default_rng(1).integers(0, 16, n)
+    run = np.frombuffer(b"0123456789abcdef", np.uint8)[hexes]
+    line = np.frombuffer(b"token=abcdef " * 1_000_000, np.uint8)
+    nested = np.frombuffer(b"password=" * 300_000, np.uint8)
+    for data, want in ((run, [(0, 2, n)]), (nested, [(0, 0, len(nested))])):
+        began = time.time()
+        got = secrets.spans_in(scanner, data, np.array([0, len(data)]))
+        assert time.time() - began < 30 and list(zip(*(x.tolist() for x in got), strict=True)) == want
+    began = time.time()
+    s, k, e = secrets.spans_in(scanner, line, np.array([0, len(line)]))
+    assert time.time() - began < 30 and len(s) == 1_000_000 and (s == np.arange(0, len(line), 13)).all() and (e - s == 12).all() and not k.any()
+
+
+def test_few_runs_or_many_give_the_same(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(12)
+    bits = ["token", "secret", "=", ":", " ", "AKIA", "ABCDEF0123", "deadbeefdeadbeef", "key", "\n", "a" * 300, "-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(300)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    scanner, got = secrets.compile_rules(), []
+    for few, part in ((64, 1 << 16), (1, 7), (10**6, 5), (5, 64)):
+        monkeypatch.setattr(secrets, "FEW", few)
+        monkeypatch.setattr(secrets, "PART", part)
+        got.append([x.tolist() for x in secrets.spans_in(scanner, data, off)])
+    assert got[0][0] and all(g == got[0] for g in got)
+
+
+def test_more_rules_than_a_scanner_holds(spark, monkeypatch):
+    rules = tuple(secrets.Rule(f"k{i}", f"[a-c]*{c}", "", 2) for i, c in enumerate("abcdeabcde"))
+    df = spark.createDataFrame([(1, "abcabd ecb"), (2, None), (3, "aabbccdd")], "doc_id long, text string")
+    got = []
+    for most in (31, 3):
+        monkeypatch.setattr(secrets, "MOST_RULES", most)
+        got.append(sorted(map(repr, secrets.find_secrets(df, rules).collect())))
+    assert got[0] == got[1] and "k9" not in got[0][0]
