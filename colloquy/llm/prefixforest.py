@@ -57,12 +57,16 @@ class Forest:
         high = np.stack([np.searchsorted(s, a | low_bits, "right") for s, a in zip(self.sorted, h, strict=True)])
         return low, high
 
-    def _mark(self, seen: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        for t in range(TREES):
-            seen[self.order[t, low[t] : high[t]]] = True
+    def _score(self, query: np.ndarray, seen: np.ndarray, scores: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Multiply the query with the rows of these ranges that it has not been multiplied with."""
+        new = np.unique(np.concatenate([self.order[t, low[t] : high[t]] for t in range(TREES)]))
+        new = new[~seen[new]]
+        seen[new] = True
+        for a in range(0, len(new), 2048):
+            scores[new[a : a + 2048]] = self.x[new[a : a + 2048]] @ query
 
     def search(self, queries: np.ndarray, floor: np.ndarray, k: int, miss: float):
-        """Per query (rows, scores) of its candidates.
+        """Per query (rows, scores) of its candidates, the rows that it was multiplied with.
 
         A query with a floor, a score that k others have reached, descends to the prefix at which a
         vector as near as that would be missed with at most the chance `miss`; all that shares it in
@@ -72,16 +76,15 @@ class Forest:
         """
         length = np.maximum(np.linalg.norm(queries, axis=1), 1e-300) * self.longest
         h = hash_strings(np.c_[queries, np.zeros(len(queries))])
-        seen = np.zeros((len(queries), len(self.x)), bool)
+        seen, scores = np.zeros((len(queries), len(self.x)), bool), np.zeros((len(queries), len(self.x)))
         bounded = np.isfinite(floor)
         level = np.where(bounded, reach(floor / length, miss), -1)
         for bits in np.unique(level[bounded]):
             at = np.flatnonzero(level == bits)
             low, high = self.ranges(h[:, at], int(bits))
             for j, q in enumerate(at):
-                self._mark(seen[q], low[:, j], high[:, j])
+                self._score(queries[q], seen[q], scores[q], low[:, j], high[:, j])
         open_ = np.flatnonzero(~bounded)
-        scores = queries[open_] @ self.x.T if len(open_) else None  # looked up where a row is seen
         for bits in range(BITS, -1, -1):
             if not len(open_):
                 break
@@ -89,18 +92,14 @@ class Forest:
             keep = np.ones(len(open_), bool)
             for j in np.flatnonzero((high - low).sum(0) >= k) if bits else range(len(open_)):
                 q = open_[j]
-                self._mark(seen[q], low[:, j], high[:, j])
-                some = scores[j][seen[q]]
+                self._score(queries[q], seen[q], scores[q], low[:, j], high[:, j])
+                some = scores[q][seen[q]]
                 if len(some) >= k:
                     keep[j] = bits > reach(np.partition(some, -k)[-k] / length[q], miss)
-            open_, scores = open_[keep], scores[keep]
-        # Candidates that are a large share of the block are scored by one product of matrices.
-        n = seen.sum(1)
-        dense = np.flatnonzero(n * 8 > len(self.x))
-        product = dict(zip(dense.tolist(), queries[dense] @ self.x.T, strict=True)) if len(dense) else {}
+            open_ = open_[keep]
         for q in range(len(queries)):
             rows = np.flatnonzero(seen[q])
-            yield rows, product[q][rows] if q in product else self.x[rows] @ queries[q]
+            yield rows, scores[q][rows]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -127,7 +126,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = 0
     Equal vectors are indexed once with their k + 1 least ids, which is all that can be among the k
     best. Scores are inner products of the original components in double precision, ties go to the
     smaller vec_id, and a row is no candidate of its own. With `counts` the result is query_id and
-    scored, the distinct vectors that the query was compared with.
+    scored, the distinct vectors that the query was multiplied with.
 
     Rows with a null id or a null, empty, zero or non-finite vector take no part; a vector of another
     length than a query's is no candidate of it; repeated ids count once as queries; vectors of any

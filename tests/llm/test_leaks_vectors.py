@@ -95,3 +95,40 @@ def test_ties_copies_and_odd_vectors(spark):
     assert set(got) == {0, 20, 40, 60, 80, 200}
     assert [v for v, _ in got[20]] == list(range(20)) and [v for v, _ in got[0]] == list(range(1, 21)) and got[200][0] == (0, 0.5)
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
+
+
+class Gathered:
+    """Vectors that can only be taken row by row, and are counted."""
+
+    def __init__(self, x):
+        self.x, self.n = x, 0
+
+    def __len__(self):
+        return len(self.x)
+
+    def __getitem__(self, rows):
+        self.n += len(rows)
+        return self.x[rows]
+
+
+def test_a_forest_multiplies_only_what_it_finds():
+    from colloquy.llm.prefixforest import Forest
+
+    rng, shares = np.random.default_rng(5), []
+    for n in (2000, 8000):
+        centre = rng.standard_normal((n // 100, 32))
+        x = np.repeat(centre, 100, axis=0) + 0.05 * rng.standard_normal((n, 32))
+        forest = Forest(x, np.linalg.norm(x, axis=1).max())
+        forest.x = Gathered(x)
+        asked = x[::50]
+        found = list(forest.search(asked, np.full(len(asked), -np.inf), 20, 0.1))
+        assert forest.x.n == sum(len(rows) for rows, _ in found)
+        shares.append(forest.x.n / (n * len(asked)))
+        near = [set(np.argsort(-(x @ q))[:20]) for q in asked]
+        assert np.mean([len(w & set(rows.tolist())) / 20 for w, (rows, _) in zip(near, found, strict=True)]) > 0.9
+    assert shares[1] < shares[0] < 0.1, shares
+    isotropic = rng.standard_normal((2000, 32))
+    forest = Forest(isotropic, np.linalg.norm(isotropic, axis=1).max())
+    forest.x = Gathered(isotropic)
+    found = list(forest.search(isotropic[:20], np.full(20, -np.inf), 20, 0.1))
+    assert forest.x.n == sum(len(rows) for rows, _ in found)  # most of the rows, as nothing is near
