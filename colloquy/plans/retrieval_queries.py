@@ -257,6 +257,22 @@ def topic_components(spark, d):
     return graph.groups(edges).select(F.col("node").alias("vec_id"), "topic")
 
 
+@query()
+def topic_communities(spark, d):
+    edges = R.knn_graph(table(spark, d, "embeddings"), "vec_id")
+    return graph.communities(edges).select(F.col("node").alias("vec_id"), "topic")
+
+
+@query(f"""WITH {KNN}, w AS (SELECT src, dst, any_value(weight) AS w FROM kn GROUP BY ALL),
+lb AS (SELECT vec_id, label FROM embeddings), at AS (SELECT a.label AS x, b.label AS y, w FROM w JOIN lb a ON a.vec_id = src JOIN lb b ON b.vec_id = dst),
+en AS (SELECT l, sum(w) AS total FROM (SELECT x AS l, w FROM at UNION ALL SELECT y, w FROM at) GROUP BY l),
+nn AS (SELECT x AS l, 2 * sum(w) AS inside FROM at WHERE x = y GROUP BY x)
+SELECT round(sum(coalesce(inside, 0) / (SELECT sum(total) FROM en) - (total / (SELECT sum(total) FROM en)) ** 2), 6) AS modularity FROM en LEFT JOIN nn USING (l)""")
+def label_modularity(spark, d):
+    edges = R.knn_graph(table(spark, d, "embeddings"), "vec_id")
+    return graph.modularity(edges, table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("topic")))
+
+
 @query(f"""WITH tm AS (SELECT DISTINCT doc_id, term FROM {spelled('doc_id', 'documents')}), c AS (SELECT source AS topic, term, count(*) AS docs FROM tm JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT topic, term, docs, row_number() OVER (PARTITION BY topic ORDER BY docs DESC, encode(term))::INT AS rank FROM c QUALIFY rank <= 3""")
 def topic_labels(spark, d):
