@@ -70,8 +70,7 @@ def test_files_that_are_refused(spark, tmp_path):
     (tmp_path / "big.rtf").write_bytes(b"{" + b"x" * (51 << 20))
     (tmp_path / "none.rtf").write_bytes(b"{\\rtf1 }")
     assert {r["dialogue_id"].rpartition("/")[2]: r["reason"] for r in rtf.read_dialogues(spark, str(tmp_path))[1].collect()} == {"big.rtf": "too large", "none.rtf": "no turn"}
-    table = spark.createDataFrame([(r"{\rtf1\trowd a\cell b {\b c}\cell\row\trowd d\cell\row}",)], "t string")
-    assert table.select(rtf.table_rows(F.col("t")).alias("t")).first()["t"] == [["a", "b c"], ["d"]]
+    assert [[t for t, _ in cells] for _, _, cells in rtf.parse(rb"{\rtf1\trowd\intbl a\cell b {\b c}\cell\row\trowd d\cell\row}")] == [["a", "b c"], ["d"]]
     deep = "<SpeechLabRequest><Name>leaf</Name></SpeechLabRequest>"
     for i in range(22):
         deep = f"<SpeechLabRequest><Name>n{i}</Name><Requests>{deep}</Requests></SpeechLabRequest>"
