@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.operators.dictionary import channel_of
+from colloquy.operators.kept import written
 from colloquy.schemas import CHANNELS
 
 #: A task's broadcast of phrases; more phrases are joined by shuffle.
@@ -104,7 +105,11 @@ def match_phrases(turns: DataFrame, conditions: list[tuple] | DataFrame, lemmas:
     """
     spark = turns.sparkSession
     if isinstance(conditions, DataFrame):
-        conds = conditions.where("n > 0")
+        conds = written(conditions.where("n > 0"), "phrase-rows")
+        if conds.count() <= MOST_BROADCAST:
+            conds = F.broadcast(conds)
+        else:
+            conds = conds.hint("shuffle_merge")  # the turns' words are more than their table's size tells
     else:
         rows = [c for c in conditions if c[4] > 0]
         conds = spark.createDataFrame(rows, CONDITION)

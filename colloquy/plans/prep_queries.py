@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators import attributes, chunker, corpus, dictops, pii, reports, search
+from colloquy.operators import attributes, chunker, corpus, dictops, gazetteer, pii, reports, search
 from colloquy.operators.dictionary import Condition, Node
 from colloquy.operators.matcher import match_phrases, phrase_row
 from colloquy.plans.search_queries import IN, TURNS, hits, table, turns
@@ -367,3 +367,24 @@ def list_padding(spark, d):
 def turn_length_cube(spark, d):
     c = table(spark, d, "conversations").select(F.col("role").alias("speaker_kind"), F.floor(F.length("text") / 500).cast("int").alias("n_range"))
     return c.cube("speaker_kind", "n_range").agg(F.count(F.lit(1)).alias("turns"))
+
+
+def names_of_items(spark, d):
+    """Names for the finder: the first two words of each benchmark item, and its third."""
+    w = F.col("w")
+    items = table(spark, d, "benchmark").select(X.tokens(F.col("text")).alias("w"))
+    both = F.array(F.struct(F.array_join(F.slice(w, 1, 2), " ").alias("name"), F.lit("PAIR").alias("entity")), F.struct(F.coalesce(F.get(w, F.lit(2)), F.lit("")).alias("name"), F.lit("WORD").alias("entity")))
+    return items.select(F.explode(both).alias("n")).select("n.*")
+
+
+NAMES = """tk AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[а-яёa-z0-9]+') AS toks FROM documents),
+iw AS (SELECT regexp_extract_all(lower(text), '[а-яёa-z0-9]+') AS w FROM benchmark),
+nm AS (SELECT DISTINCT words, entity FROM (SELECT w[1:2] AS words, 'PAIR' AS entity FROM iw UNION ALL SELECT w[3:3], 'WORD' FROM iw) WHERE len(words) > 0),
+ps AS MATERIALIZED (SELECT doc_id, i, toks[i:i + 1] AS two, toks[i:i] AS one FROM tk, (SELECT unnest(range(1, (SELECT max(len(toks)) FROM tk) + 1)) AS i) WHERE i <= len(toks)),
+ft AS (SELECT doc_id, entity, i - 1 AS first, len(words) AS n FROM ps JOIN nm ON words = (CASE WHEN entity = 'PAIR' THEN two ELSE one END))"""
+
+
+@query(f"WITH {NAMES} SELECT doc_id, entity, first::INT AS first, (first + n - 1)::INT AS last FROM ft")
+def names_from_tables(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return gazetteer.find_names(docs, "doc_id", names_of_items(spark, d), capital=False).select("doc_id", "entity", "first", "last")

@@ -264,9 +264,9 @@ def topic_communities(spark, d):
 
 
 @query(f"""WITH {KNN}, w AS (SELECT src, dst, any_value(weight) AS w FROM kn GROUP BY ALL),
-lb AS (SELECT vec_id, label FROM embeddings), at AS (SELECT a.label AS x, b.label AS y, w FROM w JOIN lb a ON a.vec_id = src JOIN lb b ON b.vec_id = dst),
-en AS (SELECT l, sum(w) AS total FROM (SELECT x AS l, w FROM at UNION ALL SELECT y, w FROM at) GROUP BY l),
-nn AS (SELECT x AS l, 2 * sum(w) AS inside FROM at WHERE x = y GROUP BY x)
+lb AS (SELECT vec_id, label FROM embeddings), ab AS (SELECT a.label AS x, b.label AS y, w FROM w JOIN lb a ON a.vec_id = src JOIN lb b ON b.vec_id = dst),
+en AS (SELECT l, sum(w) AS total FROM (SELECT x AS l, w FROM ab UNION ALL SELECT y, w FROM ab) GROUP BY l),
+nn AS (SELECT x AS l, 2 * sum(w) AS inside FROM ab WHERE x = y GROUP BY x)
 SELECT round(sum(coalesce(inside, 0) / (SELECT sum(total) FROM en) - (total / (SELECT sum(total) FROM en)) ** 2), 6) AS modularity FROM en LEFT JOIN nn USING (l)""")
 def label_modularity(spark, d):
     edges = R.knn_graph(table(spark, d, "embeddings"), "vec_id")
