@@ -13,20 +13,29 @@ from colloquy.operators.matcher import match_phrases, phrase_rows
 
 #: A hit's key.
 HIT = ["dialogue_id", "turn_index", "enter", "ord"]
+#: What tells patterns apart, and what is kept of their hits.
+ALIKE = ["phrase", "distance", "channel", "exact"]
+FOUND = ["dialogue_id", "turn_index", "speaker", "start_offset", "end_offset", "matched_text", "matched_start", "matched_end", "pattern"]
 #: Nodes that are open without any hit, listed in one expression.
 MOST_LISTED = 100_000
 
 
-def _hits(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, lemmas: DataFrame | None) -> DataFrame:
-    """All hits of all conditions, whatever the gates. Equal phrases of many nodes are matched once."""
-    alike = ["phrase", "distance", "channel", "exact"]
-    pattern = F.concat_ws("\x1f", "exact", "distance", F.coalesce("channel", F.lit("ANY")), "phrase").alias("pattern")
-    named = conditions.select("*", pattern)
-    rows = phrase_rows(named.select(F.col("pattern").alias("cond_id"), *alike).distinct(), lemmas)
-    found = match_phrases(turns, rows, lemmas).withColumnRenamed("cond_id", "pattern")
-    kept = ["dialogue_id", "turn_index", "speaker", "start_offset", "end_offset", "matched_text", "matched_start", "matched_end", "pattern"]
-    about = named.join(nodes.select("enter", "tree", "level", "gate", "remainder", F.when(F.col("enter") % dicttables.SPAN == 0, F.col("root")).otherwise(F.col("name")).alias("quarter")), "enter")
-    return found.select(*kept).join(about.drop("operator"), "pattern").drop("pattern")
+def patterns_of(conditions: DataFrame) -> DataFrame:
+    """conditions with `pattern`, which equal phrases of many nodes share."""
+    return conditions.withColumn("pattern", F.concat_ws("\x1f", "exact", "distance", F.coalesce("channel", F.lit("ANY")), "phrase"))
+
+
+def pattern_hits(turns: DataFrame, patterns: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """All hits of patterns(pattern, phrase, distance, channel, exact) in turns, each pattern matched once."""
+    rows = phrase_rows(patterns.select(F.col("pattern").alias("cond_id"), *ALIKE).distinct(), lemmas)
+    return match_phrases(turns, rows, lemmas).withColumnRenamed("cond_id", "pattern").select(*FOUND)
+
+
+def _hits(found: DataFrame, nodes: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The hits of all conditions, whatever the gates."""
+    quarter = F.when(F.col("enter") % dicttables.SPAN == 0, F.col("root")).otherwise(F.col("name")).alias("quarter")
+    about = patterns_of(conditions).join(nodes.select("enter", "tree", "level", "gate", "remainder", quarter), "enter")
+    return found.join(about.drop("operator"), "pattern").drop("pattern")
 
 
 def _within(turns: DataFrame, hits: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def _reached(hits: DataFrame, states: DataFrame, nodes: DataFrame) -> DataFrame:
     return events.withColumn("above", above).where("step = 0").select("dialogue_id", "enter", "tree", "level", "open", "barred", "hit", (F.col("above") == F.col("level") - 1).alias("reached"))
 
 
-def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, names: list[str] | None = None, cascade: bool = True, lemmas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, names: list[str] | None = None, cascade: bool = True, lemmas: DataFrame | None = None, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, level_counts) of dictionaries given as tables (`dicttables`) in all dialogues of turns.
 
     All hits are found in one pass, whatever the gates, and written once. The nodes' expressions are rows
@@ -98,7 +107,8 @@ def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, nam
     StartEnd windows are computed once for each distinct limit of a dialogue, Parent limits level by level
     of the tree, all of a level in one join, as a level's times are what the level above has left. So the
     plan does not grow with the dictionary, and nothing is collected but the levels that have Parent
-    limits and the nodes that are open without any hit (`НЕ` alone, or as an alternative).
+    limits and the nodes that are open without any hit (`НЕ` alone, or as an alternative). Hits of the
+    conditions' patterns that are known already (`incremental`) come as `found`.
     """
     nodes, conditions = dicttables.selected(nodes, conditions, names)
     terms = dicttables.terms(nodes, conditions)
@@ -107,7 +117,8 @@ def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, nam
     levels, start_end = limited.agg(parents, F.max((F.col("x.event") == "StartEnd") & timegap.judged(F.col("x")))).first()
     listed = [r[0] for r in terms.where("need = 0").select("enter").distinct().join(nodes.select(F.col("gate").alias("enter")), "enter", "left_semi").collect()]
 
-    hits = written(_hits(turns, nodes, conditions, lemmas), "search-hits")
+    found = pattern_hits(turns, patterns_of(conditions), lemmas) if found is None else found
+    hits = written(_hits(found, nodes, conditions), "search-hits")
     if start_end:
         hits = written(_within(turns, hits), "search-hits")
     for level in sorted(levels):

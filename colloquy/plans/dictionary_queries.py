@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.operators import dicttables, search
+from colloquy.operators.incremental import KeptSearch
+from colloquy.operators.kept import shared_folder
 from colloquy.plans.search_queries import TURNS, table, turns
 
 Q: dict = {}
@@ -103,3 +107,13 @@ def dictionary_tables_limits(spark, d):
     after, before = limit("Parent", F.lit(30), "After"), limit("Parent", F.lit(15), "Before")
     shape = [("0", "root", [(1, "", False, "ANY", first)]), ("0.0", "after", [(2, "", False, "ANY", after)]), ("0.0.0", "before", [(3, "", False, "ANY", before)])]
     return shown(search.search_tables(turns(spark, d), *trees(spark, d, shape), cascade=False)[0])
+
+
+@query(f"WITH {HITS} SELECT {ROWS} FROM m")
+def dictionary_tables_kept(spark, d):
+    """The same rows by way of kept hits: a first search with other phrases and changed dialogues, then what is asked."""
+    said, (nodes, conditions) = turns(spark, d), gated(spark, d)
+    kept = KeptSearch(spark, f"{shared_folder(spark)}/kept-search-{uuid.uuid4().hex}")
+    other = said.withColumn("text", F.when(F.crc32("dialogue_id") % 10 == 0, F.reverse("text")).otherwise(F.col("text")))
+    kept.refresh(other, conditions.where("ord = 0"))
+    return shown(kept.search(said, nodes, conditions, cascade=False)[0])

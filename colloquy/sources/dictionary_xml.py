@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.dictionary import Condition, Limit, Node, Token, conditions_of, flatten
+from colloquy.sources.listing import with_empty
 
 #: Tags of the file format (fixed values).
 REQUEST, REMAINDER = "SpeechLabRequest", "SpeechLabRemainderRequest"
@@ -146,9 +147,8 @@ def serialize(root: Node) -> str:
 def read_dictionaries(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
     """Rows of nodes and conditions of all *.xml files.
 
-    A file that is too large or does not parse is one row with its error; what a file's tree leaves
-    out is a row with a warning each. Limits and attributes are JSON. Files of no bytes are not among
-    those that Spark lists.
+    A file that is too large, empty or does not parse is one row with its error; what a file's tree leaves
+    out is a row with a warning each. Limits and attributes are JSON.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
     good = files.where(F.col("length") <= most_bytes)
@@ -178,4 +178,4 @@ def read_dictionaries(spark: SparkSession, path: str, most_bytes: int = 50 << 20
 
     bad = files.where(F.col("length") > most_bytes).select("path", F.lit("too large").alias("error"))
     rejected = spark.createDataFrame([], ROWS).unionByName(bad, allowMissingColumns=True)
-    return good.select("path", "content").mapInPandas(rows, ROWS).unionByName(rejected)
+    return with_empty(spark, path, ".xml", good.select("path", "content").mapInPandas(rows, ROWS).unionByName(rejected), "path", "error")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from colloquy.functions import text as X
 from colloquy.operators.kept import written
 from colloquy.schemas import CLIENT, OPERATOR, UNKNOWN
+from colloquy.sources.listing import with_empty
 from colloquy.sources.turns import from_plain_text, with_end_offsets
 
 #: Groups whose text is not part of the document (fixed values of the format).
@@ -286,8 +287,8 @@ def read_dialogues(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -
     """(turns, rejected(dialogue_id, reason)) of all *.rtf files.
 
     A file's turns are the rows of its tables; one without such rows is read as lines of plain text.
-    Larger files, those that are no RTF and those without a turn are rejected. Files of no bytes are not
-    among those that Spark lists.
+    Larger files, those that are no RTF, those without a turn and those of no bytes are rejected, so every
+    file is in one of both.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rtf").load(path)
     rows = written(read_rows(files.where(F.col("length") <= most_bytes)), "rtf-rows")
@@ -300,4 +301,5 @@ def read_dialogues(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -
     other = rows.where("error is not null").select("dialogue_id", F.col("error").alias("reason"))
     known = large.unionByName(other)
     none = files.select(F.col("path").alias("dialogue_id")).join(turns.select("dialogue_id").union(known.select("dialogue_id")).distinct(), "dialogue_id", "left_anti")
-    return turns, known.unionByName(none.withColumn("reason", F.lit("no turn")))
+    rejected = known.unionByName(none.withColumn("reason", F.lit("no turn")))
+    return turns, with_empty(spark, path, ".rtf", rejected, "dialogue_id", "reason")

@@ -69,7 +69,7 @@ def test_files_that_are_refused(spark, tmp_path):
     (tmp_path / "empty.rtf").write_bytes(b"")
     (tmp_path / "big.rtf").write_bytes(b"{" + b"x" * (51 << 20))
     (tmp_path / "none.rtf").write_bytes(b"{\\rtf1 }")
-    assert {r["dialogue_id"].rpartition("/")[2]: r["reason"] for r in rtf.read_dialogues(spark, str(tmp_path))[1].collect()} == {"big.rtf": "too large", "none.rtf": "no turn"}
+    assert {r["dialogue_id"].rpartition("/")[2]: r["reason"] for r in rtf.read_dialogues(spark, str(tmp_path))[1].collect()} == {"big.rtf": "too large", "none.rtf": "no turn", "empty.rtf": "empty"}
     assert [[t for t, _ in cells] for _, _, cells in rtf.parse(rb"{\rtf1\trowd\intbl a\cell b {\b c}\cell\row\trowd d\cell\row}")] == [["a", "b c"], ["d"]]
     deep = "<SpeechLabRequest><Name>leaf</Name></SpeechLabRequest>"
     for i in range(22):
@@ -79,7 +79,7 @@ def test_files_that_are_refused(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<SpeechLabRequest><Name>a</Name><SavedState>on</SavedState><Attributes><Attribute Key='Duration' Value='1'/></Attributes></SpeechLabRequest>")
     rows = dictionary_xml.read_dictionaries(spark, str(tmp_path)).collect()
     errors = {(r["path"].rpartition("/")[2], r["error"]) for r in rows if r["error"]}
-    assert errors == {("deep.xml", "n0 is deeper than 20")}
+    assert errors == {("deep.xml", "n0 is deeper than 20"), ("empty.xml", "empty")}
     a = next(r for r in rows if r["name"] == "a")
     assert (a["saved_state"], a["attributes"]) == ("on", '{"Duration": "1"}')
     tree = dictionary_xml.parse((tmp_path / "a.xml").read_text())

@@ -46,6 +46,8 @@ def test_typed_turns(spark, tmp_path):
     write("nested", r"\trowd " + r"\pard\intbl\itap2 Text\nestcell Time\nestcell{\*\nesttableprops\trowd\nestrow}\pard\intbl\itap2 inside\nestcell 00:07\nestcell{\*\nesttableprops\trowd\nestrow}\pard\intbl\itap1\cell\row ")
     write("empty", "")
     (tmp_path / "other.rtf").write_bytes(b"PK not rtf")
+    (tmp_path / "zero.rtf").write_bytes(b"")
+    (tmp_path / "zero.txt").write_bytes(b"")
     (tmp_path / "big.rtf").write_bytes(b"{\\rtf1 " + b"x" * 5000 + b"}")
     turns, rejected = rtf.read_dialogues(spark, str(tmp_path), 4000)
     got: dict = {}
@@ -58,7 +60,7 @@ def test_typed_turns(spark, tmp_path):
         "lines": [(C, "да", None, None), (O, "нет", None, None)],
         "nested": [(U, "inside", 7.0, 7.0)],
     }
-    assert {r["dialogue_id"].rpartition("/")[2]: r["reason"] for r in rejected.collect()} == {"empty.rtf": "no turn", "other.rtf": "not RTF", "big.rtf": "too large"}
+    assert {r["dialogue_id"].rpartition("/")[2]: r["reason"] for r in rejected.collect()} == {"empty.rtf": "no turn", "other.rtf": "not RTF", "big.rtf": "too large", "zero.rtf": "empty"}
 
 
 @pytest.mark.parametrize("n", [200_000])
