@@ -97,6 +97,42 @@ def conditions_reorder(spark, d):
     return mutate.reorder_conditions(c, orders)[0].select("node_id", "cond_id", "ord")
 
 
+def kept_conditions(spark, d):
+    """A condition for each part, under its brand."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("phrase"), F.col("p_size").cast("int").alias("distance"))
+    return placed_conditions(spark, d).join(p, F.col("cond_id") == F.col("p_partkey")).select("node_id", "ord", "cond_id", "phrase", "distance", F.lit("ANY").alias("channel"))
+
+
+KEPT = """k AS (SELECT p_brand AS node_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT - 1 AS ord, p_partkey AS cond_id, p_name AS phrase, p_size::INT AS distance, 'ANY' AS channel FROM part)"""
+
+
+@query(f"""WITH {KEPT}, b AS (SELECT node_id, max(ord) AS last FROM k GROUP BY node_id),
+a AS (SELECT 'Brand#' || (11 + s_suppkey % 50) AS node_id, -s_suppkey AS cond_id, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE ' ' || s_name END AS phrase, CASE s_suppkey % 4 WHEN 0 THEN 'client' WHEN 1 THEN 'nobody' ELSE 'ANY' END AS channel FROM supplier),
+g AS (SELECT a.*, last FROM a JOIN b USING (node_id) WHERE trim(phrase) <> '' AND channel <> 'nobody')
+SELECT node_id, ord, cond_id, phrase, distance, channel FROM k
+UNION ALL SELECT node_id, (last + row_number() OVER (PARTITION BY node_id ORDER BY cond_id))::INT, cond_id, trim(phrase), NULL, upper(channel) FROM g""")
+def conditions_add(spark, d):
+    s = table(spark, d, "supplier")
+    phrase = F.when(F.col("s_suppkey") % 9 == 0, " ").otherwise(F.concat(F.lit(" "), "s_name"))
+    channel = F.when(F.col("s_suppkey") % 4 == 0, "client").when(F.col("s_suppkey") % 4 == 1, "nobody").otherwise("ANY")
+    new = s.select((-F.col("s_suppkey")).alias("cond_id"), F.concat(F.lit("Brand#"), 11 + F.col("s_suppkey") % 50).alias("node_id"), phrase.alias("phrase"), channel.alias("channel"))
+    c = kept_conditions(spark, d)
+    return mutate.add_conditions(c, c.select("node_id"), new)[0]
+
+
+@query(f"""WITH {KEPT} SELECT node_id, ord, cond_id, CASE WHEN ord % 3 = 0 THEN 'new ' || node_id ELSE phrase END AS phrase, CASE WHEN ord % 3 = 0 AND ord % 2 = 0 THEN 7 ELSE distance END AS distance, channel FROM k""")
+def conditions_update(spark, d):
+    c = kept_conditions(spark, d)
+    rows = c.where("ord % 3 = 0").select("node_id", "ord", F.concat(F.lit("new "), "node_id", F.lit(" ")).alias("phrase"), F.when(F.col("ord") % 2 == 0, 7).alias("distance"), F.lit("any").alias("channel"))
+    return mutate.update_conditions(c, rows.unionByName(rows.withColumn("ord", F.col("ord") + 100_000)))[0]
+
+
+@query(f"""WITH {KEPT} SELECT node_id, (row_number() OVER (PARTITION BY node_id ORDER BY ord))::INT - 1 AS ord, cond_id, phrase, distance, channel FROM k WHERE ord % 4 <> 1""")
+def conditions_delete(spark, d):
+    c = kept_conditions(spark, d)
+    return mutate.delete_conditions(c, c.where("ord % 4 = 1").select("node_id", "ord"))[0]
+
+
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS node_id, (p_partkey * 3) % 97 AS parent_id FROM part),
 x AS (SELECT node_id, node_id AS up, 0 AS k FROM e UNION ALL SELECT x.node_id, e.parent_id, k + 1 FROM x JOIN e ON e.node_id = x.up WHERE k < 20)
 SELECT DISTINCT node_id FROM x WHERE k > 0 AND node_id = up""")

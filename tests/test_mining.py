@@ -101,3 +101,21 @@ def test_texts_by_index_are_trimmed_of_blanks_only(spark):
     assert df.select(X.longest_line_run(F.col("t"))).first()[0] == 2
     long = spark.createDataFrame([("a" * 6000 + "".join(chr(97 + i % 26) * 3 + str(i) for i in range(40)) + ("loop of fifty characters that comes again and again! " * 6),)], "t string")
     assert long.select(X.repeats_itself(F.col("t"))).first()[0]
+
+
+def test_changes_of_conditions_and_nodes(spark):
+    conditions = spark.createDataFrame([(1, "a", 0, "one", "ANY", ""), (2, "a", 1, "two", "ANY", "OR"), (3, "a", 2, "three", "ANY", "AND"), (4, "b", 0, "four", "CLIENT", "")], "cond_id int, node_id string, ord int, phrase string, channel string, operator string")
+    nodes = spark.createDataFrame([("a", "A", "on", "{}"), ("b", "B", None, None), ("c", "C", None, None)], "node_id string, name string, saved_state string, attributes string")
+    new = spark.createDataFrame([(9, "a", " nine ", "client", "OR"), (8, "a", "eight", None, None), (7, "c", "seven", "ANY", ""), (6, "x", "six", None, None), (5, "a", " ", None, None), (10, "a", "ten", "BOTH", None), (11, "a", "x", None, "XOR"), (1, "b", "again", None, None)], "cond_id int, node_id string, phrase string, channel string, operator string")
+    out, refused = mutate.add_conditions(conditions, nodes, new)
+    assert sorted((r["node_id"], r["ord"], r["cond_id"], r["phrase"], r["channel"]) for r in out.where("cond_id >= 5").collect()) == [("a", 3, 8, "eight", None), ("a", 4, 9, "nine", "CLIENT"), ("c", 0, 7, "seven", "ANY")]
+    assert {r["cond_id"]: r["reason"] for r in refused.collect()} == {6: "unknown node", 5: "empty phrase", 10: "unknown channel", 11: "unknown operator", 1: "id taken"}
+    changes = spark.createDataFrame([("a", 1, "TWO ", None), ("b", 0, None, "operator"), ("b", 5, "x", None), ("a", 0, None, "BOTH")], "node_id string, ord int, phrase string, channel string")
+    out, refused = mutate.update_conditions(conditions, changes)
+    got = {r["cond_id"]: (r["phrase"], r["channel"], r["operator"]) for r in out.collect()}
+    assert got == {1: ("one", "ANY", ""), 2: ("TWO", "ANY", "OR"), 3: ("three", "ANY", "AND"), 4: ("four", "OPERATOR", "")}
+    assert {(r["node_id"], r["ord"], r["reason"]) for r in refused.collect()} == {("b", 5, "no such place"), ("a", 0, "unknown channel")}
+    out, refused = mutate.delete_conditions(conditions, spark.createDataFrame([("a", 0), ("a", 9), ("b", 0)], "node_id string, ord int"))
+    assert sorted((r["node_id"], r["ord"], r["cond_id"]) for r in out.collect()) == [("a", 0, 2), ("a", 1, 3)] and [tuple(r) for r in refused.collect()] == [("a", 9)]
+    out, refused = mutate.update_nodes(nodes, spark.createDataFrame([("a", " ", "off", None), ("b", "BB", None, "{1}"), ("z", "Z", None, None)], "node_id string, name string, saved_state string, attributes string"))
+    assert sorted(map(tuple, out.collect())) == [("a", "A", "off", "{}"), ("b", "BB", None, "{1}"), ("c", "C", None, None)] and refused.first()["node_id"] == "z"
