@@ -89,6 +89,20 @@ def bm25_topk(spark, d):
     return bm25_ranking(spark, d)
 
 
+LEMMA = "CASE WHEN length(term) >= 7 AND term IN (SELECT term FROM kf) THEN substr(term, 1, 5) ELSE term END"
+LEMMAS = (
+    f"kf AS (SELECT DISTINCT term FROM (SELECT unnest({PATTERN}) AS term FROM benchmark)), "
+    + BM25.replace(f"WHERE term NOT IN ({STOP}))", f"WHERE {LEMMA} NOT IN ({STOP}))").replace("SELECT doc_id, term FROM (SELECT doc_id, unnest", f"SELECT doc_id, {LEMMA} AS term FROM (SELECT doc_id, unnest").replace("SELECT DISTINCT query_id, term FROM (SELECT item_id", f"SELECT DISTINCT query_id, {LEMMA} AS term FROM (SELECT item_id")
+)
+
+
+@query(f"WITH {LEMMAS} SELECT * FROM bm")
+def bm25_lemmas_topk(spark, d):
+    """Ranking with lemmas: the benchmark's words of seven letters or more count as their first five."""
+    forms = asked(spark, d).select(F.explode(R.X.tokens(F.col("text"))).alias("form")).distinct().where(F.length("form") >= 7)
+    return R.bm25(docs(spark, d), "doc_id", asked(spark, d), lemmas=forms.withColumn("lemma", F.substring("form", 1, 5)))
+
+
 @query(f"WITH {VOCAB} SELECT term, idx, df, round(idf, 6) AS idf FROM v")
 def tfidf_vocab(spark, d):
     return R.tfidf_vocabulary(docs(spark, d)).withColumn("idf", F.round("idf", 6))
