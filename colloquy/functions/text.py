@@ -279,7 +279,7 @@ def canonical_stamp(text: Column) -> Column:
 
 def outer_object(text: Column) -> Column:
     """The first `{...}` whose braces balance, of any depth, braces in strings not counted; null without one."""
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(False).alias("done"))
     begin = F.regexp_extract(F.coalesce(text, F.lit("")), r"(\{[\s\S]*)$", 1)
     parts = F.regexp_extract_all(begin, F.lit(r'[{}"\\]|[^{}"\\]+'), F.lit(0))
 
@@ -287,10 +287,11 @@ def outer_object(text: Column) -> Column:
         mark = ~a["escaped"] & (x == '"')
         depth = a["depth"] + F.when(a["quoted"] | a["done"], 0).when(x == "{", 1).when(x == "}", -1).otherwise(0)
         escaped = a["quoted"] & ~a["escaped"] & (x == "\\")
-        out = F.when(a["done"], a["out"]).otherwise(F.concat(a["out"], x))
-        return F.struct(depth.alias("depth"), F.when(mark, ~a["quoted"]).otherwise(a["quoted"]).alias("quoted"), escaped.alias("escaped"), out.alias("out"), (a["done"] | ((depth == 0) & (x == "}") & ~a["quoted"])).alias("done"))
+        n = F.when(a["done"], a["n"]).otherwise(a["n"] + F.length(x))
+        return F.struct(depth.alias("depth"), F.when(mark, ~a["quoted"]).otherwise(a["quoted"]).alias("quoted"), escaped.alias("escaped"), n.alias("n"), (a["done"] | ((depth == 0) & (x == "}") & ~a["quoted"])).alias("done"))
 
-    return F.aggregate(parts, zero, step, lambda a: F.when(a["done"], a["out"]))
+    taken = F.aggregate(parts, zero, step, lambda a: F.when(a["done"], a["n"]))
+    return F.when(taken.isNotNull(), F.substring(begin, F.lit(1), taken))
 
 
 def summary_or_raw(text: Column, limit: int = 500) -> Column:
