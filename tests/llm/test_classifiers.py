@@ -79,6 +79,66 @@ def test_gapped_insults():
     assert "idiot" in {toxicity.plain(w) for w in toxicity.words_of("you i d i o t!")} and toxicity.plain("1d-i0t") == "idiot" and toxicity.plain("123") == ""
 
 
+def test_insults_split_by_spaces_signs_and_letters():
+    texts, toxic, calm = toy()
+    rng = random.Random(5)
+    common = "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所"
+    for i in range(200):
+        w = [rng.choice(common) for _ in range(60)]
+        if i % 5 == 0:
+            w.insert(rng.randrange(60), "傻逼")
+        texts.append("".join(w) + "。")
+        toxic.append(int(i % 5 == 0))
+    model = toxicity.fit(texts, toxic)
+
+    def score(insult):
+        return model.score([v for v, _ in model.finds([f"{calm} {insult} the water."])[0]])
+
+    for insult in ("stupid", "STUPID", "5tup1d", "s-t-u-p-i-d", "stu pid", "s, t, u, p, i, d", "s.t.u.p.i.d", "stxuxpxid", "mo-ron", "大为上个国傻逼我以要"):
+        assert score(insult) >= 0.3, insult
+    for word in ("stupendous", "reading", "大为上个国我以要", "st. Upon"):
+        assert score(word) < 0.3, word
+
+
+def test_windows_of_texts_by_hand():
+    texts, toxic, _ = toy()
+    model = toxicity.fit(texts, toxic)
+    rng = random.Random(3)
+
+    def by_hand(text):
+        found = []
+        for line in text.lower().split("\n"):
+            words = line.split(" ")
+            for a in range(len(words)):
+                for m in range(1, toxicity.RUN + 1):
+                    run = words[a : a + m]
+                    if len(run) == m and len(" ".join(run)) + 2 <= toxicity.WIDTH:
+                        found.append((model.margins([" ".join(run)])[0], model.margins(run).max(), m, " ".join(run)))
+        return max((v, w) for v, inside, m, w in found if v > toxicity.FLOOR and (m == 1 or v > inside + toxicity.GAIN))
+
+    for _ in range(20):
+        text = "".join(rng.choice(["stu", "pid", "idi", "ot", "mo", "ron", "water", "w"]) + rng.choice("  \n ") for _ in range(12)).strip()
+        text = "\n".join(" ".join(line.split()) for line in text.split("\n") if line.strip())
+        value, window = by_hand(text)
+        got = model.finds([text])[0][0]
+        assert abs(got[0] - value) < 1e-4 and (got[1] == window or abs(model.margins([got[1]])[0] - value) < 1e-4)
+
+
+def test_long_texts_come_in_pieces():
+    texts, toxic, calm = toy()
+    model = toxicity.fit(texts, toxic)
+    for unit in (calm + " ", calm.replace(" ", "")):
+        text = unit * (3 * toxicity.PIECE // len(unit))
+        assert all(len(p) <= toxicity.PIECE for p in toxicity.pieces(text))
+        clean = model.finds([text])[0]
+        for at in (toxicity.PIECE - 3, toxicity.PIECE - len(unit), 2 * toxicity.PIECE - 30, len(text)):
+            at = text.rfind(" ", 0, at) + 1 if " " in text else at
+            found = model.finds([text[:at] + " stu pid " + text[at:]])[0]
+            assert found[0][1] == "stu pid" and found[0] not in clean
+    assert [list(toxicity.pieces(t)) for t in ("", "a b")] == [[""], ["a b"]]
+    assert model.finds([None, "", "12 !?", "\n"]) == [[], [], [], []]
+
+
 def test_kernel_by_hand():
     def k(a, b):
         def f(w):
