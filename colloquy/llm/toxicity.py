@@ -379,7 +379,7 @@ def bag_of(text: str) -> list[str]:
     return sorted(out)
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 300, rounds: int = 3) -> Model:
+def fit(texts: list[str], toxic: list[int], landmarks: int = 450, rounds: int = 3) -> Model:
     """Learn from labelled texts.
 
     A toxic text's sentences are a bag of which at least one window is an insult: the witness is first
