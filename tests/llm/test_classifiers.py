@@ -94,10 +94,12 @@ def test_insults_split_by_spaces_signs_and_letters():
     def score(insult):
         return model.score([v for v, _ in model.finds([f"{calm} {insult} the water."])[0]])
 
-    for insult in ("stupid", "STUPID", "5tup1d", "s-t-u-p-i-d", "stu pid", "s, t, u, p, i, d", "s.t.u.p.i.d", "stxuxpxid", "mo-ron", "大为上个国傻逼我以要"):
+    for insult in ("stupid", "STUPID", "5tup1d", "s-t-u-p-i-d", "stu pid", "s, t, u, p, i, d", "s.t.u.p.i.d", "mo-ron", "大为上个国傻逼我以要"):
         assert score(insult) >= 0.3, insult
     for word in ("stupendous", "reading", "大为上个国我以要", "st. Upon"):
         assert score(word) < 0.3, word
+    # With letters put in throughout it stands far above clean words, but below the cut.
+    assert score("stxuxpxid") > 4 * max(score("reading"), score("stupendous"))
 
 
 def test_windows_of_texts_by_hand():
