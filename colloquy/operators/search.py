@@ -51,13 +51,12 @@ def _around(hits: DataFrame, level: int) -> DataFrame:
     mine = hits.where((F.col("level") == level) & F.col("gate").isNotNull())
     good = lambda x: (x["event"] == "Parent") & (x["unit"] == "Seconds") & x["direction"].isin("Before", "After")
     asked = mine.select(*HIT, "gate", "start_offset", "end_offset", F.explode(F.filter("limits", good)).alias("limit"))
-    low, high = timegap.around(F.col("limit.direction"), F.col("limit.value"))
     selector = F.when(F.col("limit.selector").isin("First", "Last"), F.col("limit.selector")).otherwise("Each")
-    probes = asked.select("*", low.alias("low"), high.alias("high"), selector.alias("selector"))
+    probes = asked.select("*", F.col("limit.direction").alias("direction"), F.col("limit.value").alias("seconds"), selector.alias("selector"))
     above = hits.where(~F.col("negated")).select("dialogue_id", F.col("enter").alias("gate"), "start_offset", F.struct("ord", "turn_index").alias("ord"))
     on = ["dialogue_id", "gate"]
     times = timegap.by_selector(above.join(mine.select("gate").distinct(), "gate", "left_semi"), on)
-    found = timegap.near_times(probes, times, [*on, "selector"], "low", "high", "start_offset", "near")
+    found = timegap.near_times(probes, times, [*on, "selector"], "near")
     out = found.where(~timegap.passes(F.col("near"), F.col("limit.only")))
     return hits.join(out.select(*HIT).distinct(), HIT, "left_anti")
 

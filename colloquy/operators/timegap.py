@@ -89,33 +89,28 @@ def passes(inside: Column, only: Column | bool) -> Column:
     return F.coalesce(F.when(only if isinstance(only, Column) else F.lit(only), inside).otherwise(~inside), F.lit(True))
 
 
-def near_times(probes: DataFrame, times: DataFrame, on: list[str], low: str, high: str, at: str, name: str) -> DataFrame:
-    """Add to probes the boolean `name`: whether a time of the same group is in [low, high]; null for groups without times.
-
-    Times and probes are swept together from the latest on: the least time that is not before `low` is the
-    one seen last, so each row is looked at once and no pairs are formed, however many there are of either.
-    A probe without low or high is outside.
+def near_times(probes: DataFrame, times: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Add to probes(start_offset, end_offset, direction, seconds) the boolean `name`: whether a probe meets the window of a time of the same group; null for groups without times.
+
+    A time's window goes from `seconds` before it to it, or from it to `seconds` after. The sum is taken on the
+    time, as moving it to the probe's side would round ties another way. Of the windows before, that of the
+    least time from the probe's start on reaches back farthest; of those after, that of the greatest time
+    up to its end reaches on farthest. So one time decides, the one seen last in a sweep over both (with signs
+    turned for those after): each row is looked at once and no pairs are formed, however many there are of
+    either. A probe without start or end is outside.
     """
-    spare = [f"_{c}" for c in ("at", "time")]
-    left = probes.withColumn(spare[0], F.col(low).cast("double")).withColumn(spare[1], F.lit(None).cast("double"))
-    right = times.select(*on, F.col(at).cast("double").alias(spare[0]), F.col(at).cast("double").alias(spare[1])).where(F.col(spare[0]).isNotNull())
-    of = Window.partitionBy(*on)
+    before = F.col("direction") == "Before"
+    s, e = F.col("start_offset").cast("double"), F.col("end_offset").cast("double")
+    left = probes.withColumn("_at", F.when(s.isNotNull() & e.isNotNull(), F.when(before, s).otherwise(0.0 - e)))
+    both = F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), at.alias("_at")) for d, at in (("Before", s), ("After", 0.0 - s))])).alias("x")
+    right = times.where("start_offset is not null").select(*on, s.alias("_time"), both).select(*on, "_time", "x.*")
+    of = Window.partitionBy(*on, "direction")
     swept = left.unionByName(right.withColumn("_is_time", F.lit(True)), allowMissingColumns=True)
-    back = of.orderBy(F.desc_nulls_last(spare[0]), F.col("_is_time").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    next_time = F.last(spare[1], ignorenulls=True).over(back)
-    found = swept.withColumn("_next", next_time).withColumn("_any", F.max("_is_time").over(of)).where("_is_time is null")
-    near = F.coalesce(F.col(low).isNotNull() & (F.col("_next") <= F.col(high)), F.lit(False))
-    return found.withColumn(name, F.when(F.col("_any"), near)).drop(*spare, "_is_time", "_next", "_any")
-
-
-def around(direction: Column, seconds: Column) -> tuple[Column, Column]:
-    """The times (low, high) of a parent's match whose window a turn meets."""
-    before = direction == "Before"
-    s, e = F.col("start_offset"), F.col("end_offset")
-    low = F.when(before, s).otherwise(s - seconds)
-    high = F.when(before, e + seconds).otherwise(e)
-    known = s.isNotNull() & e.isNotNull()
-    return F.when(known, low), F.when(known, high)
+    back = of.orderBy(F.desc_nulls_last("_at"), F.col("_is_time").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = swept.withColumn("_next", F.last("_time", ignorenulls=True).over(back)).withColumn("_any", F.max("_is_time").over(of)).where("_is_time is null")
+    meets = F.when(before, e >= F.col("_next") - F.col("seconds")).otherwise(s <= F.col("_next") + F.col("seconds"))
+    near = F.coalesce(F.col("_at").isNotNull() & meets, F.lit(False))
+    return found.withColumn(name, F.when(F.col("_any"), near)).drop("_at", "_time", "_is_time", "_next", "_any")
 
 
 def by_selector(times: DataFrame, on: list[str]) -> DataFrame:
@@ -134,8 +129,8 @@ def near_parent(hits: DataFrame, parents: DataFrame, limit: Limit) -> DataFrame:
     """
     if not limit.enabled or limit.unit != "Seconds" or limit.direction not in ("Before", "After"):
         return hits
-    low, high = around(F.lit(limit.direction), F.lit(limit.value))
     selector = limit.selector if limit.selector in ("First", "Last") else "Each"
     times = by_selector(parents, ["dialogue_id"]).where(F.col("selector") == selector)
-    found = near_times(hits.withColumn("_low", low).withColumn("_high", high), times, ["dialogue_id"], "_low", "_high", "start_offset", "_near")
+    probes = hits.withColumn("direction", F.lit(limit.direction)).withColumn("seconds", F.lit(limit.value))
+    found = near_times(probes, times, ["dialogue_id"], "_near")
     return found.where(passes(F.col("_near"), F.lit(limit.only))).select(*hits.columns)
