@@ -25,9 +25,14 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files: a pattern of that one name takes both."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    found = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    found = stream_of(spark, sf_dir, "events")
     return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -64,8 +69,7 @@ SELECT * FROM s WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 
 
 def stream_phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    found = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    found = stream_of(spark, sf_dir, "conversations")
     said = F.when(F.col("role") == "user", "Клиент").when(F.col("role") == "assistant", "Сотрудник").otherwise("Неизвестный")
     turns = found.select(F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").cast("int").alias("turn_index"), said.alias("speaker"), "text")
     rows = [phrase_row("a", "the of", 3, "CLIENT", True), phrase_row("b", "was by", 8, "ANY", True)]
@@ -84,8 +88,7 @@ def dialogue_clock(turns: DataFrame) -> DataFrame:
 
 
 def stream_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    found = dialogue_clock(spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir))
+    found = dialogue_clock(stream_of(spark, sf_dir, "conversations"))
     said = F.when(F.col("role") == "user", "Клиент").when(F.col("role") == "assistant", "Сотрудник").otherwise("Неизвестный")
     turns = found.select(F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").cast("int").alias("turn_index"), said.alias("speaker"), "text", "ts")
     with gates.state_store(spark):
