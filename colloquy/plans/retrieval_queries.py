@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import graph
 from colloquy.operators import retrieval as R
+from colloquy.operators.kept import written
 from colloquy.plans.search_queries import table
 
 Q: dict = {}
@@ -72,7 +73,7 @@ def bm25_ranking(spark, d):
 
 def cosine_ranking(spark, d):
     v = R.tfidf_vocabulary(docs(spark, d))
-    return R.sparse_cosine(R.tfidf_vectors(docs(spark, d), "doc_id", v), "doc_id", R.tfidf_vectors(asked(spark, d), "query_id", v))
+    return R.sparse_cosine(R.tfidf_rows(docs(spark, d), "doc_id", v), "doc_id", R.tfidf_vectors(asked(spark, d), "query_id", v))
 
 
 def both(spark, d):
@@ -189,8 +190,10 @@ bo AS (SELECT query_id, doc_id, round(score + coalesce(gain, 0), 6) AS score FRO
 
 
 def boosted(spark, d):
+    cut = written(hybrid_cut(spark, d), "hybrid-cut")
+    named = docs(spark, d).join(F.broadcast(cut.select("doc_id").distinct()), "doc_id", "left_semi")  # ten a query
     q = first_words(asked(spark, d), "query_id").select("query_id", "entity", F.col("entity").alias("normal"), F.when(F.length("entity") >= 14, "PER").otherwise("ORG").alias("kind"))
-    return R.boost_by_entities(hybrid_cut(spark, d), "doc_id", q, first_words(docs(spark, d), "doc_id"))
+    return R.boost_by_entities(cut, "doc_id", q, first_words(named, "doc_id"))
 
 
 @query(f"WITH {BOOST} SELECT * FROM bo")
@@ -213,7 +216,7 @@ SELECT query_id, doc_id, term, delta, row_number() OVER (PARTITION BY query_id,
 def explain_leave_one_out(spark, d):
     v = R.tfidf_vocabulary(docs(spark, d))
     qv = R.tfidf_vectors(asked(spark, d), "query_id", v)
-    best = R.sparse_cosine(R.tfidf_vectors(docs(spark, d), "doc_id", v), "doc_id", qv).where("rank = 1").select("query_id", "doc_id")
+    best = R.sparse_cosine(R.tfidf_rows(docs(spark, d), "doc_id", v), "doc_id", qv).where("rank = 1").select("query_id", "doc_id")
     return R.leave_one_out(best.join(docs(spark, d), "doc_id"), "doc_id", v, qv)
 
 
@@ -221,10 +224,11 @@ QRELS = "qr AS (SELECT item_id AS query_id, doc_id, CASE WHEN contains(d.text, b
 
 
 def relevant(spark, d):
-    """Documents that hold an item's whole text, or its first 40 characters: found by their first words, then tested."""
+    """Documents that hold an item's whole text, or its first 40 characters: found by the longest of their inner words, then tested."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    key = lambda t: F.get(R.X.tokens(t), F.lit(1))
-    second = b.withColumn("word", key(F.substring("item", 1, 40)))
+    words = R.X.tokens(F.substring("item", 1, 40))
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    second = b.withColumn("word", F.coalesce(F.array_max(inner)["w"], F.get(words, F.lit(1))))
     have = docs(spark, d).withColumn("word", F.explode(F.array_distinct(R.X.tokens(F.col("text")))))
     grade = F.when(F.contains("text", "item"), 3).when(F.contains(F.col("text"), F.substring("item", 1, 40)), 1).otherwise(0)
     return have.join(R.small(second), "word").select("query_id", "doc_id", grade.alias("grade")).where("grade > 0")
