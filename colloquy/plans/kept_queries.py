@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.kept import shared_folder
-from colloquy.plans.retrieval_queries import BM25, asked, docs
+from colloquy.plans.retrieval_queries import BM25, asked
 from colloquy.plans.search_queries import table
 from colloquy.sources.lexical import LexicalIndex
 from colloquy.sources.store import Change, Store
@@ -114,7 +114,7 @@ def vector_index_kept(spark, d):
 def kept_terms(spark: SparkSession, d: str) -> LexicalIndex:
     """All documents, a segment for each language."""
     index = LexicalIndex(spark, place(spark, "lexical"))
-    rows = docs(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = table(spark, d, "documents").select("doc_id", "text", "lang")
     index.add(rows.where("lang = 'en'"), "doc_id")
     index.add(rows.where("lang <> 'en' or lang is null"), "doc_id")
     return index
