@@ -23,6 +23,8 @@ RECOGNIZERS = (
 
 #: A character without which an entity cannot be there.
 HINTS = {"EMAIL_ADDRESS": "@"}
+#: What a match of any of RECOGNIZERS without a hint begins with: one look at a character rules out most places of a text.
+STARTS = "[+0-9ДдКЛл№]"
 
 DETECTION = "array<struct<entity:string,start:int,end:int,score:double>>"
 
@@ -71,7 +73,10 @@ def detections(text: Column, least: float = 0.5, entities: tuple[str, ...] | Non
     seen = F.lit(False)
     for r in alone:
         seen = seen | (F.contains(text, F.lit(r[4])) & F.regexp_like(text, F.lit(r[1])))
-    joint = "|".join(f"(?:{r[1]})" for r in rows if r not in alone)
+    together = [r[1] for r in rows if r not in alone]
+    own = {p for entity, _, _, patterns in RECOGNIZERS if entity not in HINTS for p, _ in patterns}
+    known = "|".join(f"(?:{p})" for p in together if p in own)
+    joint = "|".join([f"(?={STARTS})(?:{known})"] * bool(known) + [f"(?:{p})" for p in together if p not in own])
     seen = seen | F.regexp_like(text, F.lit(joint)) if joint else seen
     names = ("entity", "pattern", "score", "check", "hint")
     listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])
@@ -115,5 +120,6 @@ def mask(docs: DataFrame, least: float = 0.5, text: str = "text", entities: tupl
 
 def counts(docs: DataFrame) -> DataFrame:
     """(entity, detections, documents) over masked documents."""
-    flat = docs.select("doc_id", F.explode("detections.entity").alias("entity"))
+    # Outer, as else a filter on the array would find all detections once more.
+    flat = docs.select("doc_id", F.explode_outer("detections.entity").alias("entity")).where("entity is not null")
     return flat.groupBy("entity").agg(F.count(F.lit(1)).alias("detections"), F.countDistinct("doc_id").alias("documents"))

@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 
 from __spark_entry__ import queries
+from colloquy.operators import pii
 from colloquy.operators.pii import RECOGNIZERS
 
 SF = "/root/testdata/sf0.01"
@@ -81,3 +82,14 @@ def test_counts_of_the_given_documents(spark):
     print(got)
     assert got == brute(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
     assert {"CREDIT_CARD", "PHONE_NUMBER", "EMAIL_ADDRESS"} <= {e for e, *_ in got}
+
+
+def test_detections_are_found_once_and_from_their_first_characters(spark):
+    plan = queries()["pii_counts_all"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(") == 1 and plan.count(f"(?={pii.STARTS})") == 1
+    for text in TEXTS:
+        for entity, _, _, patterns in RECOGNIZERS:
+            assert entity in pii.HINTS or all(re.match(pii.STARTS, m[0]) for p, _ in patterns for m in re.finditer(p, text or ""))
+    added = (("CODE", "<CODE>", "", ((r"zz\d+", 0.9),)),)
+    found = spark.createDataFrame([(1, "a zz12 b"), (2, "К-9"), (3, "b 9")], "doc_id long, text string").select("doc_id", pii.detections(pii.F.col("text"), recognizers=RECOGNIZERS + added).alias("x"))
+    assert {r["doc_id"]: [d["entity"] for d in r["x"]] for r in found.collect()} == {1: ["CODE"], 2: ["CONTRACT_NUMBER"], 3: []}
