@@ -25,17 +25,23 @@ def patterns_of(conditions: DataFrame) -> DataFrame:
     return conditions.withColumn("pattern", F.concat_ws("\x1f", "exact", "distance", F.coalesce("channel", F.lit("ANY")), "phrase"))
 
 
+def _dealt(rows: DataFrame, *on: str) -> DataFrame:
+    """Rows dealt to some tasks for every core, as the work on them is much more than their bytes tell."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *on)
+
+
 def pattern_hits(turns: DataFrame, patterns: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """All hits of patterns(pattern, phrase, distance, channel, exact) in turns, each pattern matched once."""
     rows = phrase_rows(patterns.select(F.col("pattern").alias("cond_id"), *ALIKE).distinct(), lemmas)
+    turns = _dealt(turns, "dialogue_id", "turn_index")
     return match_phrases(turns, rows, lemmas).withColumnRenamed("cond_id", "pattern").select(*FOUND)
 
 
-def _hits(found: DataFrame, nodes: DataFrame, conditions: DataFrame) -> DataFrame:
-    """The hits of all conditions, whatever the gates."""
+def _about(nodes: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The conditions with their patterns and what matches show of their nodes."""
     quarter = F.when(F.col("enter") % dicttables.SPAN == 0, F.col("root")).otherwise(F.col("name")).alias("quarter")
-    about = patterns_of(conditions).join(nodes.select("enter", "tree", "level", "gate", "remainder", quarter), "enter")
-    return found.join(about.drop("operator"), "pattern").drop("pattern")
+    return patterns_of(conditions).join(nodes.select("enter", "tree", "level", "gate", "remainder", quarter), "enter").drop("operator")
 
 
 def _within(turns: DataFrame, hits: DataFrame) -> DataFrame:
@@ -61,45 +67,64 @@ def _around(hits: DataFrame, level: int) -> DataFrame:
     return hits.join(out.select(*HIT).distinct(), HIT, "left_anti")
 
 
-def _states(hits: DataFrame, terms: DataFrame, turns: DataFrame, listed: list[int]) -> DataFrame:
-    """(dialogue_id, enter, open, barred): the nodes that a dialogue's hits decide, and those that need none.
+def _states(seen: DataFrame, terms: DataFrame) -> DataFrame:
+    """(dialogue_id, enter, open, barred, hit, n): the nodes that have hits, from seen(dialogue_id, enter, phrase, negated, n).
 
     A term's matched phrases are counted: it holds if all that it needs are there and none of those it
     forbids. A node whose terms include one that needs none is open wherever that one is not broken.
+    All is grouped within dialogues, so the rows are dealt out once.
     """
-    matched = hits.where(~F.col("negated")).select("dialogue_id", "enter", "phrase").distinct()
-    met = matched.join(terms, ["enter", "phrase"]).groupBy("dialogue_id", "enter", "term", "need").agg(F.count_if(~terms["negated"]).alias("have"), F.count_if(terms["negated"]).alias("broken"))
-    by_node = met.groupBy("dialogue_id", "enter").agg(F.max((F.col("need") > 0) & (F.col("have") == F.col("need")) & (F.col("broken") == 0)).alias("holds"), F.count_if((F.col("need") == 0) & (F.col("broken") > 0)).alias("lost"))
+    said = _dealt(seen, "dialogue_id").groupBy("dialogue_id", "enter", "phrase").agg(F.max("negated").alias("barred"), F.sum(F.when(~F.col("negated"), F.col("n")).otherwise(0)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("enter", "phrase").orderBy("term", "negated"))
+    leaf = terms.select("enter", "phrase", "term", "need", F.col("negated").alias("forbids"), nth.alias("nth"), F.lit(True).alias("hit"))
+    met = said.withColumn("hit", F.col("n") > 0).join(leaf, ["enter", "phrase", "hit"], "left")
+    of = F.when(F.coalesce("nth", F.lit(1)) == 1, F.col("n")).otherwise(0)  # a phrase counts once, however many terms it is in
+    by_term = met.groupBy("dialogue_id", "enter", "term", "need").agg(F.count_if(~F.col("forbids")).alias("have"), F.count_if("forbids").alias("broken"), F.max("barred").alias("barred"), F.max("hit").alias("hit"), F.sum(of).alias("n"))
+    holds, lost = (F.col("need") > 0) & (F.col("have") == F.col("need")) & (F.col("broken") == 0), (F.col("need") == 0) & (F.col("broken") > 0)
+    by_node = by_term.groupBy("dialogue_id", "enter").agg(F.coalesce(F.max(holds), F.lit(False)).alias("holds"), F.count_if(lost).alias("lost"), F.max("barred").alias("barred"), F.max("hit").alias("hit"), F.sum("n").alias("n"))
     free = terms.where("need = 0").groupBy("enter").agg(F.count_distinct("term").alias("free"))
-    barred = hits.where("negated").select("dialogue_id", "enter").distinct().withColumn("barred", F.lit(True))
-    rows = by_node.unionByName(barred, allowMissingColumns=True)
-    for a in range(0, len(listed), MOST_LISTED):
-        some = ",".join(map(str, listed[a : a + MOST_LISTED]))
-        rows = rows.unionByName(turns.select("dialogue_id").distinct().select("dialogue_id", F.explode(F.from_json(F.lit(f"[{some}]"), "array<bigint>")).alias("enter")), allowMissingColumns=True)
-    state = rows.groupBy("dialogue_id", "enter").agg(F.coalesce(F.max("holds"), F.lit(False)).alias("holds"), F.coalesce(F.max("lost"), F.lit(0)).alias("lost"), F.coalesce(F.max("barred"), F.lit(False)).alias("barred"))
-    state = state.join(free, "enter", "left")
-    return state.select("dialogue_id", "enter", ((F.col("holds") | (F.coalesce("free", F.lit(0)) > F.col("lost"))) & ~F.col("barred")).alias("open"), "barred")
+    state = by_node.join(free, "enter", "left")
+    return state.select("dialogue_id", "enter", ((F.col("holds") | (F.coalesce("free", F.lit(0)) > F.col("lost"))) & ~F.col("barred")).alias("open"), "barred", "hit", "n")
+
 
+def _free(states: DataFrame, turns: DataFrame, nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(dialogue_id, enter) of gates that are open without any hit: in all dialogues, or where the gate above needs hits and is open, as elsewhere they are not reached."""
+    gates = nodes.where("gate is not null").select(F.col("gate").alias("enter")).distinct()
+    bare = terms.where("need = 0").select("enter").distinct().join(gates, "enter", "left_semi")
+    above = bare.select(F.col("enter").alias("gate"), F.lit(True).alias("bare"))
+    listed = written(bare.join(nodes.select("enter", "gate"), "enter").join(above, "gate", "left").select("enter", "gate", (F.col("gate").isNull() | F.col("bare").isNotNull()).alias("anywhere")), "search-free")
+    bound = listed.where("not anywhere").select(F.col("gate").alias("enter"), F.col("enter").alias("below"))
+    out = states.where("open").select("dialogue_id", "enter").join(bound, "enter").select("dialogue_id", F.col("below").alias("enter"))
+    anywhere = [r[0] for r in listed.where("anywhere").select("enter").collect()]
+    for a in range(0, len(anywhere), MOST_LISTED):
+        some = ",".join(map(str, anywhere[a : a + MOST_LISTED]))
+        out = out.unionByName(turns.select("dialogue_id").distinct().select("dialogue_id", F.explode(F.from_json(F.lit(f"[{some}]"), "array<bigint>")).alias("enter")))
+    return out
 
-def _reached(hits: DataFrame, states: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(dialogue_id, enter, tree, level, open, barred, hit, reached): whether all gates above a node are open.
+
+def _reached(states: DataFrame, free: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dialogue_id, enter, tree, level, open, barred, hit, n, reached): whether all gates above a node are open.
 
     Open nodes begin and end intervals of places, which a sweep over a dialogue's places adds up: as many
     are open at a node as gates are above it, or else one is closed. No pair of a node and a gate is formed.
     """
-    hit = hits.where(~F.col("negated")).select("dialogue_id", "enter").distinct().withColumn("hit", F.lit(True))
-    rows = states.unionByName(hit, allowMissingColumns=True).groupBy("dialogue_id", "enter").agg(*[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("open", "barred", "hit")])
+    own = _dealt(states.withColumn("known", F.lit(True)).unionByName(free.withColumn("open", F.lit(True)), allowMissingColumns=True), "dialogue_id")
+    flags = [F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("barred", "hit")]
+    opened = F.coalesce(F.max(F.when(F.col("known"), F.col("open"))), F.lit(True)).alias("open")  # what the hits say goes before
+    rows = own.groupBy("dialogue_id", "enter").agg(opened, *flags, F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     rows = rows.join(nodes.select("enter", "leave", "tree", "level"), "enter")
     ends = F.array(F.struct(F.col("enter").alias("at"), F.lit(0).alias("step")), F.struct((F.col("enter") + 1).alias("at"), F.lit(1).alias("step")), F.struct((F.col("leave") + 1).alias("at"), F.lit(-1).alias("step")))
-    events = rows.withColumn("e", F.explode(F.when(F.col("open"), ends).otherwise(F.slice(ends, 1, 1)))).select("*", "e.at", "e.step")
+    events = rows.withColumn("e", F.explode(F.when(F.col("open") & (F.col("leave") > F.col("enter")), ends).otherwise(F.slice(ends, 1, 1)))).select("*", "e.at", "e.step").drop("e", "leave")
     above = F.sum("step").over(Window.partitionBy("dialogue_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("above", above).where("step = 0").select("dialogue_id", "enter", "tree", "level", "open", "barred", "hit", (F.col("above") == F.col("level") - 1).alias("reached"))
+    return events.withColumn("above", above).where("step = 0").select("dialogue_id", "enter", "tree", "level", "open", "barred", "hit", "n", (F.col("above") == F.col("level") - 1).alias("reached"))
 
 
 def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, names: list[str] | None = None, cascade: bool = True, lemmas: DataFrame | None = None, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, level_counts) of dictionaries given as tables (`dicttables`) in all dialogues of turns.
 
-    All hits are found in one pass, whatever the gates, and written once. The nodes' expressions are rows
+    All hits are found in one pass, whatever the gates, and written once, a row for each pattern and turn. Nodes are
+    decided by how often a dialogue has each pattern, and meet the turns again only where they are reached; only limits
+    need a row for each condition and turn before. The nodes' expressions are rows
     (`dicttables.terms`) that are decided by counting what matched; a negated condition's hit bars its
     node. A sweep over the places of the tree then says which nodes are reached: children need all gates
     above open, and with cascade a tree needs matches of every tree before it. Limits are rows as well:
@@ -114,17 +139,23 @@ def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, nam
     limited = conditions.join(nodes.select("enter", "level", "gate"), "enter").select("level", "gate", F.explode("limits").alias("x"))
     parents = F.collect_set(F.when((F.col("x.event") == "Parent") & F.col("gate").isNotNull(), F.col("level")))
     levels, start_end = limited.agg(parents, F.max((F.col("x.event") == "StartEnd") & timegap.judged(F.col("x")))).first()
-    listed = [r[0] for r in terms.where("need = 0").select("enter").distinct().join(nodes.select(F.col("gate").alias("enter")), "enter", "left_semi").collect()]
 
-    found = pattern_hits(turns, patterns_of(conditions), lemmas) if found is None else found
-    hits = written(_hits(found, nodes, conditions), "search-hits")
-    if start_end:
-        hits = written(_within(turns, hits), "search-hits")
-    for level in sorted(levels):
-        hits = written(_around(hits, level), "search-hits")
+    about = _about(nodes, conditions)
+    found = written(pattern_hits(turns, patterns_of(conditions), lemmas), "search-found") if found is None else found
+    by_turn = bool(start_end or levels)
+    if by_turn:
+        hits = written(found.join(about, "pattern").drop("pattern"), "search-hits")
+        if start_end:
+            hits = written(_within(turns, hits), "search-hits")
+        for level in sorted(levels):
+            hits = written(_around(hits, level), "search-hits")
+        seen = hits.select("dialogue_id", "enter", "phrase", "negated", F.lit(1).cast("long").alias("n"))
+    else:
+        times = written(found.groupBy("dialogue_id", "pattern").agg(F.count(F.lit(1)).alias("n")), "search-times")
+        seen = times.join(about.select("pattern", "enter", "phrase", "negated"), "pattern").drop("pattern")
 
-    states = _states(hits, terms, turns, listed)
-    reached = _reached(hits, states, nodes).where("reached")
+    states = written(_states(seen, terms), "search-states")
+    reached = _reached(states, _free(states, turns, nodes, terms), nodes).where("reached")
     first_open = nodes.where("gate is null and conditioned").agg(F.min("tree").alias("first_tree"))
     with_gate = nodes.where("gate is not null").select(F.col("gate").alias("enter")).distinct().withColumn("leads", F.lit(True))
     reached = reached.join(with_gate, "enter", "left")
@@ -138,7 +169,13 @@ def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, nam
         reached, dialogues = (x.withColumn("done", F.lit((1 << 31) - 2)) for x in (reached, dialogues))
     reached = written(reached, "search-nodes")
 
-    shown = hits.where(~F.col("negated")).join(reached.where("hit and not barred and tree <= done").select("dialogue_id", "enter"), ["dialogue_id", "enter"], "left_semi")
+    taken = reached.where("hit and not barred and tree <= done")
+    if by_turn:
+        shown = hits.where(~F.col("negated")).join(taken.select("dialogue_id", "enter"), ["dialogue_id", "enter"], "left_semi")
+    else:
+        asked = about.where(~F.col("negated")).drop("negated", "limits", "gate")
+        places = taken.select("dialogue_id", "enter").join(asked.select("enter", "ord", "pattern"), "enter")
+        shown = found.join(places, ["dialogue_id", "pattern"]).drop("pattern").join(asked.drop("pattern"), ["enter", "ord"])
     matches = shown.select(
         "dialogue_id",
         F.col("phrase").alias("phrase_text"),
@@ -161,7 +198,7 @@ def search_tables(turns: DataFrame, nodes: DataFrame, conditions: DataFrame, nam
     # in every dialogue that comes to their tree, others where their nearest gate is reached and open.
     top = dialogues.crossJoin(first_open).where(F.col("first_tree") <= F.col("done") + 1).select("dialogue_id", F.lit(1).alias("dict_level"))  # one row of first_open
     below = reached.where("open and leads and tree <= done + 1").select("dialogue_id", (F.col("level") + 1).alias("dict_level"))
-    counted = matches.groupBy("dialogue_id", "dict_level").agg(F.count(F.lit(1)).alias("n"))
+    counted = taken.groupBy("dialogue_id", F.col("level").alias("dict_level")).agg(F.sum("n").alias("n"))
     visited = top.unionByName(below).distinct().join(counted, ["dialogue_id", "dict_level"], "left")
     return matches, visited.select("dialogue_id", "dict_level", F.coalesce("n", F.lit(0)).cast("long").alias("matches"))
 

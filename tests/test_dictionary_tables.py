@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import dicttables, timegap
+from colloquy.operators import search as search_module
 from colloquy.operators.dictionary import Condition, Limit, Node, Token, conditions_of, holds
 from colloquy.operators.search import search, search_tables
 from colloquy.schemas import CHANNELS, CLIENT, OPERATOR
@@ -203,3 +204,14 @@ def test_parent_windows_of_one_long_dialogue(spark):
     parents = hits.where("turn_index % 7 = 0").select("dialogue_id", "start_offset", F.col("turn_index").alias("ord"))
     got = {r[0] for r in timegap.near_parent(hits, parents, Limit("Parent", True, 4)).select("turn_index").collect()}
     assert got == {i for i in range(n) if any(j < n and 3 * i <= 3 * j and 3 * i + 1 >= 3 * j - 4 for j in (i + d for d in range(3)) if j % 7 == 0)}
+
+
+def test_hits_are_not_written_for_every_condition(spark, monkeypatch):
+    """Fifty trees with the same word: without limits a row for each of its turns is written, not one for each tree and turn."""
+    roots = [Node(f"R{i}", conditions=[Condition("раз")], children=[Node(f"C{i}", conditions=[Condition("два")])]) for i in range(50)]
+    turns = table_of(spark, {f"d{i}": [{"speaker": CLIENT, "text": "раз два раз", "start": 0.0, "end": 2.0}, {"speaker": OPERATOR, "text": "раз", "start": 2.0, "end": 3.0}] for i in range(4)})
+    sizes, write = [], search_module.written
+    monkeypatch.setattr(search_module, "written", lambda df, name: (out := write(df, name), sizes.append((name, out.count())))[0])
+    matches, levels = search(turns, roots, cascade=False)
+    assert matches.count() == 4 * 50 * 3 and {tuple(r)[1:] for r in levels.collect()} == {(1, 100), (2, 50)}
+    assert dict(sizes)["search-found"] == 4 * 3 and max(n for name, n in sizes) <= 4 * 50 * 2
