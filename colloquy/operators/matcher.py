@@ -125,8 +125,11 @@ def match_phrases(turns: DataFrame, conditions: list[tuple] | DataFrame, lemmas:
     c = [F.col(x) for x in ("form", "need", "n", "distance")]
     # A generator, so that the test is evaluated once and not again for a filter.
     hit = joined.withColumn("form", form).where(F.size("form") >= F.col("n")).withColumn("first", F.explode(first_window(*c, F.col("rarest"))))
-    hit = hit.withColumn("span", span_of(*c, F.col("first"))).drop("first")
-    a, b = X.token_start(F.col("gaps"), F.col("span.first")), X.token_start(F.col("gaps"), F.col("span.last")) + F.length(F.get("toks", F.col("span.last")))
-    hit = hit.withColumn("matched_start", a).withColumn("matched_end", b)
+    # A single word is found where it first stands; what comes before a token is summed up once where it is both ends.
+    word = (F.array_position("form", F.col("rarest")) - 1).cast("int")
+    hit = hit.withColumn("span", F.when(F.col("n") == 1, F.struct(word.alias("first"), word.alias("last"))).otherwise(span_of(*c, F.col("first")))).drop("first")
+    hit = hit.withColumn("matched_start", X.token_start(F.col("gaps"), F.col("span.first")))
+    last = F.when(F.col("span.first") == F.col("span.last"), F.col("matched_start")).otherwise(X.token_start(F.col("gaps"), F.col("span.last")))
+    hit = hit.withColumn("matched_end", last + F.length(F.get("toks", F.col("span.last"))))
     hit = hit.withColumn("matched_text", F.col("text").substr(F.col("matched_start") + 1, F.col("matched_end") - F.col("matched_start")))
     return hit.drop("toks", "keys", "form", "span", "gaps", "words", "need", "n", "rarest")
