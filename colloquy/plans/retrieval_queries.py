@@ -77,7 +77,7 @@ def cosine_ranking(spark, d):
 
 
 def both(spark, d):
-    return bm25_ranking(spark, d).withColumn("channel", F.lit("sparse")).unionByName(cosine_ranking(spark, d).withColumn("channel", F.lit("dense")))
+    return R.bm25_and_cosine(docs(spark, d), "doc_id", asked(spark, d))
 
 
 @query(f"WITH {TERMS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS tokens, round(count(*) / (SELECT count(*) FROM documents), 4) AS avgdl, count(DISTINCT term) AS unique_terms FROM dt")
